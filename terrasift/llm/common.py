@@ -108,7 +108,7 @@ class Packer:
         self.parts, self.size = [], 0
         order = np.argsort(bucket, kind="stable")
         bucket, table = bucket[order], table.take(pa.array(order))
-        cuts = np.flatnonzero(np.diff(bucket, prefix=bucket[0] - 1))
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ids, blobs, held = [], [], 0
         for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
             ids.append(int(bucket[lo]))
