@@ -191,7 +191,7 @@ def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
     out = np.zeros(n, dtype=np.uint64)
     if n < width:
         return out
-    power, run, size = np.uint64(base), values, 1  # run: hashes of windows of `size`
+    power, run, size = base, values, 1  # run: hashes of windows of `size`
     done, filled = None, 0  # done: hashes of windows of `filled`, the part of width taken so far
     while True:
         if width & size:
@@ -199,13 +199,13 @@ def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
                 done, filled = run, size
             else:  # the run goes behind what is there
                 m = len(values) - filled - size + 1
-                done = done[:m] * power + run[filled : filled + m]
+                done = done[:m] * np.uint64(power) + run[filled : filled + m]
                 filled += size
         if filled == width:
             break
         m = len(run) - size
-        run = run[:m] * power + run[size : size + m]
-        power, size = power * power, size * 2
+        run = run[:m] * np.uint64(power) + run[size : size + m]
+        power, size = power * power & 0xFFFFFFFFFFFFFFFF, size * 2
     out[: len(done)] = done
     return out
 
