@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, importance, jaccard_join, media, token_counts, toxicity
+from . import block_dedup, bpe, decontaminate, importance, jaccard_join, media, repeats, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,19 @@ def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.select("doc_id", F.lit(True).alias("selected"), "log_ratio", "gumbel_key")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    found = suffix_dedup.remove_repeats(docs).select("key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return repeats.attach(docs, found)
+
+
+def op7_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = block_dedup.remove_repeats(docs).select("key", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return repeats.attach(docs, found)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round(F.col("shared") / F.col("size"), 6).alias("containment"))
@@ -63,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_token_counts": op3_token_counts,
     "op4_importance": op4_importance,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_block_dedup": op7_block_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
