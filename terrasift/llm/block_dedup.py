@@ -17,28 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import PACKED, Hashes, Packer, buckets, by_bucket, mix, offsets, ranges, rolling
+from .common import PACKED, UNSPACED, Hashed, Packer, buckets, by_bucket, mix, offsets, ranges, rolling
 from .repeats import FOUND, Text, anchors, by_doc, key_of, keyed, packed_texts, texts_of
 
 WINDOW = 35
 _BASES = 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0xA0761D6478BD642F
-#: Words that are dropped from the memory of word hashes.
 RESULT = "key binary, n_words bigint, n_removed bigint, kept binary"
 
 
-def _flat(contents: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    found = [c.split() for c in contents]  # bytes split at the six ASCII spaces
-    n = np.array([len(x) for x in found], dtype=np.int64)
-    flat = hashes.of([w for x in found for w in x])
-    hashes.trim()
-    return flat, n
-
-
 def _probes(block: int, window: int):
-    hashes = Hashes()
-
     def of(texts: list[Text]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat, n = _flat([c for _, c, _ in texts], hashes)
+        found = Hashed([c for _, c, _ in texts], UNSPACED)
+        flat, n = found.flat, found.n
         counts = np.where(n >= window, n - block + 1, 0)
         at = ranges(offsets(n)[:-1], counts)
         inside = ranges(np.zeros(len(n), np.int64), counts)
@@ -55,12 +45,12 @@ def _windows(block: int, window: int, n: int):
     """Around hits: packed (w1, w2, doc, key2, start, copied)."""
 
     def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
-        hits, hashes, packer = by_doc(records, ["h"]), Hashes(), Packer()
+        hits, packer = by_doc(records, ["h"]), Packer()
         for doc, key2, content, copies in texts_of(records):
             wanted = hits(doc)[0]
             if not len(wanted):
                 continue
-            flat, _ = _flat([content], hashes)
+            flat = Hashed([content], UNSPACED).flat
             places = len(flat) - window + 1
             if places < 1:
                 continue

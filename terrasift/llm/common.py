@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,19 +161,38 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(lo)
 
 
-class Hashes(dict):
-    """Words to 64-bit hashes, remembered up to a bound; call ``trim()`` between slices."""
+def _inside(test: Callable[[int], bool]) -> np.ndarray:
+    return np.array([test(b) for b in range(256)])
 
-    def __missing__(self, word):
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
 
-    def trim(self, most: int = 400_000) -> None:
-        if len(self) > most:
-            self.clear()
+#: Bytes that belong to words. UNSPACED: all but the six ASCII spaces. WORDS: ASCII letters, digits, underscore, and all of
+#: characters beyond ASCII.
+UNSPACED = _inside(lambda b: b != 32 and not 9 <= b <= 13)
+WORDS = _inside(lambda b: b >= 128 or chr(b).isalnum() or b == 95)
+_BYTE_BASE = 0xDA942042E4DD58B5
+_BYTE_BACK = pow(_BYTE_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+class Hashed:
+    """The words of some texts as 64-bit hashes: ``flat`` in a row, ``n`` of each text, ``starts`` in ``data``.
+
+    ``data`` holds the texts with a newline behind each; ``at`` are the texts' places in it. Hashes are polynomials of a word's bytes,
+    taken from one running sum over all bytes, so no word ever becomes a Python object.
+    """
+
+    def __init__(self, contents: list[bytes], inside: np.ndarray):
+        self.data = np.frombuffer(b"\n".join([*contents, b""]), dtype=np.uint8)
+        self.at = offsets(np.array([len(c) + 1 for c in contents], dtype=np.int64))
+        edge = np.flatnonzero(np.diff(inside[self.data].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        self.starts, ends = edge[0::2], edge[1::2]
+        if len(_powers[0]) < len(self.data):
+            for i, base in enumerate((_BYTE_BASE, _BYTE_BACK)):
+                _powers[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.data) + 1024, np.uint64(base))]), dtype=np.uint64)
+        power, back = _powers
+        total = np.concatenate([[np.uint64(0)], np.cumsum(self.data * power[: len(self.data)], dtype=np.uint64)])
+        self.flat = mix((total[ends] - total[self.starts]) * back[self.starts] + (ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.n = np.diff(np.searchsorted(self.starts, self.at))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

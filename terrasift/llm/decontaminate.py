@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, offsets, slices
+from .common import offsets, slices
 from .shingles import WIDTH, sets, shingles
 
 THRESHOLD = 0.8
@@ -70,10 +70,10 @@ def _search(sent):
     schema = pa.schema([("doc", pa.string()), ("item", pa.string()), ("shared", pa.int64()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashes = sent.value, Hashes()
+        items = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, counts = shingles(part.column("text").to_pylist(), hashes)
+                flat, counts = shingles(part.column("text").to_pylist())
                 at = offsets(counts)
                 rows = []
                 for i, j in sorted(items.candidates(flat, np.repeat(np.arange(len(counts)), counts))):
@@ -89,10 +89,10 @@ def _search(sent):
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, threshold: float, block: int) -> Iterator[_Items]:
     """Items in blocks; they come to the driver a block at a time."""
-    hashes, ids, texts, size = Hashes(), [], [], 0
+    ids, texts, size = [], [], 0
 
     def close():
-        values, counts = sets(*shingles(texts, hashes))
+        values, counts = sets(*shingles(texts))
         return _Items(ids, values, counts, threshold)
 
     for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
@@ -125,10 +125,10 @@ def _marked(docs: DataFrame, items: list, spark) -> DataFrame:
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hashes = sent.value, Hashes()
+        held = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, counts = shingles(part.column("text").to_pylist(), hashes)
+                flat, counts = shingles(part.column("text").to_pylist())
                 at = offsets(counts)
                 keep = np.ones(part.num_rows, dtype=bool)
                 for i, j in held.candidates(flat, np.repeat(np.arange(len(counts)), counts)):

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, offsets, saved, slices
-from .shingles import words
+from .common import offsets, saved, slices
+from .shingles import lower_words
 
 #: Buckets of the hashed n-grams, the smoothing count of each, the bins of a histogram.
 BUCKETS, SMOOTH, BINS = 10_000, 1.0, 4_096
@@ -30,12 +30,10 @@ BUCKETS, SMOOTH, BINS = 10_000, 1.0, 4_096
 FEW = 10_000
 
 
-def ngram_buckets(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def ngram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of the unigrams and bigrams of all texts in a row; how many each text has."""
-    found = [words(x) for x in texts]
-    n = np.array([len(x) for x in found], dtype=np.int64)
-    flat = hashes.of([w for x in found for w in x])
-    hashes.trim()
+    found = lower_words(texts)
+    n, flat = found.n, found.flat
     at, owner = offsets(n), np.repeat(np.arange(len(n)), n)
     inner = np.ones(len(flat), dtype=bool)  # places that have a successor in their text
     inner[at[1:][n > 0] - 1] = False
@@ -49,10 +47,10 @@ def ngram_buckets(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray,
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a bucket and task."""
-    hashes, total = Hashes(), np.zeros((2, BUCKETS), dtype=np.int64)
+    total = np.zeros((2, BUCKETS), dtype=np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
-            value, n = ngram_buckets(part.column("text").to_pylist(), hashes)
+            value, n = ngram_buckets(part.column("text").to_pylist())
             target = np.repeat(np.array([bool(x) for x in part.column("target").to_pylist()]), n)
             total[0] += np.bincount(value, minlength=BUCKETS)
             total[1] += np.bincount(value[target], minlength=BUCKETS)
@@ -81,10 +79,9 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = 17) -> DataFrame:
     schema = pa.schema([("id", pa.string()), ("log_ratio", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                value, n = ngram_buckets(part.column("text").to_pylist(), hashes)
+                value, n = ngram_buckets(part.column("text").to_pylist())
                 at = offsets(n)
                 total = np.concatenate([[0.0], np.cumsum(sent.value[value])])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(total[at[1:]] - total[at[:-1]])], schema=schema)

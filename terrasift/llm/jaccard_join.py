@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Hashes, Packer, buckets, by_bucket, mix, offsets, saved, slices, with_key
+from .common import Packer, buckets, by_bucket, mix, offsets, saved, slices, with_key
 from .neighbours import components, forest, minhash, star_edges, tile_links, tiled, tiles_of
 from .shingles import sets, shingles
 
@@ -43,8 +43,8 @@ def _node(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, value, np.uint64(0)).view(np.int64)
 
 
-def _sets(part: pa.RecordBatch, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat, counts = sets(*shingles(part.column("text").to_pylist(), hashes))
+def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat, counts = sets(*shingles(part.column("text").to_pylist()))
     return flat, counts, _node(flat, counts)
 
 
@@ -59,10 +59,9 @@ def _bands(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("node", pa.int64()), ("bands", pa.binary())])
-    hashes = Hashes()
     for batch in batches:
         for part in slices(batch, "text"):
-            flat, counts, node = _sets(part, hashes)
+            flat, counts, node = _sets(part)
             keys: list[bytes | None] = [None] * len(counts)
             for i, row in zip(np.flatnonzero(counts), _bands(flat, counts[counts > 0]) if len(flat) else (), strict=True):
                 keys[i] = row.tobytes()
@@ -103,10 +102,10 @@ def _tile_records(n: int):
     """Packs the sets of the rows' texts for their tiles; a row whose text is another's (a repeated id) is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packer = Hashes(), Packer()
+        packer = Packer()
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, counts, node = _sets(part, hashes)
+                flat, counts, node = _sets(part)
                 at = offsets(counts)
                 tiles, wanted = part.column("tiles").to_pylist(), part.column("node").to_numpy()
                 rows = [(t, i) for i in np.flatnonzero(node == wanted) for t in tiles[i]]

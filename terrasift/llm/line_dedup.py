@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity self-join.
 
-A line's tokens are its lower-case words between spaces. Lines are compared as token sets: a line goes if an earlier line, by
+A line's tokens are its lower-case words between ASCII spaces. Lines are compared as token sets: a line goes if an earlier line, by
 (doc_id, line number), has a Jaccard similarity of ``threshold`` or more.
 
 1. One scan counts tokens (a table of fixed size, by token hash) and finds the first place of each distinct line.
@@ -17,7 +17,6 @@ by a digest of the text; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Hashes, Packer, buckets, by_bucket, mix, offsets, saved, slices, with_key
+from .common import PACKED, UNSPACED, Hashed, Packer, buckets, by_bucket, mix, offsets, ranges, saved, slices, with_key
 from .neighbours import components, star_edges, tile_links, tiled, tiles_of
 from .repeats import FOUND, TEXT, key_parts
 from .shingles import sets
@@ -52,6 +51,30 @@ def _row_bucket(ids: np.ndarray, k1: np.ndarray, n: int) -> np.ndarray:
     return mix(ids.view(np.uint64) ^ k1, 2) % np.uint64(n)
 
 
+class _Lines:
+    """The lines with tokens of some texts: ``text`` and ``line`` say where, ``node`` what they hold, ``n`` how many tokens.
+
+    ``node`` digests the bag of a line's tokens: two sums of mixed hashes and the count, mixed.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        found = Hashed([x.lower().encode() if x else b"" for x in texts], UNSPACED)
+        ends = np.flatnonzero(found.data == 10)
+        owner = np.searchsorted(ends, found.starts)  # the line of each token, of all texts
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        self.flat, self.at = found.flat, np.append(first, len(owner))
+        self.n = np.diff(self.at)
+        number = owner[first]
+        self.text = np.searchsorted(found.at, found.starts[first], "right") - 1
+        self.line = number - np.searchsorted(ends, found.at[:-1])[self.text] if len(first) else number
+        a, b = (np.concatenate([[np.uint64(0)], np.cumsum(mix(self.flat, seed), dtype=np.uint64)]) for seed in (3, 5))
+        self.node = (mix((a[self.at[1:]] - a[self.at[:-1]]) ^ mix(b[self.at[1:]] - b[self.at[:-1]], 9), 11) + self.n.astype(np.uint64)).view(np.int64)
+
+    def tokens(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token hashes of some lines in a row, and each one's line as a place in ``which``."""
+        return self.flat[ranges(self.at[which], self.n[which])], np.repeat(np.arange(len(which)), self.n[which])
+
+
 def _scan(n: int):
     """Packs the places of the distinct lines of each slice by line, and the task's token counts by part of the table."""
 
@@ -60,23 +83,14 @@ def _scan(n: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, k1, k2 = _ids(part)
-                order, seen, rows, words = np.lexsort((k2, k1, ids)), set(), [], Counter()
-                texts = part.column("text").to_pylist()
-                for i in order:
-                    low = (texts[i] or "").lower()
-                    words.update(low.split())
-                    for at, line in enumerate(low.split("\n")):
-                        line = line.strip()
-                        if line and line not in seen:
-                            seen.add(line)
-                            rows.append((i, at, line))
-                if words:
-                    slot = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) >> np.uint64(64 - TABLE)
-                    table += np.bincount(slot.astype(np.int64), weights=np.fromiter(words.values(), dtype=np.int64, count=len(words)), minlength=1 << TABLE).astype(np.int64)
-                if rows:
-                    own = np.array([i for i, _, _ in rows])
-                    node = np.fromiter((xxhash.xxh3_64_intdigest(x) for _, _, x in rows), dtype=np.uint64, count=len(rows))
-                    packer.add(node % np.uint64(n), {"node": node.view(np.int64), "doc_id": ids[own], "k1": k1[own], "k2": k2[own], "line": np.array([at for _, at, _ in rows], dtype=np.int32)})
+                lines = _Lines(part.column("text").to_pylist())
+                table += np.bincount((lines.flat >> np.uint64(64 - TABLE)).astype(np.int64), minlength=1 << TABLE)
+                own = lines.text
+                order = np.lexsort((lines.line, k2[own], k1[own], ids[own], lines.node))
+                node = lines.node[order]
+                at = order[np.concatenate([[True], node[1:] != node[:-1]])] if len(order) else order  # the first place of each
+                own = own[at]
+                packer.add(lines.node[at].view(np.uint64) % np.uint64(n), {"node": lines.node[at], "doc_id": ids[own], "k1": k1[own], "k2": k2[own], "line": lines.line[at].astype(np.int32)})
                 if packer.full():
                     yield from packer.batches()
         yield from packer.batches()
@@ -120,22 +134,16 @@ def _prefixes(n_buckets: int, sent, threshold: float):
     """Packs (token, node, size, position, sketch) of the prefix tokens of the distinct lines of each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, hashes = Packer(), Hashes()
+        packer = Packer()
         for batch in batches:
             for part in slices(batch, "text"):
-                lines = {x.strip() for t in part.column("text").to_pylist() if t for x in t.lower().split("\n")}
-                lines.discard("")
-                lines = sorted(lines)
-                if not lines:
+                lines = _Lines(part.column("text").to_pylist())
+                if not len(lines.n):
                     continue
-                words = [x.split() for x in lines]
-                flat = hashes.of([w for x in words for w in x])
-                hashes.trim()
-                owner = np.repeat(np.arange(len(lines)), [len(x) for x in words])
-                flat, owner = _ordered(flat, owner, sent.value)
-                size = np.bincount(owner, minlength=len(lines))
+                node, which = np.unique(lines.node, return_index=True)
+                flat, owner = _ordered(*lines.tokens(which), sent.value)
+                size = np.bincount(owner, minlength=len(node))
                 at = offsets(size)
-                node = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), dtype=np.uint64, count=len(lines)).view(np.int64)
                 sketch = _sketches(flat, owner, size)
                 place = np.arange(len(flat)) - at[owner]
                 head = np.flatnonzero(place < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner])
@@ -252,48 +260,41 @@ def _values(n: int):
         wanted = records.get(FOUND)
         if wanted is None or TEXT not in records:
             return
-        look, texts, hashes, packer, seen = _by_row(wanted), records[TEXT], Hashes(), Packer(), set()
-        line, node, g, tiles = wanted["line"].to_numpy(), wanted["node"].to_numpy(), wanted["g"].to_numpy(), wanted["tiles"].to_pylist()
-        rows, words = [], []
+        look, texts, packer, seen = _by_row(wanted), records[TEXT], Packer(), set()
+        number, node, g, tiles = wanted["line"].to_numpy(), wanted["node"].to_numpy(), wanted["g"].to_numpy(), wanted["tiles"].to_pylist()
+        ids, k1, k2, column = texts["id"].to_numpy(), texts["k1"].to_numpy(), texts["k2"].to_numpy(), texts["c_text"]
+        held, size = [], 0  # (place of the text, places of its wanted lines)
 
         def flush():
-            flat = hashes.of([w for x in words for w in x])
-            hashes.trim()
-            flat, counts = sets(flat, np.array([len(x) for x in words], dtype=np.int64))
+            lines = _Lines([column[i].as_py() for i, _ in held])
+            where = {(int(t), int(x)): k for k, (t, x) in enumerate(zip(lines.text, lines.line, strict=True))}
+            pairs = [(t, i, w) for t, (i, found) in enumerate(held) for w in found]
+            which = np.array([where[t, int(number[w])] for t, _, w in pairs])
+            flat, owner = lines.tokens(which)
+            flat, counts = sets(flat, np.bincount(owner, minlength=len(which)))
             at = offsets(counts)
-            own = np.array([i for i, (_, w) in enumerate(rows) for _ in tiles[w]])
-            where = np.array([rows[i][1] for i in own])
-            names = [t for _, w in rows for t in tiles[w]]
-            ids = np.array([rows[i][0] for i in own], dtype=object)
+            own = np.array([p for p, (_, _, w) in enumerate(pairs) for _ in tiles[w]])
+            names = [t for _, _, w in pairs for t in tiles[w]]
+            row, w = np.array([i for _, i, _ in pairs])[own], np.array([w for _, _, w in pairs])[own]
             packer.add(
                 np.array([xxhash.xxh3_64_intdigest(t) % n for t in names]),
-                {
-                    "tile": pa.array(names), "node": node[where], "g": g[where], "values": pa.array([flat[at[i] : at[i + 1]].tobytes() for i in own], pa.binary()),
-                    "id": np.array([x[0] for x in ids], dtype=np.int64), "k1": np.array([x[1] for x in ids], dtype=np.uint64), "k2": np.array([x[2] for x in ids], dtype=np.uint64), "line": line[where],
-                },
+                {"tile": pa.array(names), "node": node[w], "g": g[w], "values": pa.array([flat[at[p] : at[p + 1]].tobytes() for p in own], pa.binary()), "id": ids[row], "k1": k1[row], "k2": k2[row], "line": number[w]},
             )
-            rows.clear()
-            words.clear()
+            held.clear()
 
-        ids, k1, k2, size = texts["id"].to_numpy(), texts["k1"].to_numpy(), texts["k2"].to_numpy(), 0
-        column = texts["c_text"]
         for i in range(len(ids)):
             row = (int(ids[i]), int(k1[i]), int(k2[i]))
             found = look(row)
-            if row in seen or not len(found):
-                continue
-            seen.add(row)
-            split = column[i].as_py().lower().split("\n")
-            for w in found:
-                words.append(split[line[w]].split())
-                rows.append((row, int(w)))
-                size += len(words[-1])
-            if size > 200_000:
-                flush()
-                size = 0
-                if packer.full():
-                    yield from packer.batches()
-        if rows:
+            if len(found) and row not in seen:
+                seen.add(row)
+                held.append((i, found))
+                size += len(column[i].as_py())
+                if size > 1 << 20:
+                    flush()
+                    size = 0
+                    if packer.full():
+                        yield from packer.batches()
+        if held:
             flush()
         yield from packer.batches()
 

@@ -1,42 +1,35 @@
 """Words and word shingles as hashes.
 
-Words are runs of letters, digits and underscores in lower case. A text of fewer than ``width`` words but at least one has
-a single shingle, the sequence of all its words; a text without words has none.
+Words are runs of ASCII letters, digits, underscores and characters beyond ASCII, in lower case. A text of fewer than
+``width`` words but at least one has a single shingle, the sequence of all its words; a text without words has none.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-from .common import Hashes, mix, offsets, rolling
+from .common import WORDS, Hashed, mix, offsets, ranges, rolling
 
 WIDTH = 5
-_WORD = re.compile(r"\w+")
 _BASE = 0xD6E8FEB86659FD93
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def lower_words(texts: list[str | None]) -> Hashed:
+    return Hashed([x.lower().encode() if x else b"" for x in texts], WORDS)
 
 
-def shingles(texts: list[str | None], hashes: Hashes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all texts in a row, repeats included, and how many each text has."""
-    found = [words(x) for x in texts]
-    n = np.array([len(x) for x in found], dtype=np.int64)
-    flat = hashes.of([w for x in found for w in x])
-    hashes.trim()
-    at = offsets(n)
+    found = lower_words(texts)
+    n, flat, at = found.n, found.flat, offsets(found.n)
     rolled = mix(rolling(flat, width, _BASE))
     counts = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-    starts = np.repeat(at[:-1], counts) + (np.arange(counts.sum()) - np.repeat(offsets(counts)[:-1], counts))
-    out = rolled[starts] if len(starts) else np.zeros(0, np.uint64)
+    out = rolled[ranges(at[:-1], counts)]
     where = offsets(counts)
     for i in np.flatnonzero((n > 0) & (n < width)):
-        value = np.uint64(n[i])
-        for h in flat[at[i] : at[i + 1]]:
-            value = np.uint64((int(value) * _BASE + int(h)) & 0xFFFFFFFFFFFFFFFF)
+        value = int(n[i])
+        for h in flat[at[i] : at[i + 1]].tolist():
+            value = (value * _BASE + h) & 0xFFFFFFFFFFFFFFFF
         out[where[i]] = mix(np.array([value], dtype=np.uint64), 7)[0]
     return out, counts
 
