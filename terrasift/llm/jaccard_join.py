@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import Packer, buckets, by_bucket, mix, offsets, saved, slices, with_key
-from .neighbours import components, forest, minhash, star_edges, tile_links, tiled, tiles_of
+from .neighbours import bucket_links, components, forest, minhash, star_edges, tiled
 from .shingles import sets, shingles
 
 THRESHOLD = 0.8
@@ -134,15 +134,14 @@ def _tile_results(threshold: float):
     """Rows (node, links, root): counts of linked documents, and the forest; a root that is the node itself says nothing."""
 
     def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
-        for rows, flat, counts, group, pair in tiles_of(records[0]):
-            i, j = tile_links(flat, counts, group, pair, threshold)
-            if not len(i):
-                continue
-            node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
-            links = np.bincount(i, weights=copies[j], minlength=len(node)) + np.bincount(j, weights=copies[i], minlength=len(node))
-            root = node[forest(i, j, len(node))]
-            yes = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(node[yes]), pa.array(links[yes].astype(np.int64)), pa.array(root[yes])], names=["node", "links", "root"])
+        rows, i, j = bucket_links(records[0], threshold)
+        if not len(i):
+            return
+        node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
+        links = np.bincount(i, weights=copies[j], minlength=len(node)) + np.bincount(j, weights=copies[i], minlength=len(node))
+        root = node[forest(i, j, len(node))]
+        yes = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(node[yes]), pa.array(links[yes].astype(np.int64)), pa.array(root[yes])], names=["node", "links", "root"])
 
     return work
 

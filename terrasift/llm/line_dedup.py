@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PACKED, UNSPACED, Hashed, Packer, buckets, by_bucket, mix, offsets, ranges, saved, slices, with_key
-from .neighbours import components, star_edges, tile_links, tiled, tiles_of
+from .neighbours import bucket_links, components, star_edges, tiled
 from .repeats import FOUND, TEXT, key_parts
 from .shingles import sets
 
@@ -119,8 +119,12 @@ def _table_sum(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordB
 
 def _ordered(flat: np.ndarray, owner: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of each line, from rare to frequent."""
-    rank = (np.minimum(table[(flat >> np.uint64(64 - TABLE)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (flat >> np.uint64(24))
-    order = np.lexsort((rank, owner))
+    often = np.frexp(table[(flat >> np.uint64(64 - TABLE)).astype(np.int64)].astype(np.float64))[1]  # by powers of two
+    rank = (np.minimum(often, 31).astype(np.uint64) << np.uint64(37)) | (flat >> np.uint64(27))
+    if len(owner) and owner[-1] < 1 << 22:
+        order = np.argsort((owner.astype(np.uint64) << np.uint64(42)) | rank)
+    else:
+        order = np.lexsort((rank, owner))
     f, o, r = flat[order], owner[order], rank[order]
     alike = (r[1:] == r[:-1]) & (o[1:] == o[:-1])
     if (alike & (f[1:] != f[:-1])).any():  # tokens whose ranks collide: the full hash decides too
@@ -305,14 +309,13 @@ def _later(threshold: float):
     """Lines that have an earlier match in a tile."""
 
     def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
-        for rows, flat, counts, group, pair in tiles_of(records[0]):
-            i, j = tile_links(flat, counts, group, pair, threshold)
-            if not len(i):
-                continue
-            rank = np.empty(len(counts), dtype=np.int64)
-            rank[np.lexsort((rows["line"].to_numpy(), rows["k2"].to_numpy(), rows["k1"].to_numpy(), rows["id"].to_numpy()))] = np.arange(len(counts))
-            later = np.unique(np.where(rank[i] > rank[j], i, j))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["node"].to_numpy()[later])], names=["node"])
+        rows, i, j = bucket_links(records[0], threshold)
+        if not len(i):
+            return
+        rank = np.empty(rows.num_rows, dtype=np.int64)
+        rank[np.lexsort((rows["line"].to_numpy(), rows["k2"].to_numpy(), rows["k1"].to_numpy(), rows["id"].to_numpy()))] = np.arange(len(rank))
+        later = np.unique(rows["node"].to_numpy()[np.where(rank[i] > rank[j], i, j)])
+        yield pa.RecordBatch.from_arrays([pa.array(later)], names=["node"])
 
     return work
 

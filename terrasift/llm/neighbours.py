@@ -10,14 +10,13 @@ below a tolerance; the rest is verified exactly. Tiles return counts, flags and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets, saved
+from .common import offsets, ranges, saved
 
 #: Rows of a tile's side; MinHash values that are compared in a round and at most; tolerance of the pruning.
 TILE, ROUND, HASHES, TOLERANCE = 2_048, 16, 96, 1e-9
@@ -169,20 +168,64 @@ def tile_links(flat: np.ndarray, counts: np.ndarray, group: np.ndarray, pair: tu
     return i, j
 
 
-def tiles_of(records: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, tuple[int, int]]]:
-    """Splits a bucket's records (tile string, node, g, values binary, ...) by tile, a node once: rows, flat, counts, groups, pair."""
+def _bulk_links(flat: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of many pairs of small tiles link, exactly; a pair's values are looked up in one sorted list of (row, value)."""
+    _, ids = np.unique(flat, return_inverse=True)
+    at = offsets(counts)
+    keys = (np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32) | ids  # ascending: the sets are sorted
+    out = np.zeros(len(i), dtype=bool)
+    cost = np.concatenate([[0], np.cumsum(counts[i])])
+    lo = 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(cost, cost[lo] + 1_000_000, "right")) - 1)
+        p, q = i[lo:hi], j[lo:hi]
+        wanted = (np.repeat(q.astype(np.int64), counts[p]) << 32) | ids[ranges(at[p], counts[p])]
+        found = keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+        shared = np.add.reduceat(found.astype(np.int64), np.concatenate([[0], np.cumsum(counts[p])[:-1]]))
+        out[lo:hi] = shared * (1 + threshold) >= threshold * (counts[p] + counts[q]) - 1e-6
+        lo = hi
+    return out
+
+
+#: Rows of a tile up to which it is handled together with others like it.
+FEW = 16
+
+
+def bucket_links(records: pa.Table, threshold: float) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A bucket's records (tile string, node, g, values binary, ...), a node once a tile, and the links (i, j) between them."""
     records = records.sort_by([("tile", "ascending"), ("node", "ascending")]).combine_chunks()
-    tile = np.array(records["tile"].to_pylist(), dtype=object)
-    node = records["node"].to_numpy()
-    fresh = np.ones(len(node), dtype=bool)
-    if len(node):
-        fresh[1:] = (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])
-    records = records.filter(pa.array(fresh)).combine_chunks()
-    tile = tile[fresh]
-    cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(tile)), strict=True):
-        rows = records.slice(lo, hi - lo)
-        blobs = rows["values"].to_pylist()
-        counts = np.array([len(x) // 8 for x in blobs], dtype=np.int64)
-        _, i, j = tile[lo].rsplit(":", 2)
-        yield rows, np.frombuffer(b"".join(blobs), dtype=np.uint64), counts, rows["g"].to_numpy(), (int(i), int(j))
+    tile, node = pc.dictionary_encode(records["tile"]).combine_chunks(), records["node"].to_numpy()
+    tile = tile.chunk(0) if isinstance(tile, pa.ChunkedArray) else tile
+    code = tile.indices.to_numpy()
+    fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (node[1:] != node[:-1])])
+    records, code = records.filter(pa.array(fresh)).combine_chunks(), code[fresh]
+    blobs, g = records["values"].to_pylist(), records["g"].to_numpy()
+    counts = np.array([len(x) // 8 for x in blobs], dtype=np.int64)
+    flat, at = np.frombuffer(b"".join(blobs), dtype=np.uint64), offsets(counts)
+    cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    size = np.diff(np.append(cuts, len(code)))
+    names = tile.dictionary.to_pylist()
+    small = np.array([names[c].endswith(":0:0") for c in code[cuts]]) & (size <= FEW)
+    i_found, j_found = [], []
+    in_small = np.repeat(small, size)
+    rows = np.flatnonzero(in_small)
+    for step in range(1, FEW):
+        rows = rows[rows + step < len(code)]
+        rows = rows[code[rows] == code[rows + step]]
+        if not len(rows):
+            break
+        i_found.append(rows)
+        j_found.append(rows + step)
+    if i_found:
+        i, j = np.concatenate(i_found), np.concatenate(j_found)
+        ok = np.minimum(counts[i], counts[j]) >= threshold * np.maximum(counts[i], counts[j]) - 1e-9
+        i, j = i[ok], j[ok]
+        ok = _bulk_links(flat, counts, i, j, threshold) if len(i) else np.zeros(0, bool)
+        i_found, j_found = [i[ok]], [j[ok]]
+    for lo, n in zip(cuts[~small], size[~small], strict=True):
+        _, a, b = names[code[lo]].rsplit(":", 2)
+        i, j = tile_links(flat[at[lo] : at[lo + n]], counts[lo : lo + n], g[lo : lo + n], (int(a), int(b)), threshold)
+        i_found.append(i + lo)
+        j_found.append(j + lo)
+    none = np.zeros(0, np.int64)
+    return records, np.concatenate([none, *i_found]), np.concatenate([none, *j_found])
