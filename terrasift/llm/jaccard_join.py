@@ -24,15 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Packer, buckets, by_bucket, mix, offsets, saved, slices, with_key
+from .common import PACKED, Packer, buckets, by_bucket, mix, offsets, saved, slices, with_key
 from .neighbours import bucket_links, components, forest, minhash, star_edges, tiled
+from .repeats import FOUND, TEXT
+from .rows import by_row, packed_found, packed_rows
 from .shingles import sets, shingles
 
 THRESHOLD = 0.8
 BANDS, ROWS = 50, 6
 _RNG = np.random.default_rng(7_1911)
 _ODD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PACKED = "bucket int, kind int, data binary"
 
 
 def _node(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -99,29 +100,45 @@ def _band_stars(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.Record
 
 
 def _tile_records(n: int):
-    """Packs the sets of the rows' texts for their tiles; a row whose text is another's (a repeated id) is left out."""
+    """Packs the sets of the wanted rows' texts for their tiles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                flat, counts, node = _sets(part)
-                at = offsets(counts)
-                tiles, wanted = part.column("tiles").to_pylist(), part.column("node").to_numpy()
-                rows = [(t, i) for i in np.flatnonzero(node == wanted) for t in tiles[i]]
-                if not rows:
-                    continue
-                own = np.array([i for _, i in rows])
-                names = [t for t, _ in rows]
-                packer.add(
-                    np.array([hash_of(t) % n for t in names]),
-                    {"tile": pa.array(names), "node": node[own], "g": part.column("g").to_numpy()[own], "copies": part.column("copies").to_numpy()[own], "values": pa.array([flat[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())},
-                )
-                if packer.full():
-                    yield from packer.batches()
+    def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
+        wanted = records.get(FOUND)
+        if wanted is None or TEXT not in records:
+            return
+        look, texts, packer, seen, held = by_row(wanted), records[TEXT], Packer(), set(), []
+        ids, k1, k2 = (texts[c].to_numpy() for c in ("id", "k1", "k2"))
+        tiles, node, g, copies = wanted["tiles"].to_pylist(), *(wanted[c].to_numpy() for c in ("node", "g", "copies"))
+
+        def flush():
+            flat, counts = sets(*shingles([t for _, t in held]))
+            at = offsets(counts)
+            own = np.array([i for i, (w, _) in enumerate(held) for _ in tiles[w]])
+            names, w = [t for x, _ in held for t in tiles[x]], np.array([x for x, _ in held])[own]
+            packer.add(
+                np.array([hash_of(t) % n for t in names]),
+                {"tile": pa.array(names), "node": node[w], "g": g[w], "copies": copies[w], "values": pa.array([flat[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())},
+            )
+            held.clear()
+
+        size = 0
+        for i in range(len(ids)):
+            row = (int(ids[i]), int(k1[i]), int(k2[i]))
+            found = look(row)
+            if len(found) and row not in seen:
+                seen.add(row)
+                held.append((int(found[0]), texts["c_text"][i].as_py()))
+                size += len(held[-1][1])
+                if size > 1 << 20:
+                    flush()
+                    size = 0
+                    if packer.full():
+                        yield from packer.batches()
+        if held:
+            flush()
         yield from packer.batches()
 
-    return run
+    return work
 
 
 def hash_of(text: str) -> int:
@@ -160,10 +177,11 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n = buckets(docs, 0.6)
     stars = by_bucket(signed.select("node", "bands").mapInArrow(_band_records(n), PACKED), n, _band_stars, "a bigint, b bigint")
     active = saved(tiled(components(stars).join(nodes, "node")), "active")
-    n = buckets(docs, 1.5)
-    wanted = active.select(F.col("rep.doc_id").alias("rep"), "node", "g", "copies", "tiles")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("rep"))).select("text", "node", "g", "copies", "tiles")
-    found = saved(by_bucket(texts.mapInArrow(_tile_records(n), PACKED), n, _tile_results(threshold), "node bigint, links bigint, root bigint"), "links")
+    rows, n = buckets(docs, 2.5), buckets(docs, 1.5)
+    wanted = active.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.key").alias("__key"), "node", "g", "copies", "tiles")
+    texts = with_key(docs).mapInArrow(packed_rows(rows), PACKED).unionAll(wanted.mapInArrow(packed_found(rows, ["node", "g", "copies", "tiles"]), PACKED))
+    values = by_bucket(texts, rows, _tile_records(n), PACKED)
+    found = saved(by_bucket(values, n, _tile_results(threshold), "node bigint, links bigint, root bigint"), "links")
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     per_node = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))

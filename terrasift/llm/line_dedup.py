@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import PACKED, UNSPACED, Hashed, Packer, buckets, by_bucket, mix, offsets, ranges, saved, slices, with_key
 from .neighbours import bucket_links, components, star_edges, tiled
-from .repeats import FOUND, TEXT, key_parts
+from .repeats import FOUND, TEXT
+from .rows import by_row, ids_of, packed_found, packed_rows
 from .shingles import sets
 
 THRESHOLD = 0.8
@@ -36,19 +37,6 @@ TABLE, TABLE_PARTS = 18, 16
 #: Lines of more tokens carry a sketch of 256 bits, others of 64.
 SHORT = 90
 LINES, COUNTS = 0, 1
-_NOBODY = np.int64(np.iinfo(np.int64).max)
-
-
-def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (null: the largest) and text keys of the rows."""
-    import pyarrow.compute as pc
-
-    ids = pc.fill_null(part.column("doc_id").cast(pa.int64()), int(_NOBODY)).to_numpy(zero_copy_only=False)
-    return ids, *key_parts(part.column("__key").to_pylist())
-
-
-def _row_bucket(ids: np.ndarray, k1: np.ndarray, n: int) -> np.ndarray:
-    return mix(ids.view(np.uint64) ^ k1, 2) % np.uint64(n)
 
 
 class _Lines:
@@ -82,7 +70,7 @@ def _scan(n: int):
         packer, table = Packer(LINES), np.zeros(1 << TABLE, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, k1, k2 = _ids(part)
+                ids, k1, k2 = ids_of(part)
                 lines = _Lines(part.column("text").to_pylist())
                 table += np.bincount((lines.flat >> np.uint64(64 - TABLE)).astype(np.int64), minlength=1 << TABLE)
                 own = lines.text
@@ -109,7 +97,8 @@ def _firsts(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatc
     order = np.lexsort((c["line"], c["k2"], c["k1"], c["doc_id"], c["node"]))
     node = c["node"][order]
     at = order[np.concatenate([[True], node[1:] != node[:-1]])]
-    yield pa.RecordBatch.from_arrays([pa.array(c[k][at].view(np.int64) if k in ("k1", "k2") else c[k][at]) for k in c], names=list(c))
+    key = np.stack([c["k1"][at], c["k2"][at]], axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(c["node"][at]), pa.array(c["doc_id"][at]), pa.array([x.tobytes() for x in key], pa.binary()), pa.array(c["line"][at])], names=["node", "doc_id", "__key", "line"])
 
 
 def _table_sum(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -214,49 +203,6 @@ def _candidates(threshold: float):
     return work
 
 
-def _packed_rows(n: int):
-    """Packs all columns of the rows by row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(TEXT)
-        for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                ids, k1, k2 = _ids(part)
-                packer.add(_row_bucket(ids, k1, n), {**{f"c_{x}": part.column(x) for x in part.schema.names if x != "__key"}, "id": ids, "k1": k1, "k2": k2})
-                if packer.full():
-                    yield from packer.batches()
-        yield from packer.batches()
-
-    return run
-
-
-def _packed_found(n: int, columns: list[str]):
-    """Packs found lines by their row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(FOUND)
-        for batch in batches:
-            ids, k1, k2 = batch.column("doc_id").to_numpy(), batch.column("k1").to_numpy().view(np.uint64), batch.column("k2").to_numpy().view(np.uint64)
-            packer.add(_row_bucket(ids, k1, n), {"id": ids, "k1": k1, "k2": k2, **{c: batch.column(c) for c in columns}})
-            if packer.full():
-                yield from packer.batches()
-        yield from packer.batches()
-
-    return run
-
-
-def _by_row(table: pa.Table | None):
-    """Looks up the places of a row's records."""
-    if table is None:
-        return lambda row: np.zeros(0, np.int64)
-    ids, k1, k2 = (table[c].to_numpy() for c in ("id", "k1", "k2"))
-    order = np.lexsort((k2, k1, ids))
-    new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
-    at = np.flatnonzero(new)
-    where = {(int(ids[order[a]]), int(k1[order[a]]), int(k2[order[a]])): order[a:b] for a, b in zip(at, np.append(at[1:], len(order)), strict=True)}
-    return lambda row: where.get(row, np.zeros(0, np.int64))
-
-
 def _values(n: int):
     """Sets of the wanted lines, packed for their tiles."""
 
@@ -264,7 +210,7 @@ def _values(n: int):
         wanted = records.get(FOUND)
         if wanted is None or TEXT not in records:
             return
-        look, texts, packer, seen = _by_row(wanted), records[TEXT], Packer(), set()
+        look, texts, packer, seen = by_row(wanted), records[TEXT], Packer(), set()
         number, node, g, tiles = wanted["line"].to_numpy(), wanted["node"].to_numpy(), wanted["g"].to_numpy(), wanted["tiles"].to_pylist()
         ids, k1, k2, column = texts["id"].to_numpy(), texts["k1"].to_numpy(), texts["k2"].to_numpy(), texts["c_text"]
         held, size = [], 0  # (place of the text, places of its wanted lines)
@@ -328,7 +274,7 @@ def _rewritten(schema: pa.Schema):
         if TEXT not in records:
             return
         kept = records.get(FOUND)
-        look, line = _by_row(kept), kept["line"].to_numpy() if kept is not None else None
+        look, line = by_row(kept), kept["line"].to_numpy() if kept is not None else None
         for batch in records[TEXT].to_batches(max_chunksize=1_000):
             texts, n_lines, n_removed = [], [], []
             for text, a, b, c in zip(batch.column("c_text").to_pylist(), batch.column("id").to_pylist(), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True):
@@ -364,7 +310,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     slim = with_key(docs.select("doc_id", "text"))
     n = buckets(docs, 0.5)
     scanned = saved(slim.mapInArrow(_scan(n), PACKED), "line-scan")
-    firsts = saved(by_bucket(scanned.where(F.col("kind") == LINES), n, _firsts, "node bigint, doc_id bigint, k1 bigint, k2 bigint, line int"), "line-firsts")
+    firsts = saved(by_bucket(scanned.where(F.col("kind") == LINES), n, _firsts, "node bigint, doc_id bigint, __key binary, line int"), "line-firsts")
     counts = by_bucket(scanned.where(F.col("kind") == COUNTS), TABLE_PARTS, _table_sum, "slot bigint, n bigint").toPandas()  # the table has a fixed size
     table = np.zeros(1 << TABLE, dtype=np.int64)
     table[counts.slot] = counts.n
@@ -373,11 +319,11 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     edges = by_bucket(docs.select("text").mapInArrow(_prefixes(n, sent, threshold), PACKED), n, _candidates(threshold), "a bigint, b bigint")
     wanted = tiled(components(edges).join(firsts, "node"))
     rows, n = buckets(docs, 2.5), buckets(docs, 1)
-    found = wanted.select("doc_id", "k1", "k2", "line", "node", "g", "tiles").mapInArrow(_packed_found(rows, ["line", "node", "g", "tiles"]), PACKED)
-    values = by_bucket(slim.mapInArrow(_packed_rows(rows), PACKED).unionAll(found), rows, _values(n), PACKED)
+    found = wanted.select("doc_id", "__key", "line", "node", "g", "tiles").mapInArrow(packed_found(rows, ["line", "node", "g", "tiles"]), PACKED)
+    values = by_bucket(slim.mapInArrow(packed_rows(rows), PACKED).unionAll(found), rows, _values(n), PACKED)
     later = saved(by_bucket(values, n, _later(threshold), "node bigint"), "line-later")
-    kept = firsts.join(later, "node", "left_anti").select("doc_id", "k1", "k2", "line").mapInArrow(_packed_found(rows, ["line"]), PACKED)
+    kept = firsts.join(later, "node", "left_anti").select("doc_id", "__key", "line").mapInArrow(packed_found(rows, ["line"]), PACKED)
     schema = pa.schema([*((f.name, to_arrow_type(f.dataType)) for f in docs.schema.fields), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_lines bigint, n_removed bigint"])
-    return by_bucket(with_key(docs).mapInArrow(_packed_rows(rows), PACKED).unionAll(kept), rows, _rewritten(schema), ddl)
+    return by_bucket(with_key(docs).mapInArrow(packed_rows(rows), PACKED).unionAll(kept), rows, _rewritten(schema), ddl)
 
