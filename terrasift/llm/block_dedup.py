@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import PACKED, UNSPACED, Hashed, Packer, buckets, by_bucket, mix, offsets, ranges, rolling
-from .repeats import FOUND, Text, anchors, by_doc, key_of, keyed, packed_texts, texts_of
+from .repeats import ANCHOR, FOUND, Text, anchors, by_doc, key_of, keyed, packed_texts, texts_of
 
 WINDOW = 35
 _BASES = 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0xA0761D6478BD642F
@@ -54,7 +54,7 @@ def _windows(block: int, window: int, n: int):
             places = len(flat) - window + 1
             if places < 1:
                 continue
-            h = mix(rolling(flat, block, _BASES[0]))[: len(flat) - block + 1] & np.uint64((1 << 40) - 1)
+            h = mix(rolling(flat, block, _BASES[0]))[: len(flat) - block + 1] & ANCHOR
             near = np.zeros(len(h) + 1, dtype=np.int64)  # windows that contain a hit start up to window - block before it
             at = np.flatnonzero(np.isin(h, wanted))
             np.add.at(near, np.maximum(at - (window - block), 0), 1)

@@ -21,6 +21,9 @@ from .common import PACKED, Packer, by_bucket, slices, with_key
 
 #: Kinds of records in an exchange by key: texts, and what was found about them.
 TEXT, FOUND = 0, 1
+#: Bits of an anchor's hash that travel; the bucket, of which there are more when there is more text, stands for others. Chance
+#: agreements are few and cost a comparison each, never a wrong result.
+ANCHOR = np.uint64((1 << 32) - 1)
 Text = tuple[bytes, bytes, int]
 
 
@@ -43,7 +46,7 @@ def once(part: pa.RecordBatch, seen: dict[bytes, int]) -> Iterator[Text]:
 
 
 def anchors(texts: DataFrame, n: int, of: Callable[[list[Text]], tuple[np.ndarray, np.ndarray, np.ndarray]], may_match: Callable[[np.ndarray, np.ndarray], np.ndarray], by_key: int) -> DataFrame:
-    """Packed (doc, lo, hi) by document: anchors that occur more than once.
+    """Packed (doc, h) by document: anchors that occur more than once, by ``ANCHOR`` bits of their hash.
 
     ``of(texts)`` gives anchor hashes, flags and the places of their texts; ``may_match(group, flag)`` tells by group of equal
     hashes whether its anchors are candidates.
@@ -61,14 +64,14 @@ def anchors(texts: DataFrame, n: int, of: Callable[[list[Text]], tuple[np.ndarra
                 h, flag, owner = of(found)
                 if len(h):
                     doc = key_parts([k for k, _, _ in found])[0][owner]
-                    packer.add((h >> np.uint64(40)) % np.uint64(n), {"lo": h.astype(np.uint32), "hi": (h >> np.uint64(32)).astype(np.uint8), "flag": flag, "doc": doc})
+                    packer.add((h >> np.uint64(40)) % np.uint64(n), {"h": (h & ANCHOR).astype(np.uint32), "flag": flag, "doc": doc})
                 if packer.full():
                     yield from packer.batches()
         yield from packer.batches()
 
     def match(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
         r = records[0]
-        h = r["lo"].to_numpy().astype(np.uint64) | (r["hi"].to_numpy().astype(np.uint64) << np.uint64(32))
+        h = r["h"].to_numpy()
         order = np.argsort(h, kind="stable")
         sorted_h = h[order]
         group = np.cumsum(np.concatenate([[False], sorted_h[1:] != sorted_h[:-1]]))

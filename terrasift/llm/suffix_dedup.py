@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import PACKED, Packer, buckets, by_bucket, merge_spans, mix, offsets, rolling
-from .repeats import FOUND, Text, anchors, by_doc, key_of, keyed, packed_texts, texts_of
+from .repeats import ANCHOR, FOUND, Text, anchors, by_doc, key_of, keyed, packed_texts, texts_of
 
 WINDOW, GRAM = 200, 40
 _BASE = 0x9E6C63D0876A9A47
@@ -97,7 +97,7 @@ def _contexts(window: int, gram: int, n: int):
                 continue
             flat = np.frombuffer(content, dtype=np.uint8)
             at, h = minimisers(flat, np.array([len(flat)]), window, gram)
-            ok = np.isin(h & np.uint64((1 << 40) - 1), wanted)
+            ok = np.isin(h & ANCHOR, wanted)
             at, h = at[ok], h[ok]
             padded = b"\0" * side + content + b"\0" * side
             for lo in range(0, len(at), 20_000):
