@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from .common import slices
 CHUNK, OVERLAP = 32_768, 1_024
 
 
+@lru_cache(maxsize=2)
 def load(ranks: str, pattern: str):
     """The encoding of a rank file. The file must be reachable on every executor."""
     import tiktoken
@@ -41,7 +43,7 @@ def _encoder(ranks: str, pattern: str, keep: list[tuple[str, pa.DataType]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(ranks, pattern)
         for batch in batches:
-            for part in slices(batch, "__text", 8 << 20):
+            for part in slices(batch, "__text"):
                 ids = [enc.encode_to_numpy(x, allowed_special=set(), disallowed_special=()).astype("<u4").tobytes() for x in part.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k).cast(t) for k, t in keep), pa.array(ids, pa.binary())], schema=schema)
 
@@ -112,7 +114,7 @@ def decode(tokens: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(ranks, pattern)
         for batch in batches:
-            for part in slices(batch, ids_col, 8 << 20):
+            for part in slices(batch, ids_col):
                 out = [None if x is None else enc.decode_bytes(np.frombuffer(x, dtype="<u4").tolist()) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name).cast(arrow.field(f.name).type) for f in fields), pa.array(out, pa.binary())], schema=arrow)
 
