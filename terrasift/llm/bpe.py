@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, trimmed
 
 #: Characters of a chunk and of the overlap of two chunks.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -40,6 +40,7 @@ def load(ranks: str, pattern: str):
 def _encoder(ranks: str, pattern: str, keep: list[tuple[str, pa.DataType]]):
     schema = pa.schema([*keep, ("ids", pa.binary())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(ranks, pattern)
         for batch in batches:
@@ -54,6 +55,7 @@ def _boundaries(pattern: str, overlap: int):
     """For each chunk: boundaries near its start and near its end, as offsets in the text."""
     schema = pa.schema([("__row", pa.string()), ("__chunk", pa.int64()), ("__head", pa.list_(pa.int64())), ("__tail", pa.list_(pa.int64()))])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -111,6 +113,7 @@ def decode(tokens: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", ou
     fields = [f for f in tokens.schema.fields if f.name != out_col]
     arrow = pa.schema([*((f.name, _arrow(f.dataType)) for f in fields), (out_col, pa.binary())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(ranks, pattern)
         for batch in batches:

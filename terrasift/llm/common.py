@@ -10,6 +10,8 @@ its inputs: a lost executor costs its tasks only.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -26,7 +28,7 @@ BUCKET_BYTES = 24 << 20
 #: Text bytes that a Python worker turns into words or hashes at once.
 SLICE_BYTES = 2 << 20
 #: Records that a map task gathers before it packs them.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 16 << 20
 PACKED = "bucket int, kind int, data binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 _IPC = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -66,10 +68,23 @@ def buckets(df: DataFrame, expansion: float) -> int:
     return max(shuffle, math.ceil(plan_bytes(df) * expansion / BUCKET_BYTES))
 
 
-def pack(columns: dict[str, object]) -> bytes:
-    """One zstd-compressed Arrow blob of equally long arrays."""
-    batch = pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
-    return _blob(batch)
+def release() -> None:
+    """Gives freed memory back: a worker that waits for its next task shouldn't hold what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """Decorator of a map task that releases memory at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
 
 
 def _blob(batch: pa.RecordBatch) -> bytes:
@@ -127,6 +142,7 @@ def _rows(ids: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
 def by_bucket(packed: DataFrame, n: int, work: Callable[[int, dict[int, pa.Table]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Deals packed blobs out by bucket and calls ``work(bucket, {kind: records})`` for one bucket at a time."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
         for batch in batches:

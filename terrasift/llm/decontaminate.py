@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets, slices
+from .common import offsets, slices, trimmed
 from .shingles import WIDTH, sets, shingles
 
 THRESHOLD = 0.8
@@ -69,6 +69,7 @@ class _Items:
 def _search(sent):
     schema = pa.schema([("doc", pa.string()), ("item", pa.string()), ("shared", pa.int64()), ("size", pa.int64())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
         for batch in batches:
@@ -124,6 +125,7 @@ def _marked(docs: DataFrame, items: list, spark) -> DataFrame:
     sent = spark.sparkContext.broadcast(items)
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in docs.schema.fields])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         for batch in batches:

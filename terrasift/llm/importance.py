@@ -18,14 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets, saved, slices
+from .common import PACKED, Packer, buckets, by_bucket, mix, offsets, saved, slices, trimmed
+from .repeats import FOUND, TEXT
 from .shingles import lower_words
 
 #: Buckets of the hashed n-grams, the smoothing count of each, the bins of a histogram.
 BUCKETS, SMOOTH, BINS = 10_000, 1.0, 4_096
+#: Parts of the table of buckets in an exchange.
+PARTS = 16
 #: Rows under which the last histogram bin is sorted.
 FEW = 10_000
 
@@ -46,30 +50,56 @@ def ngram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a bucket and task."""
-    total = np.zeros((2, BUCKETS), dtype=np.int64)
+    """Packed (slot, n) by part of the table of n-gram buckets."""
+    total = np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
-            value, n = ngram_buckets(part.column("text").to_pylist())
-            target = np.repeat(np.array([bool(x) for x in part.column("target").to_pylist()]), n)
-            total[0] += np.bincount(value, minlength=BUCKETS)
-            total[1] += np.bincount(value[target], minlength=BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], names=["bucket", "raw", "target"])
+            total += np.bincount(ngram_buckets(part.column("text").to_pylist())[0], minlength=BUCKETS)
+    used, packer = np.flatnonzero(total), Packer()
+    packer.add(used % PARTS, {"slot": used, "n": total[used]})
+    yield from packer.batches()
+
+
+def _packed(kind: int, n: int):
+    """Packs rows by doc_id."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(kind)
+        for batch in batches:
+            for part in slices(batch, "text") if kind == TEXT else [batch]:
+                ids = part.column("doc_id").cast(pa.int64()).to_numpy()
+                packer.add(mix(ids.view(np.uint64)) % np.uint64(n), {c: part.column(c) for c in part.schema.names})
+                if packer.full():
+                    yield from packer.batches()
+        yield from packer.batches()
+
+    return run
+
+
+def _sums(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
+    slot, back = np.unique(records[TEXT]["slot"].to_numpy(), return_inverse=True)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bincount(back, weights=records[TEXT]["n"].to_numpy()).astype(np.int64))], names=["slot", "n"])
+
+
+def _target_counts(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
+    if TEXT in records and FOUND in records:
+        texts = records[TEXT].filter(pc.is_in(records[TEXT]["doc_id"], records[FOUND]["doc_id"].combine_chunks()))
+        yield from _counts(iter(texts.select(["text"]).to_batches()))
 
 
 def fit(docs: DataFrame, targets: DataFrame) -> np.ndarray:
     """Log ratio of each bucket. ``targets``: one column ``doc_id``, the documents of good quality."""
-    good = targets.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True))
-    # the target texts are exchanged alone: all texts would be a far larger exchange
-    raw = docs.select("text").withColumn("target", F.lit(False))
-    named = docs.where("doc_id is not null").select("doc_id", "text").join(good, "doc_id", "left_semi").select("text").withColumn("target", F.lit(True))
+    good = targets.where("doc_id is not null").select("doc_id").distinct()
+    n = buckets(docs, 2.5)
+    # packed, so that the exchange is alike at any size; a target's text meets its id in a bucket
+    named = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_packed(TEXT, n), PACKED).unionAll(good.select("doc_id").mapInArrow(_packed(FOUND, n), PACKED))
     sums = []
-    for rows in (raw, named):
-        got = rows.mapInArrow(_counts, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # one row a bucket
-        out = np.zeros((2, BUCKETS))
-        out[0, got.bucket], out[1, got.bucket] = got.raw, got.target
-        sums.append(out)
-    raw_p, target_p = ((x + SMOOTH) / (x.sum() + SMOOTH * BUCKETS) for x in (sums[0][0], sums[1][1]))
+    for counts in (docs.select("text").mapInArrow(trimmed(_counts), PACKED), by_bucket(named, n, _target_counts, PACKED)):
+        got = by_bucket(counts, PARTS, _sums, "slot bigint, n bigint").toPandas()  # BUCKETS rows at most
+        sums.append(np.bincount(got.slot, weights=got.n, minlength=BUCKETS))
+    raw, target = sums
+    raw_p, target_p = ((x + SMOOTH) / (x.sum() + SMOOTH * BUCKETS) for x in (raw, target))
     return np.log(target_p) - np.log(raw_p)
 
 
@@ -78,6 +108,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = 17) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
     schema = pa.schema([("id", pa.string()), ("log_ratio", pa.float64())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import PACKED, Packer, buckets, by_bucket, mix, offsets, saved, slices, with_key
+from .common import PACKED, Packer, buckets, by_bucket, mix, offsets, saved, slices, trimmed, with_key
 from .neighbours import bucket_links, components, forest, minhash, star_edges, tiled
 from .repeats import FOUND, TEXT
 from .rows import by_row, packed_found, packed_rows
@@ -58,6 +58,7 @@ def _bands(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return key
 
 
+@trimmed
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("node", pa.int64()), ("bands", pa.binary())])
     for batch in batches:
@@ -70,6 +71,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _band_records(n: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer()
         for batch in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, UNSPACED, Hashed, Packer, buckets, by_bucket, mix, offsets, ranges, saved, slices, with_key
+from .common import PACKED, UNSPACED, Hashed, Packer, buckets, by_bucket, mix, offsets, ranges, saved, slices, trimmed, with_key
 from .neighbours import bucket_links, components, star_edges, tiled
 from .repeats import FOUND, TEXT
 from .rows import by_row, ids_of, packed_found, packed_rows
@@ -66,6 +66,7 @@ class _Lines:
 def _scan(n: int):
     """Packs the places of the distinct lines of each slice by line, and the task's token counts by part of the table."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, table = Packer(LINES), np.zeros(1 << TABLE, dtype=np.int64)
         for batch in batches:
@@ -126,6 +127,7 @@ def _ordered(flat: np.ndarray, owner: np.ndarray, table: np.ndarray) -> tuple[np
 def _prefixes(n_buckets: int, sent, threshold: float):
     """Packs (token, node, size, position, sketch) of the prefix tokens of the distinct lines of each slice."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer()
         for batch in batches:

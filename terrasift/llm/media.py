@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_path, slices
+from .common import shared_path, slices, trimmed
 
 #: Samples in a row of the image; payloads are padded to a multiple of it.
 WIDTH = 192
@@ -86,6 +86,7 @@ def from_png(media: bytes) -> tuple[bytes, int]:
 def _writer(root: str):
     schema = pa.schema([("archive", pa.string()), ("members", pa.int64()), ("bytes", pa.int64())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(root)
         store.create_dir(folder, recursive=True)
@@ -226,6 +227,7 @@ def decode(members: DataFrame) -> DataFrame:
     """Rows (id string, n_bytes, payload binary, media binary, feature string) from the stored bytes."""
     schema = pa.schema([("id", pa.string()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("feature", pa.string())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "media", BATCH_BYTES):

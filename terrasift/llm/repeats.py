@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Packer, by_bucket, slices, with_key
+from .common import PACKED, Packer, by_bucket, slices, trimmed, with_key
 
 #: Kinds of records in an exchange by key: texts, and what was found about them.
 TEXT, FOUND = 0, 1
@@ -52,6 +52,7 @@ def anchors(texts: DataFrame, n: int, of: Callable[[list[Text]], tuple[np.ndarra
     hashes whether its anchors are candidates.
     """
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(), {}
         for batch in batches:
@@ -89,6 +90,7 @@ def anchors(texts: DataFrame, n: int, of: Callable[[list[Text]], tuple[np.ndarra
 def packed_texts(texts: DataFrame, by_key: int, least: int) -> DataFrame:
     """Packed (doc, key2, content) by key; texts of under ``least`` bytes stay out."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(TEXT), {}
         for batch in batches:

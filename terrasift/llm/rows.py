@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Packer, mix, slices
+from .common import Packer, mix, slices, trimmed
 from .repeats import FOUND, TEXT, key_parts
 
 #: Stands for a null id; ids come after all others with it.
@@ -31,6 +31,7 @@ def row_bucket(ids: np.ndarray, k1: np.ndarray, n: int) -> np.ndarray:
 def packed_rows(n: int):
     """Packs all columns of the rows by row."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TEXT)
         for batch in batches:
@@ -47,6 +48,7 @@ def packed_rows(n: int):
 def packed_found(n: int, columns: list[str]):
     """Packs records (doc_id, __key, ...) by their row."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(FOUND)
         for batch in batches:

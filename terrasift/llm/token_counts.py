@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, slices
+from .common import shared_path, slices, trimmed
 
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
 
@@ -47,6 +47,7 @@ def _counter(path: str):
 def _encode(path: str):
     schema = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
         for batch in batches:
