@@ -23,12 +23,16 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import place_queries  # noqa: F401  fills the registry
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _ORACLE
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    """Coordinate confidence per region after repair, on the smallest tables."""
+    return queries()["pair_confidence_by_region"](spark, "/root/testdata/sf0.001")
