@@ -16,6 +16,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Bytes of the files below a plan, as its optimised form estimates them."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files below a plan, as its optimised form estimates them; of the strings themselves if it can't tell."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found < 1 << 50:
+        return found
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return df.select(F.sum(reduce(lambda a, b: a + b, texts, F.lit(0)))).first()[0] or 0
 
 
 def buckets(df: DataFrame, expansion: float) -> int:
