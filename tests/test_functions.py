@@ -57,3 +57,31 @@ def test_robust_centroid_resists_an_outlier(spark):
     rows = [(1, 0.0, 0.0), (1, 10.0, 0.0), (1, 0.0, 10.0), (1, 10.0, 10.0), (1, 9000.0, 9000.0), (2, 4.0, 6.0), (2, 8.0, 2.0)]
     got = {r.k: (r.x, r.y) for r in fusion.robust_centroid(spark.createDataFrame(rows, "k int, x double, y double"), "k").collect()}
     assert got[2] == (6.0, 4.0) and abs(got[1][0] - 5) < 10 and abs(got[1][1] - 5) < 10
+
+
+@pytest.mark.parametrize(
+    "raw, cleaned, kind",
+    [
+        ("C/Garcilaso de la Vega, n/ 5, bajo, Tíjola, disponible 24 horas", "Calle Garcilaso de la Vega, 5, Tíjola", "STREET"),
+        ("Lugar más próximo donde se localice la emergencia", None, "NAMED"),
+        ("Avda. Andalucía nº 12", "Avenida Andalucía, 12", "STREET"),
+        ("Ctra. A-92 km 3", "Carretera A-92 km 3", "ROAD"),
+        ("Paraje Los Llanos s/n", "Paraje Los Llanos s/n", "RURAL"),
+        ("", None, "EMPTY"),
+        (None, None, "EMPTY"),
+    ],
+)
+def test_address(spark, raw, cleaned, kind):
+    from terrasift.functions import address
+
+    got = one(spark, F.struct(address.clean(F.col("t")).alias("c"), address.kind(F.col("t")).alias("k"), address.quality(F.col("t")).alias("q")), t=raw)
+    assert (got.c, got.k) == (cleaned, kind)
+    assert (got.q > 0) == (cleaned is not None)
+
+
+def test_address_parts(spark):
+    from terrasift.functions import address
+
+    got = one(spark, address.parts(F.col("t")), t="C/ Mayor, 7, 18001 Granada")
+    assert (got.street, got.number, got.postcode, got.locality) == ("Calle Mayor", "7", "18001", "Granada")
+    assert one(spark, address.geocodable(F.col("t")), t="C/ Mayor, 7, 18001 Granada")
