@@ -26,14 +26,26 @@ def robust_centroid(candidates: DataFrame, key: str, k: float = 1.345, rounds: i
     def away(m: Column) -> Column:
         return F.transform("p", lambda q: F.sqrt((q["x"] - m["x"]) * (q["x"] - m["x"]) + (q["y"] - m["y"]) * (q["y"] - m["y"])))
 
+    def let(value: Column, use) -> Column:
+        """Evaluates ``value`` once for all its uses."""
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
     def step(m: Column, _: Column) -> Column:
-        scale = F.greatest(F.lit(floor), 1.4826 * median(away(m)))
-        weight = lambda q: F.least(F.lit(1.0), k * scale / F.greatest(F.lit(1e-9), F.sqrt((q["x"] - m["x"]) * (q["x"] - m["x"]) + (q["y"] - m["y"]) * (q["y"] - m["y"]))))
-        total = F.aggregate("p", F.lit(0.0), lambda s, q: s + weight(q))
-        x = F.aggregate("p", F.lit(0.0), lambda s, q: s + weight(q) * q["x"]) / total
-        y = F.aggregate("p", F.lit(0.0), lambda s, q: s + weight(q) * q["y"]) / total
-        moved = F.sqrt((x - m["x"]) * (x - m["x"]) + (y - m["y"]) * (y - m["y"]))
-        return F.when(m["done"], m).otherwise(F.struct(x.alias("x"), y.alias("y"), (moved < tolerance).alias("done")))
+        def weighted(d: Column) -> Column:
+            return let(F.greatest(F.lit(floor), 1.4826 * median(d)), lambda scale: let(F.transform(d, lambda v: F.least(F.lit(1.0), k * scale / F.greatest(F.lit(1e-9), v))), centre))
+
+        def centre(w: Column) -> Column:
+            x, y = (total(F.zip_with("p", w, (lambda c: lambda q, v: q[c] * v)(c))) / total(w) for c in ("x", "y"))
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        def judged(c: Column) -> Column:
+            moved = F.sqrt((c["x"] - m["x"]) * (c["x"] - m["x"]) + (c["y"] - m["y"]) * (c["y"] - m["y"]))
+            return F.struct(c["x"].alias("x"), c["y"].alias("y"), (moved < tolerance).alias("done"))
+
+        return F.when(m["done"], m).otherwise(let(let(away(m), weighted), judged))
 
     start = F.struct(median(F.transform("p", lambda q: q["x"])).alias("x"), median(F.transform("p", lambda q: q["y"])).alias("y"), F.lit(False).alias("done"))
     fitted = F.when(F.size("p") <= 2, F.struct(mean("x").alias("x"), mean("y").alias("y"), F.lit(True).alias("done"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
