@@ -343,3 +343,12 @@ def test_pipeline(spark, sf_dir):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == {tuple(r) for r in rows}
+
+
+def test_toxicity_learns_from_training_rows_only(spark):
+    texts = [(i, "calm words of a quiet town by the river" + (" stupid idiot clown" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, _, y in texts]
+    models = [toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in ([(i, y) for i, _, y in texts], flipped)]
+    assert models[0].margin == models[1].margin and models[0].curve == models[1].curve
+    assert (models[0].uni == models[1].uni).all()
