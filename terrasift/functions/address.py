@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match, strip_accents
+from .text import first_match, repair_encoding, strip_accents
 
 # Street words, their short forms, and patterns in the order in which they decide.
 STREET_FORMS = [("^c/|^c\\.\\s|^cl\\.?\\s", "Calle "), ("^avda?\\.?\\s|^av\\.?\\s", "Avenida "), ("^pza\\.?\\s|^pl\\.?\\s", "Plaza "), ("^ctra\\.?\\s", "Carretera "), ("^p[ºo]\\.?\\s", "Paseo "), ("^urb\\.?\\s", "Urbanización "), ("^bda\\.?\\s", "Barriada ")]
@@ -60,3 +60,67 @@ def geocodable(address: Column) -> Column:
     """Quality of 70, or of 50 with a locality."""
     q = quality(address)
     return (q >= 70) | ((q >= 50) & parts(address)["locality"].isNotNull())
+
+
+# Names of facilities that precede an address, remarks that follow one, and words that stay small in names.
+FACILITIES = ["centro de salud", "consultorio", "hospital", "ceip", "ies", "colegio", "policía local", "guardia civil", "bomberos", "protección civil", "ayuntamiento", "polideportivo", "biblioteca", "residencia"]
+REMARKS = [r",?\s*disponible\s.*$", r",?\s*tel[eéf]*\.?:?\s*\d[\d\s]{7,}.*$", r",?\s*\b(planta baja|bajo|local|1ª planta)\b\.?", r"\s*\([^)]*\)", r",?\s*\bs\s*/\s*n\b\.?"]
+SMALL = ["de", "del", "la", "las", "los", "el", "y"]
+STREETS = r"\b(c/|calle\b|avda?\b|avenida\b|plaza\b|pza\b|paseo\b|ctra\b|carretera\b|camino\b|pol[ií]gono\b)"
+
+
+def unlocatable(address: Column) -> Column:
+    """Why an address can't be located: NO_PLACE, CADASTRAL or SEVERAL, or null.
+
+    Two street words are one address if one of them is an estate, or in ``C/ PLAZA``.
+    """
+    low = F.lower(address)
+    n = F.size(F.regexp_extract_all(low, F.lit(STREETS), F.lit(1)))
+    pair = (n == 2) & (low.rlike(r"\bpol[ií]gono\b") | low.rlike(r"\bc/\s*plaza\b"))
+    return F.when(low.rlike(r"\b\d{7}[a-z]{2}\d{4}[a-z]\b|\bparcela\s+\d+"), "CADASTRAL").when(~can_be_located(address), "NO_PLACE").when((n > 1) & ~pair, "SEVERAL")
+
+
+def capitalised(text: Column) -> Column:
+    """Capitals at the start of words, small words small but for the first."""
+    words = F.split(text, " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(SMALL), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))))), " ")
+
+
+def street(address: Column) -> Column:
+    """Struct (street, reason, stages): encoding, facility names, remarks, street words, number, punctuation, capitals.
+
+    ``street`` is null with a ``reason``; ``stages`` names the stages that changed the text.
+    """
+    head = "|".join(FACILITIES)
+    cut = lambda c: F.regexp_replace(c, rf"(?i)^(?:{head})\b[^,]*,\s*", "")
+
+    def without_remarks(c: Column) -> Column:
+        for pattern in REMARKS:
+            c = F.regexp_replace(c, f"(?i){pattern}", "")
+        return c
+
+    def full_words(c: Column) -> Column:
+        c = F.regexp_replace(c, r"(?i)\bc/\s*plaza\b", "Plaza")
+        for short, full in STREET_FORMS:
+            c = F.regexp_replace(c, f"(?i){short}", full)
+        return c
+
+    plan = [
+        ("encoding", repair_encoding), ("facility", cut), ("remarks", without_remarks), ("words", full_words),
+        ("number", lambda c: F.regexp_replace(c, r"(?i),?\s*\b(?:n[º°.]?\s*/?|núm\.?|número)\s*(?=\d)", ", ")),
+        ("punctuation", lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*,(\s*,)*\s*", ", "), r"\s+", " ")), r"^[,.;:\s]+|[,.;:\s]+$", "")),
+        ("capitals", capitalised),
+    ]
+    # each stage is evaluated once and handed on: nested, the texts would multiply with every use
+    state = F.array(F.struct(F.trim(address).alias("t"), F.lit("").alias("s")))
+    for name, step in plan:
+        state = F.transform(state, (lambda n, f: lambda e: _stage(e, n, f))(name, step))
+    end = F.get(state, 0)
+    reason = unlocatable(address)
+    done = F.when(reason.isNull(), F.nullif(end["t"], F.lit("")))
+    return F.when(address.isNotNull(), F.struct(done.alias("street"), reason.alias("reason"), F.filter(F.split(end["s"], " "), lambda s: s != "").alias("stages")))
+
+
+def _stage(state: Column, name: str, step) -> Column:
+    both = F.transform(F.array(step(state["t"])), lambda new: F.struct(new.alias("t"), F.when(new != state["t"], F.concat(state["s"], F.lit(f" {name}"))).otherwise(state["s"]).alias("s")))
+    return F.get(both, 0)

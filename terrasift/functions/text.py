@@ -42,9 +42,10 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def repair_encoding(text: Column) -> Column:
-    """Undoes UTF-8 that was read as Latin-1, where the bytes allow it; other texts stay."""
-    bytes_ = F.encode(text, "ISO-8859-1")
-    return F.when(text.rlike("[ÃÂ][\u0080-¿]") & F.is_valid_utf8(F.decode(bytes_, "UTF-8")), F.decode(bytes_, "UTF-8")).otherwise(text)
+    """Undoes UTF-8 that was read as Latin-1, pair by pair: what is sound around a broken letter stays."""
+    pieces = F.regexp_extract_all(text, F.lit("((?:[ÃÂ][\u0080-¿])+|[^ÃÂ]+|[ÃÂ])"))
+    whole = lambda p: F.when(p.rlike("^[ÃÂ][\u0080-¿]"), F.decode(F.encode(p, "ISO-8859-1"), "UTF-8")).otherwise(p)
+    return F.when(text.rlike("[ÃÂ][\u0080-¿]"), F.array_join(F.transform(pieces, whole), "")).otherwise(text)
 
 
 def split_camel(text: Column) -> Column:

@@ -91,3 +91,39 @@ def spatial_cascade(x: Column, y: Column, centre_x: Column, centre_y: Column, in
     state = F.when(~yes[0], "OUT_OF_RANGE").when(yes[1], "INSIDE").when(yes[2], "AT_BORDER").when(yes[3], "NEIGHBOUR").otherwise("OUTSIDE")
     steps = F.array(*(F.struct(F.lit(i).alias("level"), p.alias("passed")) for i, p in enumerate(yes, 1)))
     return F.struct(level.alias("level"), state.alias("state"), F.slice(steps, F.lit(1), level).alias("trace"))
+
+
+def predicate(name: str, contains: str | None = None, box: tuple[float, float, float, float] | None = None) -> Column:
+    """Filter of a feature layer: a name that contains a text in any case (its % and _ taken literally), and a box (min_x, min_y, max_x, max_y).
+
+    Both are plain comparisons, so that the box reaches a Parquet scan.
+    """
+    out = F.lit(True)
+    if contains:
+        safe = contains.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+        out = out & F.col(name).ilike(f"%{safe}%")
+    if box is not None:
+        out = out & F.col("x").between(float(box[0]), float(box[2])) & F.col("y").between(float(box[1]), float(box[3]))
+    return out
+
+
+def best_match(requests: DataFrame, layer: DataFrame, on: list[str], key: str, feature_key: str, floor: float, only: int = 0) -> DataFrame:
+    """The feature of a layer with the highest name similarity (0 to 100) of at least ``floor``; columns ``score``, ``how``.
+
+    Sources differ in what they give without one: with ``only`` = n, the first feature where there are at most n in all
+    (ONLY), else nothing. Ties go to the smaller feature key. Requests without an answer have no row.
+    """
+    fields = [c for c in layer.columns if c not in on]
+    scored = requests.join(layer, on).withColumn("score", T.similarity(F.col("name"), F.col("fname")))
+    order = F.struct(-F.col("score"), F.col(feature_key))
+    best = scored.groupBy(key).agg(F.min_by(F.struct(*fields, "score"), order).alias("m"), F.min_by(F.struct(*fields, "score"), F.col(feature_key)).alias("f"), F.count("*").alias("n"))
+    good = F.col("m.score") >= floor
+    out = best.where(good | (F.col("n") <= only)).withColumn("how", F.when(good, "MATCH").otherwise("ONLY")).withColumn("c", F.when(good, F.col("m")).otherwise(F.col("f")))
+    return out.select(key, "c.*", "how")
+
+
+def by_operator(towers: DataFrame, requests: DataFrame, on: list[str], key: str, feature_key: str) -> DataFrame:
+    """One tower a request: of several the first (by key) whose ``operator`` the request's name mentions, else the first."""
+    named = F.coalesce(plain(F.col("name")).contains(plain(F.col("operator"))), F.lit(False))
+    joined = requests.join(towers, on)
+    return joined.groupBy(key).agg(F.min_by(feature_key, F.struct(~named, F.col(feature_key))).alias(feature_key))

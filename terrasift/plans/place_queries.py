@@ -327,7 +327,7 @@ def ttl_latest(spark, sf_dir):
 @register("sliding_alert", "select time_bucket(interval 1 hour, ts) as hour, count(*) as n from events where event_type = 'error' group by 1 having count(*) >= 3")
 def sliding_alert(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    return e.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).where("n >= 3")
+    return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n")).where("n >= 3")
 
 
 @register("rule_stability", "select user_id as rule_id, count(*) as uses, cast(sum(case when event_type <> 'error' then 1 else 0 end) as bigint) as successes, count(*) >= 10 and sum(case when event_type <> 'error' then 1 else 0 end) / cast(count(*) as double) >= 0.95 as stable from events group by 1")

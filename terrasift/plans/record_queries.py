@@ -57,7 +57,7 @@ def kinds_sorted(spark, sf_dir):
 
 @register("alerts_by_motive", "select event_type as motive, time_bucket(interval 1 day, ts) as day, count(*) as n from events group by 1, 2 having count(*) >= 2")
 def alerts_by_motive(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("motive"), F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n")).where("n >= 2")
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("motive"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n")).where("n >= 2")
 
 
 @register("rule_averages", "select event_type, count(*) as uses, floor(avg(value) * 1000 + 0.5) / 1000 as mean, count(distinct user_id) as rules from events group by 1")
@@ -113,7 +113,7 @@ def rules_apply(spark, sf_dir):
     return rules.apply(rows, catalogue).select("id", "rule", cents(F.col("corrected")).alias("corrected"))
 
 
-@register("rules_learn", P("select id % 4 as shape, case id % 4 when 0 then 'multiply' when 1 then 'add' when 2 then 'multiply' else 'custom' end as action, case id % 4 when 0 then 1000.0 when 1 then 4000000.0 when 2 then 10.0 end as amount, count(*) as n from p group by 1, 2, 3"))
+@register("rules_learn", P("select id % 4 as shape, case id % 4 when 0 then 'multiply' when 1 then 'add' when 2 then 'multiply' else 'custom' end as action, case id % 4 when 0 then 1000.0::double when 1 then 4000000.0::double when 2 then 10.0::double end as amount, count(*) as n from p group by 1, 2, 3"))
 def rules_learn(spark, sf_dir):
     k, y = F.col("id") % 4, F.col("y")
     wrong = F.when(k == 0, y / 1000).when(k == 1, y - 4_000_000).when(k == 2, y / 10).otherwise(y + 37)
@@ -161,7 +161,7 @@ def catalogue_lookup(spark, sf_dir):
 
 
 @register("name_candidates", P("""select id, fid, score from (select id, fid, score, row_number() over (partition by id order by score desc, fid) as r from (
-select id, fid, case when lower(right(name, 3)) = lower(right(fname, 3)) then 100.0 when contains(lower(right(fname, 3)), lower(right(name, 3))) then 80.0 else 0.0 end as score from p join f using (mun)) a) b where r <= 2"""))
+select id, fid, case when lower(right(name, 3)) = lower(right(fname, 3)) then 100.0::double when contains(lower(right(fname, 3)), lower(right(name, 3))) then 80.0::double else 0.0::double end as score from p join f using (mun)) a) b where r <= 2"""))
 def name_candidates(spark, sf_dir):
     p = points(spark, sf_dir).select("id", "mun", F.expr("right(name, 3)").alias("name"))
     f = features(spark, sf_dir).select("fid", "mun", F.expr("right(fname, 3)").alias("fname"))
@@ -223,6 +223,27 @@ def spatial_cascade(spark, sf_dir):
     return points(spark, sf_dir).select(c.alias("c")).groupBy(F.col("c.level").alias("level"), F.col("c.state").alias("state")).agg(F.count("*").alias("n"))
 
 
+@register("source_match", P("""select id, fid, how from (select id, fid, case when same then 'MATCH' else 'ONLY' end as how, row_number() over (partition by id order by same desc, fid) as r from (
+select id, fid, right(name, 1) = right(fname, 1) as same, count(*) over (partition by id) as n from p join f using (mun)) a where same or n = 1) b where r = 1"""))
+def source_match(spark, sf_dir):
+    p = points(spark, sf_dir).select("id", "mun", F.expr("right(name, 1)").alias("name"))
+    f = features(spark, sf_dir).select("fid", "mun", F.expr("right(fname, 1)").alias("fname"))
+    return candidates.best_match(p, f, ["mun"], "id", "fid", 50.0, only=1).select("id", "fid", "how")
+
+
+@register("source_search", P("select fid from f where fname ilike '%r#0000%' and x between 150000 and 500000 and y between 4000000 and 4200000"))
+def source_search(spark, sf_dir):
+    return features(spark, sf_dir).where(candidates.predicate("fname", "R#0000", box=(150_000, 4_000_000, 500_000, 4_200_000))).select("fid")
+
+
+@register("street_names", "select c_custkey as id, case c_custkey % 4 when 0 then 'Calle Garcilaso de la Vega, ' || cast(1 + c_custkey % 90 as varchar) when 1 then 'Plaza de la Constitución' when 2 then 'Avenida de Andalucía, ' || cast(1 + c_custkey % 90 as varchar) end as street from customer")
+def street_names(spark, sf_dir):
+    k = F.col("c_custkey")
+    n = (1 + k % 90).cast("string")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("Policía Local, C/GARCILASO DE LA VEGA, n/ "), n, F.lit(", disponible 24 horas"))).when(k % 4 == 1, "Ayuntamiento, C/ PLAZA DE LA CONSTITUCIÓN").when(k % 4 == 2, F.concat(F.lit("avda. de andalucÃ\u00ada nº "), n)).otherwise("C/ Mayor 3 y C/ Menor 4")
+    return table(spark, sf_dir, "customer").select(k.alias("id"), address.street(raw)["street"].alias("street"))
+
+
 @register("merge_results", P("select p.id, case when p.id % 5 <> 0 then p.x else f.x end as x, case when p.id % 5 <> 0 then 'original' when f.fid is not null then 'located' end as origin from p left join f on f.fid = p.id"))
 def merge_results(spark, sf_dir):
     p = points(spark, sf_dir).select("id", F.when(F.col("id") % 5 != 0, F.col("x")).alias("x0"))

@@ -41,6 +41,8 @@ def test_projection_round_trip(spark):
 def test_text(spark):
     assert one(spark, text.repair_encoding(F.col("t")), t="MÃ¡laga") == "Málaga"
     assert one(spark, text.repair_encoding(F.col("t")), t="Málaga") == "Málaga"
+    assert one(spark, text.repair_encoding(F.col("t")), t="AlmerÃ\u00ada nº 3 日本 Ã Â¿") == "Almería nº 3 日本 Ã ¿"
+    assert one(spark, text.repair_encoding(F.col("t")), t=None) is None
     assert one(spark, text.similarity(F.col("a"), F.col("b")), a="Centro de Salud", b="centro salúd de") == 60.0
     assert one(spark, text.similarity(F.col("a"), F.col("b")), a="Almería", b="ALMERIA") == 100.0
     assert one(spark, text.split_camel(F.col("t")), t="CentroSalud24") == "Centro Salud 24"

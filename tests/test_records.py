@@ -111,3 +111,31 @@ def test_reprojection(spark):
     old = moved(spark, 500_000.0, 4_100_000.0, "EPSG:23030", geo.ED50_SHIFT)
     assert 80 < 500_000 - old.x < 150 and 180 < 4_100_000 - old.y < 230
     assert moved(spark, 1.0, 1.0, "EPSG:1").x is None and moved(spark, None, 1.0, "EPSG:25829").x is None
+
+
+@pytest.mark.parametrize(
+    "raw, street, reason",
+    [
+        ("Policía Local, C/GARCILASO DE LA VEGA, n/ 5, disponible 24 horas", "Calle Garcilaso de la Vega, 5", None), ("C/ Mayor 3 y C/ Menor 4", None, "SEVERAL"), ("POLIGONO C/ QUINTA AVENIDA", None, "SEVERAL"),
+        ("POLIGONO C/ QUINTA", "Poligono C/ Quinta", None), ("C/ PLAZA DE LA CONSTITUCIÓN", "Plaza de la Constitución", None), ("Parcela 12 polígono 3", None, "CADASTRAL"), ("", None, "NO_PLACE"),
+    ],
+)
+def test_street(spark, raw, street, reason):
+    from terrasift.functions import address
+
+    got = one(spark, address.street(F.col("t")), t=raw)
+    assert (got.street, got.reason) == (street, reason)
+
+
+def test_street_null(spark):
+    from terrasift.functions import address
+
+    assert one(spark, address.street(F.col("t")), t=None) is None
+
+
+def test_source_answers(spark):
+    requests = spark.createDataFrame([(1, "a", "Torre Vodafone norte"), (2, "b", "nada"), (3, "c", "nada")], "id int, mun string, name string")
+    layer = spark.createDataFrame([(5, "a", "torre norte", "Orange"), (6, "a", "torre", "Vodafone"), (7, "b", "x_y", "Orange"), (8, "c", "uno", "A"), (9, "c", "dos", "B")], "fid int, mun string, fname string, operator string")
+    assert {(r.id, r.fid, r.how) for r in candidates.best_match(requests, layer, ["mun"], "id", "fid", 60.0, only=1).collect()} == {(1, 6, "MATCH"), (2, 7, "ONLY")}
+    assert {(r.id, r.fid) for r in candidates.by_operator(layer, requests, ["mun"], "id", "fid").collect()} == {(1, 6), (2, 7), (3, 8)}
+    assert [r.fid for r in layer.where(candidates.predicate("fname", "x_y")).collect()] == [7] and layer.where(candidates.predicate("fname", "_")).count() == 1
