@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import address, codes, coords, fused_text, geo
 from ..operators import candidates, profile, rules
-from .place_queries import _PX, _PY, D, P, S, cents
+from .place_queries import _NORM, _PX, _PY, D, P, S, cents
 from .registry import register
 from .views import dirty, features, points, sources, table
 
@@ -168,6 +168,19 @@ def name_candidates(spark, sf_dir):
     return candidates.best_names(p, f, ["mun"], "id", "fid", 2).select("id", "fid", "score")
 
 
+_WORDS = "regexp_split_to_array({}, '\\s+')"
+_NAME_SCORE = f"""case when a = b then 100.0::double when contains(b, a) then 80.0::double when contains(a, b) then 60.0::double
+else len(list_filter({_WORDS.format('a')}, lambda v: len(list_filter({_WORDS.format('b')}, lambda o: contains(o, v) or contains(v, o))) > 0)) * 40.0::double / len({_WORDS.format('a')}) end"""
+
+
+@register("name_candidates_whole", P(f"""select id, fid, score from (select id, fid, score, row_number() over (partition by id order by score desc, fid) as r from (
+select id, fid, {_NAME_SCORE} as score from (select id, fid, strip_accents(lower(trim(name))) as a, strip_accents(lower(trim(fname))) as b from p join f using (mun)) a) b) c where r <= 2"""))
+def name_candidates_whole(spark, sf_dir):
+    """As name_candidates, by the operator's score of whole names."""
+    p, f = points(spark, sf_dir).select("id", "mun", "name"), features(spark, sf_dir).select("fid", "mun", "fname")
+    return candidates.best_names(p, f, ["mun"], "id", "fid", 2).select("id", "fid", "score")
+
+
 @register("separate_words", "select p_partkey as id, 'Centro Salud ' || cast(1000 + p_partkey % 9000 as varchar) as text, case when p_partkey % 2 = 0 then 2 else 1 end as n_rules, 'ALTA' as confidence from part")
 def separate_words(spark, sf_dir):
     n = (1000 + F.col("p_partkey") % 9000).cast("string")
@@ -231,6 +244,22 @@ def source_match(spark, sf_dir):
     return candidates.best_match(p, f, ["mun"], "id", "fid", 50.0, only=1).select("id", "fid", "how")
 
 
+_SIMILARITY = """case when a = b then 100.0::double when least(length(a), length(b)) > 0 and (contains(a, b) or contains(b, a)) then 70 + 30.0::double * least(length(a), length(b)) / greatest(length(a), length(b))
+when j >= 0.5 then 60.0::double else 50 * j end"""
+_WORD_SET = "list_distinct(list_filter(string_split({}, ' '), lambda v: v <> ''))"
+
+
+@register("source_match_whole", P(f""", n as (select id, fid, {_NORM.format(c='name')} as a, {_NORM.format(c='fname')} as b from p join f using (mun)),
+w as (select *, {_WORD_SET.format('a')} as wa, {_WORD_SET.format('b')} as wb from n),
+j as (select *, case when len(list_distinct(list_concat(wa, wb))) = 0 then 0.0::double else len(list_intersect(wa, wb)) / cast(len(list_distinct(list_concat(wa, wb))) as double) end as j from w),
+s as (select id, fid, {_SIMILARITY} as score from j)
+select id, fid, how from (select id, fid, case when score >= 50 then 'MATCH' else 'ONLY' end as how, score, row_number() over (partition by id order by score desc, fid) as r, count(*) over (partition by id) as n from s) t where r = 1 and (score >= 50 or n = 1)"""))
+def source_match_whole(spark, sf_dir):
+    """As source_match, by the similarity of whole names."""
+    p, f = points(spark, sf_dir).select("id", "mun", "name"), features(spark, sf_dir).select("fid", "mun", "fname")
+    return candidates.best_match(p, f, ["mun"], "id", "fid", 50.0, only=1).select("id", "fid", "how")
+
+
 @register("source_search", P("select fid from f where fname ilike '%r#0000%' and x between 150000 and 500000 and y between 4000000 and 4200000"))
 def source_search(spark, sf_dir):
     return features(spark, sf_dir).where(candidates.predicate("fname", "R#0000", box=(150_000, 4_000_000, 500_000, 4_200_000))).select("fid")
