@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +33,47 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k:
     return within(left, right, radius).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that driver and executors share (``spark.checkpoint.dir``); only local mode does without one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir():
+        return df.checkpoint()
+    if not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return df.localCheckpoint()
+
+
+def nearest_all(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int) -> DataFrame:
+    """The k nearest right points of each left point, however far, with their rank; equal distances by right key. Points without a place have no row.
+
+    Rounds of :func:`within`: the first radius holds a few right points at their mean density, and left points with fewer than k hits go
+    through a radius twice as long, until one spans both tables. Hits inside a radius are complete, so k of them are the nearest.
+    A round's hits and the points left over are checkpointed, or the plan would grow with the power of the rounds.
+    """
+    box = [f(c).alias(f"{c}_{i}") for i, f in enumerate((F.min, F.max)) for c in ("x", "y")]
+    placed = lambda d: d.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    todo, right = placed(left), placed(right)
+    both = [d.agg(*box, F.count("*").alias("n")).first() for d in (todo, right)]
+    if not both[0].n or not both[1].n:
+        return within(left, right, 1.0).limit(0).withColumn("rank", F.lit(0))
+    low, high = ([f(getattr(b, f"{c}_{i}") for b in both) for c in ("x", "y")] for i, f in enumerate((min, max)))
+    span = math.hypot(high[0] - low[0], high[1] - low[1]) * 1.01 or 1.0
+    wide, tall = (max(getattr(both[1], f"{c}_1") - getattr(both[1], f"{c}_0"), span / 1_000) for c in ("x", "y"))
+    radius = min(span, 1.5 * math.sqrt(wide * tall * k / both[1].n)) if both[1].n > k else span
+    rank, whole, parts = F.row_number().over(W.partitionBy(left_key).orderBy("distance", right_key)), W.partitionBy(left_key), []
+    while True:
+        best = within(todo, right, radius).withColumn("rank", rank).where(F.col("rank") <= k)
+        if radius >= span:
+            return reduce(DataFrame.unionByName, [*parts, best])
+        # a hit at the very edge may fall to a cell beyond the neighbours by rounding, so the k-th must be a little nearer
+        full = _cut(best.withColumn("__k", F.count_if(F.col("distance") < radius * (1 - 1e-9)).over(whole)).where(F.col("__k") == k).drop("__k"))
+        todo = _cut(todo.join(full.where(F.col("rank") == k).select(left_key), left_key, "left_anti"))
+        parts.append(full)
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        radius = min(2 * radius, span)
+
+
 def overlapping(boxes: DataFrame, key: str, margin: float, cell: float) -> DataFrame:
     """Pairs (a, b), a < b, of boxes (min_x, min_y, max_x, max_y) that meet when each grows by ``margin``; once each."""
     low = lambda c: F.floor((F.col(c) - margin) / cell).cast("long")

@@ -217,6 +217,13 @@ def nearest_features(spark, sf_dir):
     return near.select("id", "fid", F.col("rank").cast("bigint").alias("rank"))
 
 
+@register("nearest_features_all", P("select id, fid, rank from (select id, fid, row_number() over (partition by id order by (p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y), fid) as rank from p, f) t where rank <= 3"))
+def nearest_features_all(spark, sf_dir):
+    """As nearest_features, however far they are."""
+    near = spatial.nearest_all(points(spark, sf_dir).select("id", "x", "y"), features(spark, sf_dir).select("fid", "x", "y"), "id", "fid", 3)
+    return near.select("id", "fid", F.col("rank").cast("bigint").alias("rank"))
+
+
 _BOX = "select mun, min(x) as min_x, min(y) as min_y, max(x) as max_x, max(y) as max_y from f where kind in ('SANITARIO', 'CULTURAL') group by mun"
 
 

@@ -1,11 +1,12 @@
 """The whole job where a query of the star schema does a part of it: whole names, all rows, no radius."""
 
+import math
 import random
 import re
 
 import pytest
 
-from terrasift.operators import candidates
+from terrasift.operators import candidates, spatial
 from terrasift.plans import registry
 
 
@@ -72,3 +73,28 @@ def test_whole_names(spark):
     sf = "/root/testdata/sf0.1"
     assert {r.score for r in ask(spark, sf, "name_candidates_whole").select("score").distinct().collect()} == {0.0}
     assert ask(spark, sf, "source_match_whole").where("how = 'MATCH'").count() == 0
+
+
+# ------------------------------------------------------------ nearest, however far
+
+
+def test_nearest_all_brute_force(spark):
+    """A cluster, a few far points and one very far: sparse places have neighbours too, equal distances go by key."""
+    r = random.Random(11)
+    f = [(i, r.uniform(0, 100), r.uniform(0, 100)) for i in range(200)] + [(200, 5_000.0, 5_000.0), (201, -90_000.0, 40.0), (202, 5_000.0, 5_010.0)]
+    p = [(i, r.uniform(-50, 150), r.uniform(-50, 150)) for i in range(50)] + [(50, 1e6, -1e6), (51, 5_000.0, 5_005.0), (52, -90_000.0, 40.0), (53, None, 1.0)]
+    got = spatial.nearest_all(spark.createDataFrame(p, "id int, x double, y double"), spark.createDataFrame(f, "fid int, x double, y double"), "id", "fid", 4)
+    want = {(i, k, n) for i, x, y in p if x is not None for n, (_, k) in enumerate(sorted((math.hypot(x - a, y - b), k) for k, a, b in f)[:4], 1)}
+    assert {(r.id, r.fid, r["rank"]) for r in got.collect()} == want
+
+
+def test_nearest_all_small(spark):
+    """Fewer than k features give them all; none, or all on one place, are no trouble."""
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0)], "id int, x double, y double")
+    f = spark.createDataFrame([(7, 0.0, 0.0), (8, 0.0, 0.0)], "fid int, x double, y double")
+    assert sorted((r.id, r.fid, r["rank"]) for r in spatial.nearest_all(p, f, "id", "fid", 3).collect()) == [(1, 7, 1), (1, 8, 2), (2, 7, 1), (2, 8, 2)]
+    assert spatial.nearest_all(p, f.limit(0), "id", "fid", 3).collect() == []
+
+
+def test_three_for_every_point(spark, sf_dir):
+    assert ask(spark, sf_dir, "nearest_features_all").groupBy("id").count().where("count = 3").count() == 150
