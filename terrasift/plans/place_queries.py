@@ -233,6 +233,16 @@ def bbox_adjacency(spark, sf_dir):
     return spatial.overlapping(boxes, "mun", 100.0, 50_000.0)
 
 
+_ALL_BOXES = "select mun, min(x) as min_x, min(y) as min_y, max(x) as max_x, max(y) as max_y from f group by mun"
+
+
+@register("bbox_adjacency_all", P(f", b as ({_ALL_BOXES}) select a.mun as a, c.mun as b from b a join b c on a.mun < c.mun and a.min_x - 100 <= c.max_x + 100 and c.min_x - 100 <= a.max_x + 100 and a.min_y - 100 <= c.max_y + 100 and c.min_y - 100 <= a.max_y + 100"))
+def bbox_adjacency_all(spark, sf_dir):
+    """As bbox_adjacency, with boxes around features of every kind."""
+    boxes = features(spark, sf_dir).groupBy("mun").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+    return spatial.overlapping(boxes, "mun", 100.0, 50_000.0)
+
+
 @register("point_in_polygon", P("select id, x >= 200000 and x < 400000 and y >= 4000000 and y < 4150000 and not (x >= 250000 and x < 300000 and y >= 4050000 and y < 4100000) as inside from p where x not in (200000, 250000, 300000, 400000) and y not in (4000000, 4050000, 4100000, 4150000)"))
 def point_in_polygon(spark, sf_dir):
     ring = lambda a, b, c, d: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b))))
@@ -249,6 +259,15 @@ def border_distance(spark, sf_dir):
     return p.select("id", cents(spatial.ring_distance(x, y, ring)).alias("distance"))
 
 
+# distance to a rectangle's boundary: inside to the nearest side, outside to the nearest side or corner
+@register("border_distance_all", P("""select id, floor(case when x between 200000 and 400000 and y between 4000000 and 4150000 then least(x - 200000, 400000 - x, y - 4000000, 4150000 - y)
+else sqrt(pow(greatest(200000 - x, x - 400000, 0), 2) + pow(greatest(4000000 - y, y - 4150000, 0), 2)) end * 100 + 0.5) / 100 as distance from p"""))
+def border_distance_all(spark, sf_dir):
+    """As border_distance, for points inside and outside and all four sides."""
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((200000, 4000000), (400000, 4000000), (400000, 4150000), (200000, 4150000), (200000, 4000000))))
+    return points(spark, sf_dir).select("id", cents(spatial.ring_distance(F.col("x"), F.col("y"), ring)).alias("distance"))
+
+
 # ------------------------------------------------------------ candidates and fusion
 
 

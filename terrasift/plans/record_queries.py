@@ -100,17 +100,32 @@ def system_detect(spark, sf_dir):
     return points(spark, sf_dir).groupBy("mun").agg(geo.system_of(F.avg(F.abs("x")), F.avg(F.abs("y"))).alias("system"))
 
 
-@register("rules_apply", P("""select id, case when id % 4 = 0 then 'scale' when id % 4 = 1 then 'north' when id % 4 = 2 then 'comma' end as rule, floor(case when id % 4 = 2 then y when id % 4 = 3 then x else y end * 100 + 0.5) / 100 as corrected from p where y >= 4050000 and y <= 4099999 and x >= 100000"""))
-def rules_apply(spark, sf_dir):
+def _wrong(p):
+    """(id, value, raw, field): coordinates in kilometres, without four millions, as a labelled text, and sound, by id % 4."""
     k = F.col("id") % 4
     value = F.when(k == 0, F.col("y") / 1000).when(k == 1, F.col("y") - 4_000_000).when(k == 2, F.lit(-5.0)).otherwise(F.col("x"))
-    p = points(spark, sf_dir).where("y >= 4050000 and y <= 4099999 and x >= 100000")
-    rows = p.select("id", value.alias("value"), F.when(k == 2, F.concat(F.lit("Y="), F.col("y").cast("bigint").cast("string"))).otherwise(F.col("x").cast("bigint").cast("string")).alias("raw"), F.when(k == 3, "x").otherwise("y").alias("field"))
-    catalogue = spark.createDataFrame([
+    return p.select("id", value.alias("value"), F.when(k == 2, F.concat(F.lit("Y="), F.col("y").cast("bigint").cast("string"))).otherwise(F.col("x").cast("bigint").cast("string")).alias("raw"), F.when(k == 3, "x").otherwise("y").alias("field"))
+
+
+def _rule_catalogue(spark):
+    return spark.createDataFrame([
         (1, "scale", "y", "range", 4050.0, 4100.0, None, None, "multiply", 1000.0, None, None), (2, "north", "both", "digits", None, None, None, 5, "add", 4_000_000.0, None, None),
         (3, "comma", "y", "regex", None, None, "^Y=", None, "replace", None, "Y=", ""), (4, "idle", "both", "range", None, None, None, None, "add", 0.0, None, None),
     ], rules.SCHEMA)
-    return rules.apply(rows, catalogue).select("id", "rule", cents(F.col("corrected")).alias("corrected"))
+
+
+@register("rules_apply", P("""select id, case when id % 4 = 0 then 'scale' when id % 4 = 1 then 'north' when id % 4 = 2 then 'comma' end as rule, floor(case when id % 4 = 2 then y when id % 4 = 3 then x else y end * 100 + 0.5) / 100 as corrected from p where y >= 4050000 and y <= 4099999 and x >= 100000"""))
+def rules_apply(spark, sf_dir):
+    p = points(spark, sf_dir).where("y >= 4050000 and y <= 4099999 and x >= 100000")
+    return rules.apply(_wrong(p), _rule_catalogue(spark)).select("id", "rule", cents(F.col("corrected")).alias("corrected"))
+
+
+@register("rules_apply_all", P(""", v as (select id, id % 4 as k, x, y, case id % 4 when 0 then y / 1000 when 1 then y - 4000000 when 2 then -5.0::double else x end as value from p),
+h as (select *, case when k < 3 and value between 4050 and 4100 then 'scale' when length(cast(cast(floor(abs(value)) as bigint) as varchar)) = 5 then 'north' when k = 2 then 'comma' end as rule from v)
+select id, rule, floor(case rule when 'scale' then value * 1000 when 'north' then value + 4000000 when 'comma' then y else value end * 100 + 0.5) / 100 as corrected from h"""))
+def rules_apply_all(spark, sf_dir):
+    """As rules_apply, for every point: values that no rule fits and values in another rule's range too."""
+    return rules.apply(_wrong(points(spark, sf_dir)), _rule_catalogue(spark)).select("id", "rule", cents(F.col("corrected")).alias("corrected"))
 
 
 @register("rules_learn", P("select id % 4 as shape, case id % 4 when 0 then 'multiply' when 1 then 'add' when 2 then 'multiply' else 'custom' end as action, case id % 4 when 0 then 1000.0::double when 1 then 4000000.0::double when 2 then 10.0::double end as amount, count(*) as n from p group by 1, 2, 3"))

@@ -5,9 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from terrasift.operators import candidates, spatial
-from terrasift.plans import registry
+from terrasift.plans import registry, views
 
 
 def ask(spark, sf_dir, name):
@@ -98,3 +99,35 @@ def test_nearest_all_small(spark):
 
 def test_three_for_every_point(spark, sf_dir):
     assert ask(spark, sf_dir, "nearest_features_all").groupBy("id").count().where("count = 3").count() == 150
+
+
+# ------------------------------------------------------------ all rows
+
+
+def test_every_point_has_a_border(spark, sf_dir):
+    """Inside and outside, before all four sides and all four corners, against the closed form."""
+    p = {r.id: (r.x, r.y) for r in views.points(spark, sf_dir).collect()}
+    got = {r.id: r.distance for r in ask(spark, sf_dir, "border_distance_all").collect()}
+    assert got.keys() == p.keys()
+    zones = set()
+    for k, (x, y) in p.items():
+        dx, dy = max(200_000 - x, x - 400_000), max(4_000_000 - y, y - 4_150_000)
+        want = -max(dx, dy) if max(dx, dy) <= 0 else math.hypot(max(dx, 0), max(dy, 0))
+        assert got[k] == pytest.approx(want, abs=0.0051)
+        zones.add((dx > 0, dy > 0, dx > dy))
+    assert {z[:2] for z in zones} == {(False, False), (True, False), (False, True), (True, True)} and {(False, False, True), (False, False, False)} <= zones
+
+
+def test_every_point_meets_the_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {(r.shape, r.rule): r.n for r in ask(spark, sf, "rules_apply_all").groupBy((F.col("id") % 4).alias("shape"), "rule").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == 1_500 and got[2, "comma"] == 375 and got[3, None] == 375
+    assert {(0, "scale"), (0, None), (1, "north"), (1, None)} <= got.keys()
+
+
+def test_boxes_hold_every_kind(spark, sf_dir):
+    f = views.features(spark, sf_dir).collect()
+    box = {m: [g(v) for v in zip(*((r.x, r.y) for r in f if r.mun == m), strict=True) for g in (min, max)] for m in {r.mun for r in f}}
+    meet = lambda a, b: all(a[i] - 100 <= b[i + 1] + 100 and b[i] - 100 <= a[i + 1] + 100 for i in (0, 2))
+    want = {(a, b) for a in box for b in box if a < b and meet(box[a], box[b])}
+    assert {tuple(r) for r in ask(spark, sf_dir, "bbox_adjacency_all").collect()} == want
