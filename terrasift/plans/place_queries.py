@@ -120,6 +120,12 @@ def accent_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("lang").isin("es", "fr")).select("doc_id", F.md5(text.normalise(F.col("text"))).alias("digest"))
 
 
+@register("accent_normalise_all", f"select doc_id, md5({_NORM.format(c='text')}) as digest from documents")
+def accent_normalise_all(spark, sf_dir):
+    """As accent_normalise, for documents of every language."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalise(F.col("text"))).alias("digest"))
+
+
 @register("levenshtein_match", "select p_partkey, levenshtein(p_name, p_type) as edits, floor((1 - levenshtein(p_name, p_type) / cast(greatest(length(p_name), length(p_type)) as double)) * 10000 + 0.5) / 10000 as similarity from part")
 def levenshtein_match(spark, sf_dir):
     a, b = F.col("p_name"), F.col("p_type")
@@ -139,6 +145,13 @@ def mojibake_fix(spark, sf_dir):
     return d.select("doc_id", (text.repair_encoding(broken) == F.col("text")).alias("repaired"))
 
 
+@register("mojibake_fix_all", "select doc_id, md5(text) as repaired, md5(text) as plain from documents")
+def mojibake_fix_all(spark, sf_dir):
+    """As mojibake_fix, for every document: the repaired text's digest, and that of a sound text after the same repair."""
+    broken = F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.repair_encoding(broken)).alias("repaired"), F.md5(text.repair_encoding(F.col("text"))).alias("plain"))
+
+
 _TYPE_RULES = [("(?i)steel", "ENERGIA"), ("(?i)copper", "INDUSTRIAL"), ("(?i)brass", "MUNICIPAL"), ("(?i)nickel", "CULTURAL"), ("(?i)tin", "EDUCATIVO")]
 
 

@@ -1,5 +1,6 @@
 """The whole job where a query of the star schema does a part of it: whole names, all rows, no radius."""
 
+import hashlib
 import math
 import random
 import re
@@ -131,3 +132,16 @@ def test_boxes_hold_every_kind(spark, sf_dir):
     meet = lambda a, b: all(a[i] - 100 <= b[i + 1] + 100 and b[i] - 100 <= a[i + 1] + 100 for i in (0, 2))
     want = {(a, b) for a in box for b in box if a < b and meet(box[a], box[b])}
     assert {tuple(r) for r in ask(spark, sf_dir, "bbox_adjacency_all").collect()} == want
+
+
+# ------------------------------------------------------------ all documents
+
+
+def test_every_document(spark, tmp_path):
+    """German, null, plain and mixed texts have a digest too; what is sound comes out of the repair unchanged."""
+    texts = ["Größe der Straße", None, "plain text", "", "Año, sehr schön", "naïve À la carte"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    words = ["gro e der stra e", None, "plain text", "", "ano sehr schon", "naive a la carte"]
+    assert {r.doc_id: r.digest for r in ask(spark, f"file://{tmp_path}", "accent_normalise_all").collect()} == dict(enumerate(map(md5, words)))
+    assert {r.doc_id: (r.repaired, r.plain) for r in ask(spark, f"file://{tmp_path}", "mojibake_fix_all").collect()} == {i: (md5(t), md5(t)) for i, t in enumerate(texts)}
