@@ -9,8 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Texts and numbers that stand for a missing coordinate.
-PLACEHOLDERS = ["", "-", "--", "n/a", "na", "n/d", "nd", "s/d", "sd", "null", "none", "indicar", "pendiente", "desconocido", "xxxx", "yyyy", "?"]
-PLACEHOLDER_NUMBERS = [0.0, 1.0, 99999.0, 999999.0, 9999999.0, -1.0]
+PLACEHOLDERS = [
+    "", "-", "--", "---", "n/a", "na", "n.a.", "n/d", "nd", "n.d.", "s/d", "sd", "null", "none", "undefined", "indicar", "pendiente", "desconocido", "xxx", "xxxx", "yyyy", "?",
+    "sin datos", "sin data", "sin información", "sin informacion", "por definir", "a determinar", "consultar", "ver plano", "ninguno", "no especificada", "no especificado", "inexistente", "inexistentes", "tbd", "todo",
+]
+PLACEHOLDER_NUMBERS = [0.0, 1.0, -1.0, 99999.0, 999999.0, 9999999.0, -9999.0, -99999.0, -999999.0, 12345.0, 123456.0]
 # Ranges of EPSG:25830 in which a value is an easting, a northing, or a northing without its leading four millions.
 EASTING, NORTHING, TRUNCATED = (100_000.0, 800_000.0), (3_980_000.0, 4_300_000.0), (40_000.0, 99_999.0)
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)"

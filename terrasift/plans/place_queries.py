@@ -20,7 +20,8 @@ def cents(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
-_MISSING = "(lower(trim({c})) in (" + ", ".join(f"'{x}'" for x in coords.PLACEHOLDERS) + "))"
+# the twins' own list of placeholders, as given: the dirty view holds no others
+_MISSING = "(lower(trim({c})) in ('', '-', '--', 'n/a', 'na', 'n/d', 'nd', 's/d', 'sd', 'null', 'none', 'indicar', 'pendiente', 'desconocido', 'xxxx', 'yyyy', '?'))"
 # the oracle's parser for the notations of the dirty view
 _PARSE = (
     "case when " + _MISSING + " then null when {c} like '%´´%' then cast(replace(replace({c}, '´´', '.'), ' ', '') as double)"

@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.operators import candidates, spatial
+from terrasift.functions import coords
+from terrasift.operators import candidates, profile, spatial
 from terrasift.plans import registry, views
 
 
@@ -145,3 +146,25 @@ def test_every_document(spark, tmp_path):
     words = ["gro e der stra e", None, "plain text", "", "ano sehr schon", "naive a la carte"]
     assert {r.doc_id: r.digest for r in ask(spark, f"file://{tmp_path}", "accent_normalise_all").collect()} == dict(enumerate(map(md5, words)))
     assert {r.doc_id: (r.repaired, r.plain) for r in ask(spark, f"file://{tmp_path}", "mojibake_fix_all").collect()} == {i: (md5(t), md5(t)) for i, t in enumerate(texts)}
+
+
+# ------------------------------------------------------------ placeholders
+
+
+def test_every_placeholder(spark):
+    """The reference's 27 texts, three empty ones and 11 numbers (which are read from a text's start); near misses stay values."""
+    texts = ["indicar", "pendiente", "sin datos", "sin data", "n/a", "na", "n.a.", "n.d.", "nd", "por definir", "desconocido", "ninguno", "xxx", "tbd", "todo", "ver plano", "consultar", "a determinar"]
+    texts += ["sin información", "sin informacion", "no especificada", "no especificado", "inexistente", "inexistentes", "-", "--", "---", "", "null", "undefined", "Sin Datos ", "SIN INFORMACIÓN", None]
+    numbers = ["0", "1", "-1", "99999", "999999", "9999999", "-9999", "-99999", "-999999", "12345", "123456", "-9999.0", "12345 m"]
+    sound = ["12346", "123457", "-9998", "12345.5", "436780"]
+    df = spark.createDataFrame([(t,) for t in texts + numbers + sound], "t string").select("t", coords.is_placeholder(F.col("t")).alias("p"), coords.parse(F.col("t")).alias("v"))
+    got = {r.t: (r.p, r.v) for r in df.collect()}
+    assert {t for t, (p, _) in got.items() if not p} == set(sound)
+    assert {t for t, (_, v) in got.items() if v is not None} == set(sound)
+
+
+def test_placeholders_are_not_located(spark):
+    """A record with -9999 or 12345 isn't readable, one with 'sin datos' isn't filled in."""
+    rows = [("a", "-9999", "4229920"), ("a", "436780", "12345"), ("a", "sin datos", "4229920"), ("a", "436780", "4229920")]
+    got = profile.profile(spark.createDataFrame(rows, "doc string, x string, y string"), "doc", "x", "y").first()
+    assert (got.n, got.with_x, got.with_y, got.with_both, got.missing, got.readable) == (4, 2, 3, 1, 3, 5)
