@@ -1,18 +1,18 @@
-"""Substring dedup of bytes by merging shards of sorted suffixes.
+"""Substring dedup of bytes by minimiser contexts, ordered within buckets.
 
 A full suffix array of the corpus is out of reach of a shuffle (200 refinement rounds over every byte), so the
 suffixes are thinned first, without loss: every window of ``window`` bytes has a smallest hashed ``GRAM``-byte string (a
 minimiser), both places of a repeat have it at the same offset, and minimisers that occur once can't be in a
-repeat. The suffixes that start at the others, and the reversed prefixes that end there, are merged:
+repeat. The suffixes that start at the others, and the reversed prefixes that end there, are ordered:
 
-* Rows with one minimiser come from many map tasks, each a shard. The interleave of the shards is refined symbol by symbol
-  (eight bytes at a time), as in the iterative merge of Burrows-Wheeler transforms: rows keep their order inside a block,
-  a round splits the blocks whose next symbols differ, and rows alone in their block are finished. Nothing is
-  sorted anew: a round only moves rows inside blocks that are still open.
+* Rows with one minimiser come unsorted from many map tasks and are ordered in one bucket, symbol by symbol (eight bytes at a
+  time): a round sorts the rows of the blocks that are still open and splits the blocks whose next symbols differ; rows alone
+  in their block are finished. It takes the refinement of blocks from the iterative merge of Burrows-Wheeler transforms, but
+  no shard has a transform or a sorted order to merge.
 * The depth at which two neighbours part is their longest common prefix. To the right it bounds how far a match goes
   on, to the left (the symbols in front, as a transform stores them) how far it reaches back.
 * A window that takes l bytes in front of the minimiser repeats if another row shares the interval of l bytes to the
-  left and the interval of the rest to the right: repeated intervals come from the two merged orders alone.
+  left and the interval of the rest to the right: repeated intervals come from the two orders alone.
 
 The comparison is exact: blocks split on the bytes themselves.
 
