@@ -99,8 +99,10 @@ def _blob(batch: pa.RecordBatch) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def unpack(blobs: Iterable[bytes]) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]).combine_chunks()
+def unpack(blobs: Iterable[bytes], whole: bool = True) -> pa.Table:
+    """Records of a bucket; a chunk a blob unless ``whole``."""
+    table = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
+    return table.combine_chunks() if whole else table
 
 
 class Packer:
@@ -144,7 +146,7 @@ def _rows(ids: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), pa.array(blobs, pa.binary())], schema=_PACKED)
 
 
-def by_bucket(packed: DataFrame, n: int, work: Callable[[int, dict[int, pa.Table]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_bucket(packed: DataFrame, n: int, work: Callable[[int, dict[int, pa.Table]], Iterator[pa.RecordBatch]], schema: str, whole: bool = True) -> DataFrame:
     """Deals packed blobs out by bucket and calls ``work(bucket, {kind: records})`` for one bucket at a time."""
 
     @trimmed
@@ -153,12 +155,12 @@ def by_bucket(packed: DataFrame, n: int, work: Callable[[int, dict[int, pa.Table
         for batch in batches:
             for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if bucket != at and held:
-                    yield from work(at, {k: unpack(v) for k, v in held.items()})
+                    yield from work(at, {k: unpack(v, whole) for k, v in held.items()})
                     held = {}
                 at = bucket
                 held.setdefault(kind, []).append(data.as_buffer())
         if held:
-            yield from work(at, {k: unpack(v) for k, v in held.items()})
+            yield from work(at, {k: unpack(v, whole) for k, v in held.items()})
 
     return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
@@ -190,32 +192,46 @@ def _inside(test: Callable[[int], bool]) -> np.ndarray:
 #: characters beyond ASCII.
 UNSPACED = _inside(lambda b: b != 32 and not 9 <= b <= 13)
 WORDS = _inside(lambda b: b >= 128 or chr(b).isalnum() or b == 95)
-_BYTE_BASE = 0xDA942042E4DD58B5
-_BYTE_BACK = pow(_BYTE_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 class Hashed:
     """The words of some texts as 64-bit hashes: ``flat`` in a row, ``n`` of each text, ``starts`` in ``data``.
 
-    ``data`` holds the texts with a newline behind each; ``at`` are the texts' places in it. Hashes are polynomials of a word's bytes,
-    taken from one running sum over all bytes, so no word ever becomes a Python object.
+    ``data`` holds the texts with a newline behind each; ``at`` are the texts' places in it. No word becomes a Python object.
     """
 
     def __init__(self, contents: list[bytes], inside: np.ndarray):
-        self.data = np.frombuffer(b"\n".join([*contents, b""]), dtype=np.uint8)
+        padded = b"\n".join([*contents, b"\n" * 7])
         self.at = offsets(np.array([len(c) + 1 for c in contents], dtype=np.int64))
+        self.data = np.frombuffer(padded, dtype=np.uint8)[: self.at[-1]]
         edge = np.flatnonzero(np.diff(inside[self.data].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-        self.starts, ends = edge[0::2], edge[1::2]
-        if len(_powers[0]) < len(self.data):
-            for i, base in enumerate((_BYTE_BASE, _BYTE_BACK)):
-                _powers[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.data) + 1024, np.uint64(base))]), dtype=np.uint64)
-        power, back = _powers
-        total = np.concatenate([[np.uint64(0)], np.cumsum(self.data * power[: len(self.data)], dtype=np.uint64)])
-        self.flat = mix((total[ends] - total[self.starts]) * back[self.starts] + (ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        self.flat = string_hashes(padded, self.starts, self.ends)
         self.n = np.diff(np.searchsorted(self.starts, self.at))
 
 
+def string_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of strings in ``data``, which goes on for 7 bytes behind the last one.
+
+    A string is read in words of eight bytes; each is mixed with its place before they are added, so that neither the order of
+    words nor regular patterns (as a polynomial modulo 2**64 would) cancel out. Strings of up to eight bytes never collide with their like.
+    """
+    at_any = np.ndarray(max(0, len(data) - 7), dtype="<u8", buffer=data, strides=(1,))
+    size = ends - starts
+    out = mix(at_any[starts] & _HEAD[np.minimum(size, 8)], seed)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3  # words after the first
+        nth = ranges(np.ones(len(long), np.int64), more)
+        place = np.repeat(starts[long], more) + 8 * nth
+        left = np.repeat(ends[long], more) - place
+        each = mix((at_any[place] & _HEAD[np.minimum(left, 8)]) ^ mix(nth.astype(np.uint64), seed + 1), seed + 2)
+        out[long] += np.add.reduceat(each, np.concatenate([[0], np.cumsum(more)[:-1]]))
+    return mix(out ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), seed + 3)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A finaliser that spreads 64-bit values evenly."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -224,6 +240,31 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of pairs, first and second told apart."""
+    x = a * np.uint64(0xC2B2AE3D27D4EB4F + 2 * seed) + b
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25 + 2 * seed)
+    return x ^ (x >> np.uint64(29))
+
+
+def windows(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all windows of ``width`` values, by doubling; mixed at each step, so that no pattern of values cancels out."""
+    run, size, done, filled = values, 1, None, 0  # run: windows of `size`; done: windows of `filled`, the part of width taken so far
+    if len(values) < width:
+        return values[:0]
+    while True:
+        if width & size:
+            if done is None:
+                done, filled = run, size
+            else:
+                m = len(values) - filled - size + 1
+                done, filled = joined(done[:m], run[filled : filled + m], seed + 64 + size), filled + size
+        if filled == width:
+            return done
+        m = len(run) - size
+        run, size = joined(run[:m], run[size : size + m], seed + size), size * 2
+
+
 def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
     """Polynomial hashes of all windows of ``width`` values, by doubling; the last ``width - 1`` places are void."""
     n = len(values)

@@ -36,6 +36,11 @@ def key_parts(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
+def short(doc: np.ndarray | int) -> np.ndarray | int:
+    """The 32 bits of a text's key that decide its bucket and go with anchors; what must tell texts apart carries 64 more."""
+    return doc >> 32 if isinstance(doc, int) else (doc >> np.uint64(32)).astype(np.uint32)
+
+
 def once(part: pa.RecordBatch, seen: dict[bytes, int]) -> Iterator[Text]:
     """Texts of a slice as (key, content, 1), each at most twice a task: more copies say nothing new."""
     for key, content in zip(part.column("__key").to_pylist(), part.column("content").to_pylist(), strict=True):
@@ -64,7 +69,7 @@ def anchors(texts: DataFrame, n: int, of: Callable[[list[Text]], tuple[np.ndarra
                     continue
                 h, flag, owner = of(found)
                 if len(h):
-                    doc = key_parts([k for k, _, _ in found])[0][owner]
+                    doc = short(key_parts([k for k, _, _ in found])[0])[owner]
                     packer.add((h >> np.uint64(40)) % np.uint64(n), {"h": (h & ANCHOR).astype(np.uint32), "flag": flag, "doc": doc})
                 if packer.full():
                     yield from packer.batches()
@@ -81,7 +86,7 @@ def anchors(texts: DataFrame, n: int, of: Callable[[list[Text]], tuple[np.ndarra
         if not len(at):
             return
         packer, doc = Packer(FOUND), r["doc"].to_numpy()[at]
-        packer.add(doc % np.uint64(by_key), {"doc": doc, "h": h[at]})
+        packer.add(doc % np.uint32(by_key), {"doc": doc, "h": h[at]})
         yield from packer.batches()
 
     return by_bucket(texts.mapInArrow(scan, PACKED), n, match, PACKED)
@@ -100,7 +105,7 @@ def packed_texts(texts: DataFrame, by_key: int, least: int) -> DataFrame:
                 found = [x for x in once(part, seen) if len(x[1]) >= least]
                 if found:
                     k1, k2 = key_parts([k for k, _, _ in found])
-                    packer.add(k1 % np.uint64(by_key), {"doc": k1, "key2": k2, "content": pa.array([c for _, c, _ in found], pa.binary())})
+                    packer.add(short(k1) % np.uint32(by_key), {"doc": k1, "key2": k2, "content": pa.array([c for _, c, _ in found], pa.binary())})
                 if packer.full():
                     yield from packer.batches()
         yield from packer.batches()
@@ -115,7 +120,7 @@ def texts_of(records: dict[int, pa.Table]) -> Iterator[tuple[int, int, bytes, in
         return
     doc, key2 = r["doc"].to_numpy(), r["key2"].to_numpy()
     order = np.lexsort((key2, doc))
-    content, i = r["content"].combine_chunks() if r["content"].num_chunks != 1 else r["content"].chunk(0), 0
+    content, i = r["content"], 0  # in chunks: one array of a bucket's texts might not hold them all
     while i < len(order):
         j = i
         while j < len(order) and doc[order[j]] == doc[order[i]] and key2[order[j]] == key2[order[i]]:
@@ -125,7 +130,7 @@ def texts_of(records: dict[int, pa.Table]) -> Iterator[tuple[int, int, bytes, in
 
 
 def by_doc(records: dict[int, pa.Table], columns: list[str]) -> Callable[[int], list[np.ndarray]]:
-    """Looks up the found records of a document in a bucket."""
+    """Looks up the found records of a text in a bucket, by the ``short`` form of its key."""
     r = records.get(FOUND)
     if r is None:
         return lambda doc: [np.zeros(0, np.int64) for _ in columns]
@@ -134,7 +139,7 @@ def by_doc(records: dict[int, pa.Table], columns: list[str]) -> Callable[[int],
     doc, held = doc[order], [r[c].to_numpy()[order] for c in columns]
 
     def look(d: int) -> list[np.ndarray]:
-        lo, hi = np.searchsorted(doc, np.uint64(d), "left"), np.searchsorted(doc, np.uint64(d), "right")
+        lo, hi = np.searchsorted(doc, np.uint32(short(d)), "left"), np.searchsorted(doc, np.uint32(short(d)), "right")
         return [x[lo:hi] for x in held]
 
     return look

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import WORDS, Hashed, mix, offsets, ranges, rolling
+from .common import WORDS, Hashed, joined, mix, offsets, ranges, windows
 
 WIDTH = 5
-_BASE = 0xD6E8FEB86659FD93
 
 
 def lower_words(texts: list[str | None]) -> Hashed:
@@ -22,15 +21,18 @@ def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, n
     """Shingle hashes of all texts in a row, repeats included, and how many each text has."""
     found = lower_words(texts)
     n, flat, at = found.n, found.flat, offsets(found.n)
-    rolled = mix(rolling(flat, width, _BASE))
+    rolled = windows(flat, width)
     counts = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-    out = rolled[ranges(at[:-1], counts)]
-    where = offsets(counts)
-    for i in np.flatnonzero((n > 0) & (n < width)):
-        value = int(n[i])
-        for h in flat[at[i] : at[i + 1]].tolist():
-            value = (value * _BASE + h) & 0xFFFFFFFFFFFFFFFF
-        out[where[i]] = mix(np.array([value], dtype=np.uint64), 7)[0]
+    out = np.zeros(int(counts.sum()), dtype=np.uint64)
+    where, full = offsets(counts), n >= width
+    out[ranges(where[:-1][full], counts[full])] = rolled[ranges(at[:-1][full], counts[full])]
+    for size in range(1, width):  # texts of so many words
+        some = np.flatnonzero(n == size)
+        if len(some):
+            value = np.full(len(some), size, dtype=np.uint64)
+            for k in range(size):
+                value = joined(value, flat[at[some] + k], 200 + k)
+            out[where[some]] = mix(value, 7)
     return out, counts
 
 
