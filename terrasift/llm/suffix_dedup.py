@@ -1,23 +1,28 @@
-"""Substring dedup of bytes by minimiser contexts, ordered within buckets.
+"""Substring dedup of bytes by merging the suffix orders of shards.
 
-A full suffix array of the corpus is out of reach of a shuffle (200 refinement rounds over every byte), so the
+A suffix array of every byte is out of reach of a shuffle (each refinement round would exchange the whole corpus), so the
 suffixes are thinned first, without loss: every window of ``window`` bytes has a smallest hashed ``GRAM``-byte string (a
 minimiser), both places of a repeat have it at the same offset, and minimisers that occur once can't be in a
-repeat. The suffixes that start at the others, and the reversed prefixes that end there, are ordered:
+repeat. The suffixes that start at the others take part:
 
-* Rows with one minimiser come unsorted from many map tasks and are ordered in one bucket, symbol by symbol (eight bytes at a
-  time): a round sorts the rows of the blocks that are still open and splits the blocks whose next symbols differ; rows alone
-  in their block are finished. It takes the refinement of blocks from the iterative merge of Burrows-Wheeler transforms, but
-  no shard has a transform or a sorted order to merge.
+* A shard is what a map task gathers. It sorts its suffixes once, by what follows and by what stands in front, and keeps the bytes
+  in front of each (as a Burrows-Wheeler transform keeps one symbol, here as many as a window can take).
+* Shards are merged by refining their interleave, eight bytes a round: rows of one block agree so far, a round orders each open
+  block by the next symbol and splits it where symbols differ. Rows of a shard come in order, so a block is a few ascending
+  runs that a stable sort merges; rows alone in their block are finished, and no suffix is compared from its start again.
 * The depth at which two neighbours part is their longest common prefix. To the right it bounds how far a match goes
-  on, to the left (the symbols in front, as a transform stores them) how far it reaches back.
+  on, to the left (the kept bytes in front) how far it reaches back.
 * A window that takes l bytes in front of the minimiser repeats if another row shares the interval of l bytes to the
-  left and the interval of the rest to the right: repeated intervals come from the two orders alone.
+  left and the interval of the rest to the right: repeated intervals come from the two merged orders alone.
+
+Rows of a shard whose whole surroundings agree are known to repeat there and then; one of them goes to the merge and the others take a
+short way, so a passage that very many texts share costs its minimisers' blocks a row a shard.
 
 The comparison is exact: blocks split on the bytes themselves.
 
 Defined cases: a null text is empty; texts shorter than a window keep everything; a text that occurs twice loses
-every byte if it has a window at all; repeats may overlap each other; an empty table gives an empty result.
+every byte if it has a window at all; repeats may overlap each other; very long texts are scanned in one piece by one task and never
+cut; other columns of the table aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import PACKED, Packer, buckets, by_bucket, merge_spans, mix, offsets, rolling
-from .repeats import ANCHOR, FOUND, Text, anchors, by_doc, key_of, keyed, packed_texts, texts_of
+from .common import PACK_BYTES, PACKED, Packer, buckets, by_bucket, merge_spans, mix, offsets, rolling
+from .repeats import ANCHOR, FOUND, Text, anchors, by_doc, key_of, keyed, packed_texts, short, texts_of
 
 WINDOW, GRAM = 200, 40
 _BASE = 0x9E6C63D0876A9A47
@@ -85,12 +90,44 @@ def _repeats(group: np.ndarray, flag: np.ndarray) -> np.ndarray:
     return np.bincount(group) > 1
 
 
+#: Kinds of records of a shard: suffixes with their surroundings, and places that are known to repeat.
+SUFFIX, KNOWN = 0, 1
+
+
+def _strings(matrix: np.ndarray) -> np.ndarray:
+    """Rows of bytes as values that sort as such."""
+    return np.ascontiguousarray(matrix).view(f"S{matrix.shape[1]}").ravel()
+
+
+def _shard(rows: list[tuple], n: int, side: int) -> Iterator[pa.RecordBatch]:
+    """Sorts the suffixes of a shard, in both directions, and packs them by minimiser."""
+    h, matrix, left, right, doc, key2, at = (np.concatenate(x) for x in zip(*rows, strict=True))
+    big = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+    order = np.argsort(_strings(np.concatenate([big, matrix[:, side:]], axis=1)), kind="stable")
+    behind = np.empty(len(h), dtype=np.int32)
+    behind[np.argsort(_strings(np.concatenate([big, matrix[:, :side][:, ::-1]], axis=1)), kind="stable")] = np.arange(len(h))
+    whole = _strings(np.concatenate([big, matrix, left.astype(">i2").view(np.uint8).reshape(-1, 2), right.astype(">i2").view(np.uint8).reshape(-1, 2), np.ones((len(h), 1), np.uint8)], axis=1))
+    _, first, back, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    lone = np.zeros(len(h), dtype=bool)
+    lone[first] = True
+    known = np.flatnonzero(~lone & (left + right >= side))
+    order = order[lone[order]]
+    main, rest = Packer(SUFFIX), Packer(KNOWN)
+    main.add((h[order] >> np.uint64(20)) % np.uint64(n), {
+        "h": h[order], "context": pa.FixedSizeBinaryArray.from_buffers(pa.binary(matrix.shape[1]), len(order), [None, pa.py_buffer(np.ascontiguousarray(matrix[order]))]),
+        "behind": behind[order], "left": left[order].astype(np.int16), "right": right[order].astype(np.int16), "more": (count[back.ravel()] > 1)[order], "doc": doc[order], "key2": key2[order], "at": at[order],
+    })
+    rest.add(doc[known] % np.uint32(n), {"doc": doc[known], "second": key2[known], "start": (at - left)[known], "end": (at + (matrix.shape[1] - 2 * side) + right)[known]})
+    yield from main.batches()
+    yield from rest.batches()
+
+
 def _contexts(window: int, gram: int, n: int):
-    """Around repeated minimisers: packed (h, context, left, right, doc, key2, at)."""
+    """Suffixes at repeated minimisers, by shards."""
     side = window - gram
 
     def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
-        hits, packer = by_doc(records, ["h"]), Packer()
+        hits, rows, size = by_doc(records, ["h"]), [], 0
         for doc, key2, content, _ in texts_of(records):
             wanted = hits(doc)[0]
             if not len(wanted):
@@ -99,17 +136,17 @@ def _contexts(window: int, gram: int, n: int):
             at, h = minimisers(flat, np.array([len(flat)]), window, gram)
             ok = np.isin(h & ANCHOR, wanted)
             at, h = at[ok], h[ok]
-            padded = b"\0" * side + content + b"\0" * side
+            padded = np.frombuffer(b"\0" * side + content + b"\0" * side, dtype=np.uint8)
+            around = np.lib.stride_tricks.sliding_window_view(padded, 2 * side + gram)
             for lo in range(0, len(at), 20_000):
                 a, hash_ = at[lo : lo + 20_000], h[lo : lo + 20_000]
-                same = np.ones(len(a), dtype=np.uint64)
-                packer.add(
-                    (hash_ >> np.uint64(20)) % np.uint64(n),
-                    {"h": hash_, "context": pa.array([padded[i : i + 2 * side + gram] for i in a], pa.binary(2 * side + gram)), "left": np.minimum(a, side).astype(np.int16), "right": np.minimum(len(flat) - gram - a, side).astype(np.int16), "doc": same * np.uint64(doc), "key2": same * np.uint64(key2), "at": a.astype(np.int64)},
-                )
-                if packer.full():
-                    yield from packer.batches()
-        yield from packer.batches()
+                rows.append((hash_, around[a], np.minimum(a, side), np.minimum(len(flat) - gram - a, side), np.full(len(a), short(doc), np.uint32), np.full(len(a), key2, np.uint64), a.astype(np.int64)))
+                size += len(a) * (2 * side + gram + 40)
+                if size >= PACK_BYTES:
+                    yield from _shard(rows, n, side)
+                    rows, size = [], 0
+        if rows:
+            yield from _shard(rows, n, side)
 
     return work
 
@@ -117,13 +154,15 @@ def _contexts(window: int, gram: int, n: int):
 # ---------------------------------------------------------------- merge
 
 
-def interleave(block: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def interleave(block: np.ndarray, symbols: np.ndarray, runs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merged order of rows and the common prefix, in bytes, of each with the one before it (-1 between blocks).
 
-    ``block``: rows of one block may be merged; ``symbols``: the rows' next bytes, as big-endian words. The rows of
-    ``order`` stay in place from round to round except inside blocks that a round splits.
+    ``block``: rows of one block may be merged; ``symbols``: the rows' next bytes, as big-endian words; ``runs``: the rows, shard by shard in
+    their shard's order (as they come if None). The rows of ``order`` stay in place from round to round except inside
+    blocks that a round splits; there the shards' rows are ascending runs, which the stable sort merges.
     """
-    order = np.argsort(block, kind="stable")
+    runs = np.arange(len(block)) if runs is None else runs
+    order = runs[np.argsort(block[runs], kind="stable")]
     b = block[order]
     lcp = np.full(len(order), 8 * symbols.shape[1], dtype=np.int64)
     new = np.concatenate([[True], b[1:] != b[:-1]])
@@ -161,8 +200,11 @@ def _words(matrix: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(matrix).view(">u8").astype(np.uint64)
 
 
-def repeated_windows(h: np.ndarray, matrix: np.ndarray, left: np.ndarray, right: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row: how far its repeated windows reach to the left and to the right of the minimiser; (-1, -1) if none repeats."""
+def repeated_windows(h: np.ndarray, matrix: np.ndarray, left: np.ndarray, right: np.ndarray, more: np.ndarray, behind: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: how far its repeated windows reach to the left and to the right of the minimiser; (-1, -1) if none repeats.
+
+    ``more``: rows that stand for others like them; ``behind``: the rows, in their shards' order of what stands in front.
+    """
     side, n = window - gram, len(h)
     reach = np.full((2, n), -1, dtype=np.int64)
     _, block = np.unique(h, return_inverse=True)
@@ -170,7 +212,7 @@ def repeated_windows(h: np.ndarray, matrix: np.ndarray, left: np.ndarray, right:
     # the interval of the minimiser itself, then its rows' left sides
     tie = np.zeros(n, dtype=np.int64)
     tie[r_order] = np.cumsum(r_lcp < gram)
-    l_order, l_lcp = interleave(tie, _words(matrix[:, :side][:, ::-1]))
+    l_order, l_lcp = interleave(tie, _words(matrix[:, :side][:, ::-1]), behind)
     # rows that are equal as a whole: all of their windows repeat, and one of them stands for the rest
     whole = np.zeros((2, n), dtype=np.int64)
     whole[0][r_order] = np.cumsum(r_lcp < window)
@@ -178,7 +220,7 @@ def repeated_windows(h: np.ndarray, matrix: np.ndarray, left: np.ndarray, right:
     # rows that end at a text's border are equal only if they end alike
     _, first, back, count = np.unique(np.stack([whole[0], whole[1], left, right]), axis=1, return_index=True, return_inverse=True, return_counts=True)
     back = back.ravel()
-    twin = (count > 1)[back]
+    twin = (count > 1)[back] | more
     fits = left + right >= side
     reach[0][twin & fits], reach[1][twin & fits] = left[twin & fits], right[twin & fits]
     rows = first[np.isin(tie[first], np.flatnonzero(np.bincount(tie[first]) > 1))] if len(first) else first
@@ -209,17 +251,24 @@ def _merged(window: int, gram: int, by_key: int):
     side = window - gram
 
     def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
-        r = records[0]
-        h = r["h"].to_numpy()
+        packer = Packer(FOUND)
+        if KNOWN in records:
+            known = records[KNOWN]
+            packer.add(known["doc"].to_numpy() % np.uint32(by_key), {c: known[c].combine_chunks() for c in ("doc", "second", "start", "end")})
+            yield from packer.batches()
+        if SUFFIX not in records:
+            return
+        r = records[SUFFIX]
+        h, size = r["h"].to_numpy(), 2 * side + gram
         raw = r["context"].combine_chunks() if r["context"].num_chunks != 1 else r["context"].chunk(0)
-        matrix = np.frombuffer(raw.buffers()[1], dtype=np.uint8)[raw.offset * (2 * side + gram) :][: len(raw) * (2 * side + gram)].reshape(len(raw), -1)
+        matrix = np.frombuffer(raw.buffers()[1], dtype=np.uint8)[raw.offset * size :][: len(raw) * size].reshape(len(raw), -1)
         left, right, at, doc = r["left"].to_numpy().astype(np.int64), r["right"].to_numpy().astype(np.int64), r["at"].to_numpy(), r["doc"].to_numpy()
-        back, on = repeated_windows(h, matrix, left, right, window, gram)
+        shard = np.repeat(np.arange(r["h"].num_chunks), [len(c) for c in r["h"].chunks])
+        back, on = repeated_windows(h, matrix, left, right, r["more"].to_numpy(), np.lexsort((r["behind"].to_numpy(), shard)), window, gram)
         ok = back >= 0
         if not ok.any():
             return
-        packer = Packer(FOUND)
-        packer.add(doc[ok] % np.uint64(by_key), {"doc": doc[ok], "second": r["key2"].to_numpy()[ok], "start": (at - back)[ok], "end": (at + gram + on)[ok]})
+        packer.add(doc[ok] % np.uint32(by_key), {"doc": doc[ok], "second": r["key2"].to_numpy()[ok], "start": (at - back)[ok], "end": (at + gram + on)[ok]})
         yield from packer.batches()
 
     return work
@@ -263,5 +312,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
     n, by_key, wide = buckets(docs, 0.8), buckets(docs, 2.5), buckets(docs, 4)
     hits = anchors(texts, n, _scan(window, gram), _repeats, by_key)
     contexts = by_bucket(packed_texts(texts, by_key, window).unionAll(hits), by_key, _contexts(window, gram, wide), PACKED)
-    spans = by_bucket(contexts, wide, _merged(window, gram, by_key), PACKED)
+    spans = by_bucket(contexts, wide, _merged(window, gram, by_key), PACKED, whole=False)
     return by_bucket(packed_texts(texts, by_key, 0).unionAll(spans), by_key, _kept(window), RESULT)
