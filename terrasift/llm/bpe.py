@@ -3,11 +3,13 @@
 Texts of at most ``chunk`` characters are encoded where they are. Longer ones are cut into overlapping
 chunks that are pre-tokenised in parallel. Where two neighbours name the same pre-token boundary inside their
 overlap they have resynchronised: the scan has no memory, so from a common boundary on both see the
-same pre-tokens. Cutting there gives pieces that are encoded in parallel and put together by their order. A text
-with an overlap that never resynchronises (one endless run of letters) is encoded in one piece.
+same pre-tokens. Cutting there gives pieces that are encoded in parallel and put together by their order. Only boundaries behind a
+character that isn't white space count: a run of spaces at the end of a piece would look ahead to the text's end instead of the next
+word. A text with an overlap that never resynchronises (one endless run of letters) is encoded in one piece.
 
-Defined cases: null text is empty; an empty text has no tokens; any columns of the input stay out of the way
-because only id and text are read; repeated rows give repeated results.
+Defined cases: null text is empty; an empty text has no tokens; an empty table gives an empty result; a very long text is cut in one
+pass and never encoded as a prefix; any columns of the input stay out of the way because only id and text are read; repeated rows
+give repeated results.
 """
 
 from __future__ import annotations
@@ -59,11 +61,11 @@ def _boundaries(pattern: str, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        scan = regex.compile(pattern).finditer
+        scan, blank = regex.compile(pattern).finditer, regex.compile(r"[\s\x1c-\x1f]").match
         for batch in batches:
             head, tail = [], []
             for text, start, last in zip(*(batch.column(k).to_pylist() for k in ("__text", "__start", "__last")), strict=True):
-                at = np.fromiter((m.start() for m in scan(text)), dtype=np.int64)
+                at = np.fromiter((m.start() for m in scan(text) if m.start() and not blank(text[m.start() - 1])), dtype=np.int64)
                 head.append((at[at <= overlap] + start).tolist())
                 tail.append([] if last else (at[at >= len(text) - overlap] + start).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("__chunk"), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], schema=schema)
@@ -71,6 +73,33 @@ def _boundaries(pattern: str, overlap: int):
     return run
 
 
+def _cut(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
+    """Overlapping chunks of a text of ``n`` characters."""
+    step = chunk - overlap
+    return [(k * step, min(n, k * step + chunk)) for k in range((n - overlap - 1) // step + 1)]
+
+
+def _parts(spans, columns: dict[str, pa.DataType], extra: list[str]):
+    """Cuts texts in one pass over each: rows of ``columns``, made by ``spans(text, *extra)``."""
+    schema = pa.schema(columns.items())
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for row, text, *more in zip(*(batch.column(c).to_pylist() for c in ["__row", "__text", *extra]), strict=True):
+                for k, (lo, hi, *rest) in enumerate(spans(text, *more)):
+                    rows.append((row, k, *rest, text[lo:hi]))
+                    held += hi - lo
+                    if held > 2 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    return run
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Rows (id, ``ids``): the token ids of each text as little-endian unsigned 32-bit integers."""
     id_type = docs.schema[id_col].dataType
@@ -82,12 +111,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     long = base.where(size > chunk).withColumn("__row", F.concat_ws(":", F.md5("__text"), F.col("__id").cast("string")))
     once = long.dropDuplicates(["__row"])  # repeated rows have equal ids
-    step = chunk - overlap
-    chunks = (
-        once.select("__row", "__text", F.explode(F.sequence(F.lit(0), F.floor((size - overlap - 1) / step).cast("int"))).alias("__chunk"))
-        .select("__row", F.col("__chunk").cast("long").alias("__chunk"), (F.col("__chunk") * step).cast("long").alias("__start"), (F.col("__chunk") * step + chunk >= size).alias("__last"), F.expr(f"substring(__text, __chunk * {step} + 1, {chunk})").alias("__text"))
-        .repartition("__row", "__chunk")
-    )
+    text = {"__row": pa.string(), "__chunk": pa.int64(), "__start": pa.int64(), "__last": pa.bool_(), "__text": pa.string()}
+    spans = lambda t: [(lo, hi, lo, hi == len(t)) for lo, hi in _cut(len(t), chunk, overlap)]
+    chunks = once.select("__row", "__text").mapInArrow(_parts(spans, text, []), "__row string, __chunk bigint, __start bigint, __last boolean, __text string").repartition("__row", "__chunk")
     seen = chunks.mapInArrow(_boundaries(pattern, overlap), "__row string, __chunk bigint, __head array<bigint>, __tail array<bigint>")
     # one row a text: the chunks in order, then the first common boundary of each two neighbours
     cuts = seen.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__chunk", "__head", "__tail"))).alias("c")).select(
@@ -97,9 +123,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     pieces = (
         once.join(cuts, "__row")
         .withColumn("__cuts", F.when(F.exists("__cuts", lambda x: x.isNull()), F.array().cast("array<bigint>")).otherwise(F.col("__cuts")))
-        .withColumn("__at", F.concat(F.array(F.lit(0).cast("long")), "__cuts", F.array(size.cast("long"))))
-        .select("__row", "__text", "__at", F.explode(F.sequence(F.lit(0), F.size("__at") - 2)).alias("__piece"))
-        .select("__row", F.col("__piece").cast("long").alias("__piece"), F.expr("substring(__text, int(__at[__piece]) + 1, int(__at[__piece + 1] - __at[__piece]))").alias("__text"))
+        .select("__row", "__text", "__cuts")
+        .mapInArrow(_parts(lambda t, cuts: list(zip([0, *cuts], [*cuts, len(t)], strict=True)), {"__row": pa.string(), "__piece": pa.int64(), "__text": pa.string()}, ["__cuts"]), "__row string, __piece bigint, __text string")
         .repartition("__row", "__piece")
     )
     ids = pieces.mapInArrow(_encoder(ranks, pattern, [("__row", pa.string()), ("__piece", pa.int64())]), "__row string, __piece bigint, ids binary")

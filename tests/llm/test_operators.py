@@ -70,6 +70,22 @@ def test_bpe(spark, odd, nothing, chunk, overlap):
     assert bpe.encode(nothing, RANKS, P.PATTERN).count() == 0
 
 
+SPACES = [" ", "\t", "\n", "\r", "\v", "\f", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u200a", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff"]
+
+
+@pytest.mark.parametrize("chunk, overlap, repeats", [(bpe.CHUNK, bpe.OVERLAP, [bpe.CHUNK - bpe.OVERLAP]), (64, 16, range(40, 70))])
+def test_bpe_seams_at_every_space(spark, chunk, overlap, repeats):
+    """Runs of spaces of every kind where a chunk may end: a piece must not end inside or behind them."""
+    enc, texts = encoding(), []
+    for a in SPACES:
+        for n in repeats:
+            head = ("word " * (n // 5 + 1))[: n - 1].rstrip() + "d" * 5
+            texts += [head + " " + a + "x tail" + " more words" * (overlap // 4), head + a + a + " 'll see " + "y z" * overlap]
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, P.PATTERN, chunk=chunk, overlap=overlap).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == np.array(enc.encode_ordinary(t), dtype="<u4").tobytes(), (i, t[-80:])
+
+
 def test_bpe_query(spark, sf_dir, real):
     enc = encoding()
     for r in queries.op1_byte_bpe(spark, sf_dir).collect():
