@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.llm import block_dedup, bpe, decontaminate, importance, jaccard_join, line_dedup, media, neighbours, queries, repeats, suffix_dedup, token_counts, toxicity
+from terrasift.llm import block_dedup, bpe, decontaminate, importance, jaccard_join, line_dedup, media, neighbours, queries, repeats, shingles, suffix_dedup, token_counts, toxicity
 from terrasift.llm.common import rolling
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -366,5 +366,57 @@ def test_toxicity_learns_from_training_rows_only(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
     flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, _, y in texts]
     models = [toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in ([(i, y) for i, _, y in texts], flipped)]
-    assert models[0].margin == models[1].margin and models[0].curve == models[1].curve
-    assert (models[0].uni == models[1].uni).all()
+    assert models[0].rule == models[1].rule and models[0].curve == models[1].curve
+    assert (models[0].ratio == models[1].ratio).all()
+
+
+def words_of(text):
+    return re.findall(r"[0-9a-z_\x80-\U0010ffff]+", (text or "").lower())
+
+
+def test_kneser_ney_models_against_brute_force(spark, sf_dir, real):
+    """Both models from their definition, on 200 texts; each sums to one over the corpus and one word more."""
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").collect()}
+    sample = {i: t for i, t in real.items() if i in toxic}
+    docs = spark.createDataFrame(list(real.items()), "doc_id long, text string")
+    got = {np.uint64(r.h % 2**64): r for r in toxicity.models(docs, spark.createDataFrame([(t, toxic[i]) for i, t in sample.items()], "text string, toxic int")).collect()}
+    corpus = Counter(w for t in real.values() for w in words_of(t))
+    share = {w: (n + 1) / (sum(corpus.values()) + len(corpus) + 1) for w, n in corpus.items()}
+    for c in (0, 1):
+        pairs = {(a, b) for i, t in sample.items() if toxic[i] == c for a, b in zip(["<s>", *words_of(t)], words_of(t), strict=False)}
+        before = Counter(b for _, b in pairs)
+        rest = 1 - sum(n - 0.75 for n in before.values()) / len(pairs)
+        p = {w: max(before[w] - 0.75, 0) / len(pairs) + rest * share[w] for w in corpus}
+        assert abs(sum(p.values()) + rest / (sum(corpus.values()) + len(corpus) + 1) - 1) < 1e-9
+        listed = {w for i in sample for w in words_of(sample[i])}
+        assert len(listed) == len(got)
+        in_texts = Counter(w for t in sample.values() for w in set(words_of(t)))
+        hashes = dict(zip(sorted(listed), shingles.lower_words([" ".join(sorted(listed))]).flat, strict=True))
+        for w in listed:
+            assert abs(got[hashes[w]][f"p{c}"] - p[w]) < 1e-12 and abs(got[hashes[w]][f"rest{c}"] - rest) < 1e-9
+            assert abs(got[hashes[w]].share - share[w]) < 1e-15 and got[hashes[w]].texts == in_texts[w]
+
+
+def test_toxicity_query(spark):
+    """The contract's columns, the scores of the model by its definition, and quality on rows that didn't train."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
+    rows = queries.op9_toxicity(spark, sf).collect()
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    ratio = {int(h): r for h, r, n in zip(model.words, model.ratio, model.texts, strict=True) if r > model.rule[0] and n >= model.rule[1]}
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1
+        words = shingles.lower_words([docs[r.doc_id]]).flat.tolist()
+        z = model.curve[0] * sum(ratio.get(w, 0.0) for w in words) / (len(words) + toxicity.PRIOR_WORDS) + model.curve[1]
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+    held = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
+    caught = sum(p and y for p, y in held)
+    assert caught >= 0.7 * sum(y for _, y in held) and caught >= 0.9 * sum(p for p, _ in held)
+
+
+def test_toxic_column_of_the_input_stays(spark):
+    docs = spark.createDataFrame([(i, f"calm words of day {i % 7} by the river" + ("" if i % 4 else " you stupid idiot clown"), 0.5, "x") for i in range(400)], "doc_id long, text string, toxicity double, __toxicity string")
+    kept = toxicity.keep_ordinary(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert kept.columns == docs.columns and {("idiot" in r.text, r.toxicity) for r in kept.collect()} == {(False, 0.5)}
