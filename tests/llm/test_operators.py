@@ -417,6 +417,6 @@ def test_toxicity_query(spark):
 
 
 def test_toxic_column_of_the_input_stays(spark):
-    docs = spark.createDataFrame([(i, f"calm words of day {i % 7} by the river" + ("" if i % 4 else " you stupid idiot clown"), 0.5, "x") for i in range(400)], "doc_id long, text string, toxicity double, __toxicity string")
+    docs = spark.createDataFrame([(i, " ".join(w if i % 4 or k != i // 4 % 12 else f"{w} idiot" for k, w in enumerate("calm words of a day by the wide river in the town".split())), 0.5, "x") for i in range(400)], "doc_id long, text string, toxicity double, __toxicity string")
     kept = toxicity.keep_ordinary(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
     assert kept.columns == docs.columns and {("idiot" in r.text, r.toxicity) for r in kept.collect()} == {(False, 0.5)}
