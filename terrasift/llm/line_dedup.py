@@ -3,16 +3,19 @@
 A line's tokens are its lower-case words between ASCII spaces. Lines are compared as token sets: a line goes if an earlier line, by
 (doc_id, line number), has a Jaccard similarity of ``threshold`` or more.
 
-1. One scan counts tokens (a table of fixed size, by token hash) and finds the first place of each distinct line.
+1. One scan counts tokens (a table of fixed size, by token hash) and finds the first place of each distinct line (128 bits of a digest).
 2. Tokens are ordered from rare to frequent. The prefix of a line of n tokens is its first n - ceil(t n) + 1; two similar
-   lines share a prefix token. Lines meet by prefix token and are filtered by length, by position, and by a
-   parity sketch whose Hamming distance never exceeds the size of the symmetric difference.
-3. What passes are edges; components of them are tiled and verified exactly.
-4. First places of lines without an earlier match stay; every other line that has tokens goes.
-
-Defined cases: a null text stays null; a line without tokens always stays and matches nothing; a null doc_id comes last; rows that
-repeat both id and text are one document and get one result each; among equal ids with unlike texts the order is
-by a digest of the text; an empty table gives an empty result.
+   lines share a prefix token. Lines meet by prefix token. Tokens that occur over ``HOT`` times group by twos instead: lines whose common
+   prefix tokens are all hot share two in a prefix that is longer by one, unless they have one token.
+3. Pairs of a group are filtered by length, by position, and by a parity sketch whose Hamming distance never exceeds the size of the
+   symmetric difference; what passes are edges, as few as connect the same lines.
+4. Components of the edges are tiled and every pair of fitting sizes is verified exactly.
+5. First places of lines without an earlier match stay; every other line that has tokens goes.
+
+Defined cases: a null text stays null; a line without tokens (only ASCII spaces) always stays and matches nothing; a similarity equal to the
+threshold is a match; a null doc_id comes last; rows that repeat both id and text are one document and get one result each; among equal ids
+with unlike texts the order is by a digest of the text; a row all of whose lines go stays, with an empty text; very long lines and texts are handled
+whole; columns of the input may have any names but those of the two new ones, which can be chosen; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, UNSPACED, Hashed, Packer, buckets, by_bucket, mix, offsets, ranges, saved, slices, trimmed, with_key
-from .neighbours import bucket_links, components, star_edges, tiled
+from .common import PACKED, UNSPACED, Hashed, Packer, buckets, by_bucket, joined, mix, offsets, ranges, saved, slices, trimmed, with_key
+from .jaccard_join import digests, full_keys
+from .neighbours import bucket_links, components, connect, star_edges, tiled
 from .repeats import FOUND, TEXT
 from .rows import by_row, ids_of, packed_found, packed_rows
 from .shingles import sets
@@ -36,13 +40,16 @@ THRESHOLD = 0.8
 TABLE, TABLE_PARTS = 18, 16
 #: Lines of more tokens carry a sketch of 256 bits, others of 64.
 SHORT = 90
+#: Occurrences over which a token groups lines only with another one, and tokens of a line up to which it does so; longer lines, and for
+#: the sake of partners of another length those from ``threshold`` times as many, group by single tokens whatever these are.
+HOT, PAIRED = 1 << 17, 40
 LINES, COUNTS = 0, 1
 
 
 class _Lines:
     """The lines with tokens of some texts: ``text`` and ``line`` say where, ``node`` what they hold, ``n`` how many tokens.
 
-    ``node`` digests the bag of a line's tokens: two sums of mixed hashes and the count, mixed.
+    ``node`` and ``check`` digest the bag of a line's tokens, with 64 bits each.
     """
 
     def __init__(self, texts: list[str | None]):
@@ -55,8 +62,8 @@ class _Lines:
         number = owner[first]
         self.text = np.searchsorted(found.at, found.starts[first], "right") - 1
         self.line = number - np.searchsorted(ends, found.at[:-1])[self.text] if len(first) else number
-        a, b = (np.concatenate([[np.uint64(0)], np.cumsum(mix(self.flat, seed), dtype=np.uint64)]) for seed in (3, 5))
-        self.node = (mix((a[self.at[1:]] - a[self.at[:-1]]) ^ mix(b[self.at[1:]] - b[self.at[:-1]], 9), 11) + self.n.astype(np.uint64)).view(np.int64)
+        node, self.check = digests(self.flat, self.n)
+        self.node = node.view(np.int64)
 
     def tokens(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token hashes of some lines in a row, and each one's line as a place in ``which``."""
@@ -75,11 +82,10 @@ def _scan(n: int):
                 lines = _Lines(part.column("text").to_pylist())
                 table += np.bincount((lines.flat >> np.uint64(64 - TABLE)).astype(np.int64), minlength=1 << TABLE)
                 own = lines.text
-                order = np.lexsort((lines.line, k2[own], k1[own], ids[own], lines.node))
-                node = lines.node[order]
-                at = order[np.concatenate([[True], node[1:] != node[:-1]])] if len(order) else order  # the first place of each
+                order = np.lexsort((lines.line, k2[own], k1[own], ids[own], lines.check, lines.node))
+                at = order[_new(lines.node[order], lines.check[order])]  # the first place of each
                 own = own[at]
-                packer.add(lines.node[at].view(np.uint64) % np.uint64(n), {"node": lines.node[at], "doc_id": ids[own], "k1": k1[own], "k2": k2[own], "line": lines.line[at].astype(np.int32)})
+                packer.add(lines.node[at].view(np.uint64) % np.uint64(n), {"node": lines.node[at], "check": lines.check[at], "doc_id": ids[own], "k1": k1[own], "k2": k2[own], "line": lines.line[at].astype(np.int32)})
                 if packer.full():
                     yield from packer.batches()
         yield from packer.batches()
@@ -92,14 +98,22 @@ def _scan(n: int):
     return run
 
 
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Which sorted rows differ from the one before."""
+    out = np.zeros(len(keys[0]), dtype=bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
 def _firsts(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
     r = records[LINES]
-    c = {k: r[k].to_numpy() for k in ("node", "doc_id", "k1", "k2", "line")}
-    order = np.lexsort((c["line"], c["k2"], c["k1"], c["doc_id"], c["node"]))
-    node = c["node"][order]
-    at = order[np.concatenate([[True], node[1:] != node[:-1]])]
+    c = {k: r[k].to_numpy() for k in ("node", "check", "doc_id", "k1", "k2", "line")}
+    order = np.lexsort((c["line"], c["k2"], c["k1"], c["doc_id"], c["check"], c["node"]))
+    at = order[_new(c["node"][order], c["check"][order])]
     key = np.stack([c["k1"][at], c["k2"][at]], axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(c["node"][at]), pa.array(c["doc_id"][at]), pa.array([x.tobytes() for x in key], pa.binary()), pa.array(c["line"][at])], names=["node", "doc_id", "__key", "line"])
+    yield pa.RecordBatch.from_arrays([pa.array(c["node"][at]), full_keys(c["node"][at].view(np.uint64), c["check"][at]), pa.array(c["doc_id"][at]), full_keys(key[:, 0], key[:, 1]), pa.array(c["line"][at])], names=["node", "full", "doc_id", "__key", "line"])
 
 
 def _table_sum(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +155,8 @@ def _prefixes(n_buckets: int, sent, threshold: float):
                 at = offsets(size)
                 sketch = _sketches(flat, owner, size)
                 place = np.arange(len(flat)) - at[owner]
-                head = np.flatnonzero(place < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner])
+                head, token = _groups(flat, owner, size, place, sent.value, threshold)
                 who = owner[head]
-                token = mix(flat[head], 4)
                 packer.add(token % np.uint64(n_buckets), {"token": (token >> np.uint64(32)).astype(np.uint32), "node": node[who], "size": size[who].astype(np.uint32), "place": place[head].astype(np.uint32), **{f"s{k}": sketch[who, k] for k in range(4)}})
                 if packer.full():
                     yield from packer.batches()
@@ -152,6 +165,24 @@ def _prefixes(n_buckets: int, sent, threshold: float):
     return run
 
 
+def _groups(flat: np.ndarray, owner: np.ndarray, size: np.ndarray, place: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of tokens by which lines meet, and the hashes of the groups: prefix tokens, or two hot ones of a prefix longer by one."""
+    own, prefix = size[owner], (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]
+    hot = table[(flat >> np.uint64(64 - TABLE)).astype(np.int64)] > HOT
+    alone = ~hot | (own == 1) | (own >= threshold * PAIRED)
+    head = np.flatnonzero((place < prefix) & alone)
+    found, groups = [head], [mix(flat[head], 4)]
+    pair = np.flatnonzero((place < prefix) & hot & (own > 1) & (own <= PAIRED))
+    step = 1
+    while len(pair):
+        pair = pair[place[pair] + step <= np.minimum(prefix[pair], own[pair] - 1)]
+        both = pair[hot[pair + step]]
+        found.append(both)
+        groups.append(mix(joined(flat[both], flat[both + step], 31), 4))
+        step += 1
+    return np.concatenate(found), np.concatenate(groups)
+
+
 def _sketches(flat: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Parity of the tokens by 256 slots; for short lines folded to 64, in the first word."""
     slot = owner * 256 + ((flat >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
@@ -176,30 +207,24 @@ def _candidates(threshold: float):
         sketch = np.stack([r[f"s{k}"].to_numpy()[order] for k in range(4)], axis=1)
         long = size > SHORT
         fold = np.where(long, sketch[:, 0] ^ sketch[:, 1] ^ sketch[:, 2] ^ sketch[:, 3], sketch[:, 0])
-        a_found, b_found, step = [], [], 1
-        i = np.arange(len(token))
-        while len(i):
-            i = i[i + step < len(token)]
-            j = i + step
-            # sorted by size within a token: once the length filter fails it fails for all that follow
-            ok = (token[i] == token[j]) & (size[i] >= threshold * size[j] - 1e-9)
-            i, j = i[ok], j[ok]
+
+        def goes_on(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return size[i] >= threshold * size[j] - 1e-9  # a group is sorted by size: what fails once fails for all that follow
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             need = np.ceil(share * (size[i] + size[j]) - 1e-9)
-            near = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= need
-            apart = size[i] + size[j] - 2 * need
-            p, q = i[near], j[near]
+            out = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+            at = np.flatnonzero(out)
+            p, q = i[at], j[at]
             both = long[p] & long[q]
-            far = np.where(both, np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64), np.bitwise_count(fold[p] ^ fold[q]).astype(np.int64))
-            close = far <= apart[near]
-            if close.any():
-                a_found.append(node[p[close]])
-                b_found.append(node[q[close]])
-                if sum(map(len, a_found)) > 4_000_000:
-                    a, b = star_edges(np.concatenate(a_found), np.concatenate(b_found))
-                    a_found, b_found = [a], [b]
-            step += 1
-        if a_found:
-            a, b = star_edges(np.concatenate(a_found), np.concatenate(b_found))
+            far = np.bitwise_count(fold[p] ^ fold[q]).astype(np.int64)
+            far[both] = np.bitwise_count(sketch[p[both]] ^ sketch[q[both]]).sum(axis=1, dtype=np.int64)
+            out[at] = far <= size[p] + size[q] - 2 * need[at]
+            return out
+
+        i, j = connect(token, near, goes_on)
+        if len(i):
+            a, b = star_edges(node[i], node[j])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return work
@@ -213,7 +238,7 @@ def _values(n: int):
         if wanted is None or TEXT not in records:
             return
         look, texts, packer, seen = by_row(wanted), records[TEXT], Packer(), set()
-        number, node, g, tiles = wanted["line"].to_numpy(), wanted["node"].to_numpy(), wanted["g"].to_numpy(), wanted["tiles"].to_pylist()
+        number, full, g, tiles = wanted["line"].to_numpy(), wanted["full"].combine_chunks(), wanted["g"].to_numpy(), wanted["tiles"].to_pylist()
         ids, k1, k2, column = texts["id"].to_numpy(), texts["k1"].to_numpy(), texts["k2"].to_numpy(), texts["c_text"]
         held, size = [], 0  # (place of the text, places of its wanted lines)
 
@@ -230,7 +255,7 @@ def _values(n: int):
             row, w = np.array([i for _, i, _ in pairs])[own], np.array([w for _, _, w in pairs])[own]
             packer.add(
                 np.array([xxhash.xxh3_64_intdigest(t) % n for t in names]),
-                {"tile": pa.array(names), "node": node[w], "g": g[w], "values": pa.array([flat[at[p] : at[p + 1]].tobytes() for p in own], pa.binary()), "id": ids[row], "k1": k1[row], "k2": k2[row], "line": number[w]},
+                {"tile": pa.array(names), "full": full.take(pa.array(w)), "g": g[w], "values": pa.array([flat[at[p] : at[p + 1]].tobytes() for p in own], pa.binary()), "id": ids[row], "k1": k1[row], "k2": k2[row], "line": number[w]},
             )
             held.clear()
 
@@ -257,20 +282,24 @@ def _later(threshold: float):
     """Lines that have an earlier match in a tile."""
 
     def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
-        rows, i, j = bucket_links(records[0], threshold)
+        rows, i, j = bucket_links(records[0], threshold, None)
         if not len(i):
             return
         rank = np.empty(rows.num_rows, dtype=np.int64)
         rank[np.lexsort((rows["line"].to_numpy(), rows["k2"].to_numpy(), rows["k1"].to_numpy(), rows["id"].to_numpy()))] = np.arange(len(rank))
-        later = np.unique(rows["node"].to_numpy()[np.where(rank[i] > rank[j], i, j)])
-        yield pa.RecordBatch.from_arrays([pa.array(later)], names=["node"])
+        later = np.unique(np.where(rank[i] > rank[j], i, j))
+        yield pa.RecordBatch.from_arrays([rows["full"].combine_chunks().take(pa.array(later))], names=["full"])
 
     return work
 
 
+#: What stands between tokens; a line of nothing else is blank.
+SPACES = " \t\n\v\f\r"
+
+
 def _rewritten(schema: pa.Schema):
-    """Rows with the kept lines as text, and their counts of lines."""
-    names = [x for x in schema.names if x not in ("n_lines", "n_removed")]
+    """Rows with the kept lines as text, and their counts of lines (the last two columns)."""
+    names = schema.names[:-2]
 
     def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
         if TEXT not in records:
@@ -287,7 +316,7 @@ def _rewritten(schema: pa.Schema):
                     continue
                 split, found = text.split("\n"), look((a, b, c))
                 stay = set(line[found].tolist()) if len(found) else ()
-                rest = [x for i, x in enumerate(split) if i in stay or not x.strip()]
+                rest = [x for i, x in enumerate(split) if i in stay or not x.strip(SPACES)]
                 texts.append("\n".join(rest))
                 n_lines.append(len(split))
                 n_removed.append(len(split) - len(rest))
@@ -300,32 +329,33 @@ def _rewritten(schema: pa.Schema):
     return work
 
 
-def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` (doc_id long, text, ...) with the lines that stay, n_chars to match, and n_lines and n_removed (long).
+def dedup(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The rows of ``docs`` (doc_id long, text, ...) with the lines that stay, n_chars to match, and the ``counts`` of lines and removed lines (long).
 
-    A row all of whose lines go stays, with an empty text. All but the last exchange is done when this is called.
+    All but the last exchange is done when this is called.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
+    docs = docs.select(*(c for c in docs.columns if c not in counts))
+    total, gone = counts
     slim = with_key(docs.select("doc_id", "text"))
     n = buckets(docs, 0.5)
     scanned = saved(slim.mapInArrow(_scan(n), PACKED), "line-scan")
-    firsts = saved(by_bucket(scanned.where(F.col("kind") == LINES), n, _firsts, "node bigint, doc_id bigint, __key binary, line int"), "line-firsts")
-    counts = by_bucket(scanned.where(F.col("kind") == COUNTS), TABLE_PARTS, _table_sum, "slot bigint, n bigint").toPandas()  # the table has a fixed size
+    firsts = saved(by_bucket(scanned.where(F.col("kind") == LINES), n, _firsts, "node bigint, full binary, doc_id bigint, __key binary, line int"), "line-firsts")
+    often = by_bucket(scanned.where(F.col("kind") == COUNTS), TABLE_PARTS, _table_sum, "slot bigint, n bigint").toPandas()  # the table has a fixed size
     table = np.zeros(1 << TABLE, dtype=np.int64)
-    table[counts.slot] = counts.n
+    table[often.slot] = often.n
     sent = spark.sparkContext.broadcast(table)
     n = buckets(docs, 2.5)
     edges = by_bucket(docs.select("text").mapInArrow(_prefixes(n, sent, threshold), PACKED), n, _candidates(threshold), "a bigint, b bigint")
-    wanted = tiled(components(edges).join(firsts, "node"))
+    wanted = tiled(components(edges).join(firsts, "node").drop("node"))
     rows, n = buckets(docs, 2.5), buckets(docs, 1)
-    found = wanted.select("doc_id", "__key", "line", "node", "g", "tiles").mapInArrow(packed_found(rows, ["line", "node", "g", "tiles"]), PACKED)
+    found = wanted.select("doc_id", "__key", "line", "full", "g", "tiles").mapInArrow(packed_found(rows, ["line", "full", "g", "tiles"]), PACKED)
     values = by_bucket(slim.mapInArrow(packed_rows(rows), PACKED).unionAll(found), rows, _values(n), PACKED)
-    later = saved(by_bucket(values, n, _later(threshold), "node bigint"), "line-later")
-    kept = firsts.join(later, "node", "left_anti").select("doc_id", "__key", "line").mapInArrow(packed_found(rows, ["line"]), PACKED)
-    schema = pa.schema([*((f.name, to_arrow_type(f.dataType)) for f in docs.schema.fields), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_lines bigint, n_removed bigint"])
+    later = saved(by_bucket(values, n, _later(threshold), "full binary"), "line-later")
+    kept = firsts.join(later, "full", "left_anti").select("doc_id", "__key", "line").mapInArrow(packed_found(rows, ["line"]), PACKED)
+    schema = pa.schema([*((f.name, to_arrow_type(f.dataType)) for f in docs.schema.fields), (total, pa.int64()), (gone, pa.int64())])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{total}` bigint, `{gone}` bigint"])
     return by_bucket(with_key(docs).mapInArrow(packed_rows(rows), PACKED).unionAll(kept), rows, _rewritten(schema), ddl)
 
