@@ -9,8 +9,9 @@ fails or its checksum differs. ``decode`` gives the samples back.
 A task that runs twice writes another archive; only archives named in the committed manifest are read, so
 retries and speculation leave the result unchanged.
 
-Defined cases: null text is empty; an empty text has one row of padding; equal texts have equal members; rows with a
-null id are kept; repeated rows give repeated members; an empty table gives an empty result.
+Defined cases: null text is empty; an empty text has one row of padding; equal texts have equal members; a very long text is one member, however many
+ranges it spans; rows with a null id are kept; repeated rows give repeated members; only id and text are read, so other columns may have any names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from .common import shared_path, slices, trimmed
 WIDTH = 192
 #: Bytes of an archive after which the next one begins, of a planned range, and of a batch of payloads.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 8 << 20, 4 << 20
-TRIES = 3
+TRIES, MOST_RANGES = 3, 100_000
 MEMBERS = "name string, archive string, offset bigint, media binary, tries int, error string"
 
 
@@ -165,8 +166,10 @@ class MediaReader(DataSourceReader):
         return sorted((x.path, x.size) for x in store.get_file_info(fs.FileSelector(folder, recursive=True)) if x.path.endswith(".zip"))
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges of the archives; only their names and sizes come to the driver."""
-        return [ByteRange(a, at, at + self.range_bytes) for a, n in self._archives() for at in range(0, n, self.range_bytes)] or [ByteRange("", 0, 0)]
+        """Byte ranges of the archives, wider ones where there would be over ``MOST_RANGES``; only names and sizes come to the driver."""
+        archives = self._archives()
+        wide = max(self.range_bytes, sum(n for _, n in archives) // MOST_RANGES)
+        return [ByteRange(a, at, at + wide) for a, n in archives for at in range(0, n, wide)] or [ByteRange("", 0, 0)]
 
     def _member(self, store, archive: str, info: zipfile.ZipInfo) -> tuple[bytes | None, int, str | None]:
         """One member by its offset; a failed or corrupt read is tried again, without its neighbours."""

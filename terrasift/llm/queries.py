@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import sentencepiece  # noqa: F401  (what a task needs is missed here already)
+import tiktoken  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -5,9 +5,9 @@ a tokenizer digest, so another model file never meets old counts. Only distinct
 stored count are encoded, and their counts are appended to the cache as Parquet. Distinct contents are
 pre-aggregated in the map tasks, so a text that a third of the rows repeat reaches the shuffle once a task.
 
-Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results; an empty
+Defined cases: null and empty texts have 0 bytes and 0 tokens; a very long text is encoded whole; repeated rows give repeated results; an empty
 table gives an empty result and leaves the cache as it is; a cache with repeated digests (two jobs that
-appended at once) is read as if each were there once.
+appended at once) is read as if each were there once; id and text columns may have any names, others aren't read.
 """
 
 from __future__ import annotations
@@ -72,10 +72,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     """
     spark = docs.sparkSession
     tokenizer, cache = tokenizer_digest(tokenizer_path), cache or shared_path(spark, "token-counts")
-    rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
     distinct = rows.select("digest", "content").dropDuplicates(["digest"])
     misses = distinct.join(read_cache(spark, cache, tokenizer), "digest", "left_anti")
     counts = misses.mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens bigint")
     counts.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    return rows.select(id_col, "digest", F.octet_length("content").cast("long").alias("n_bytes")).join(read_cache(spark, cache, tokenizer), "digest").select(id_col, "n_bytes", "n_tokens")
+    sizes = rows.select("__id", "digest", F.octet_length("content").cast("long").alias("n_bytes"))
+    return sizes.join(read_cache(spark, cache, tokenizer), "digest").select(F.col("__id").alias(id_col), "n_bytes", "n_tokens")

@@ -214,19 +214,42 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_containment(spark, odd, nothing, sf_dir, real):
+def item_set(text):
+    """An item's shingles: of five words, or all its words if these are fewer."""
+    w = words_of(text)
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def runs_of(text):
+    w = words_of(text)
+    return frozenset(tuple(w[i : i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
+
+
+def holds(text, item):
+    return bool(item_set(item)) and len(runs_of(text) & item_set(item)) >= 0.8 * len(item_set(item)) - 1e-9
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 5])
+def test_containment(spark, odd, nothing, block):
+    bench = spark.createDataFrame([(1, LONG), (2, None), (3, ""), (4, "Word"), (5, " ".join(f"w{i}" for i in range(300))), (6, "is here now"), (7, LONG)], "item_id long, text string")
+    rows, items = pairs_of(odd), [(r.item_id, r.text) for r in bench.collect()]
+    want = Counter((d, i) for d, t in rows for i, x in items if holds(t, x))
+    assert (13, 6) in want and (5, 4) in want
+    assert Counter((r.doc_id, r.item_id) for r in decontaminate.contained(odd, bench, block=block).collect()) == want
+    clean = decontaminate.keep_clean(odd, bench, block=block)
+    assert clean.columns == odd.columns
+    assert Counter(r.text for r in clean.collect()) == Counter(t for _, t in rows if not any(holds(t, x) for _, x in items))
+    assert decontaminate.contained(nothing, bench, block=block).count() == 0 and decontaminate.contained(odd, nothing.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+
+
+def test_containment_query(spark, sf_dir, real):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
-    docs, wanted = {i: shingle_set(t) for i, t in real.items()}, {i: shingle_set(t) for i, t in items.items()}
+    docs, wanted = {i: runs_of(t) for i, t in real.items()}, {i: item_set(t) for i, t in items.items()}
     want = {(d, i) for d, a in docs.items() for i, b in wanted.items() if b and len(a & b) >= 0.8 * len(b) - 1e-9}
     got = queries.op6_decontaminate(spark, sf_dir).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
-    bench = spark.createDataFrame([(1, LONG), (2, None), (3, ""), (4, "word"), (5, " ".join(f"w{i}" for i in range(300)))], "item_id long, text string")
-    small = decontaminate.contained(odd, bench, block=5).collect()  # an item a block
-    every = {(i, j) for i, t in pairs_of(odd) for j, x in ((r.item_id, shingle_set(r.text)) for r in bench.collect()) if x and len(shingle_set(t) & x) >= 0.8 * len(x) - 1e-9}
-    assert {(r.doc_id, r.item_id) for r in small} == every
-    dirty = {i for i, _ in every}
-    assert Counter(r.text for r in decontaminate.keep_clean(odd, bench).collect()) == Counter(t for i, t in pairs_of(odd) if i not in dirty or (i == 3 and "three" in (t or "")))
-    assert decontaminate.contained(nothing, bench).count() == 0 and decontaminate.contained(odd, nothing.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    assert want and {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    many = decontaminate.contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), block=5)
+    assert {(r.doc_id, r.item_id) for r in many.collect()} == want
 
 
 def classes(sets):
@@ -310,6 +333,26 @@ def test_lines(spark, odd, nothing, real, sf_dir):
     assert line_dedup.dedup(nothing).count() == 0
 
 
+def test_lines_of_odd_spaces_and_hot_tokens(spark, monkeypatch):
+    """Lines whose tokens Python takes for spaces aren't blank; tokens that all lines share group them in twos."""
+    rng = np.random.default_rng(11)
+    texts = ["\u00a0\n\u00a0\n \t \n \t \n\x1c x\n\x1c x", "\u00a0\nnew line here", "the\nthe the\nthe of\nof the\nof"]
+    texts += ["\n".join(" ".join(rng.choice(["the", "of", "and", "to", "a", "in", "is", "it"], size=rng.integers(1, 9)).tolist() + ["x"] * int(rng.integers(0, 2))) for _ in range(6)) for _ in range(12)]
+    texts += ["\n".join(" ".join(f"t{k}" for k in rng.choice(60, size=45, replace=False)) for _ in range(3)) for _ in range(4)]
+    base = [f"t{k}" for k in range(60)]
+    texts += ["\n".join(" ".join(w for k, w in enumerate(base[: 36 + n]) if k != d) for d in range(0, 36, 9)) for n in (0, 3, 6, 9)]
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.n_lines, r.text) for r in line_dedup.dedup(docs).collect()}
+    assert got == set(deduped(list(enumerate(texts))))
+
+
+def test_counts_of_the_input_stay(spark):
+    docs = spark.createDataFrame([(1, "a b\na b", 7, 8)], "doc_id long, text string, n_lines long, n_removed long")
+    (row,) = line_dedup.dedup(docs, counts=("lines", "gone")).collect()
+    assert (row.text, row.n_lines, row.n_removed, row["lines"], row.gone) == ("a b", 7, 8, 2, 1)
+
+
 # ---------------------------------------------------------------- 4, 9, pipeline
 
 
