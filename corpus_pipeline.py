@@ -2,6 +2,10 @@
 
 Toxic documents go; near-copies of earlier lines go; one document of each class of near-copies stays; documents that
 hold a benchmark item go; what is left is encoded.
+
+Defined cases are those of the operators: null texts are empty, and stay null until they are encoded; repeated rows are copies, of which one stays; empty
+tables give an empty result; all columns of ``documents`` pass through every stage but the last as they are, whatever their names (line dedup
+alone changes text and n_chars).
 """
 
 from __future__ import annotations
@@ -19,7 +23,10 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(docs).select(*docs.columns)
+    counts = ["__lines", "__removed"]
+    while set(counts) & set(docs.columns):
+        counts = [x + "_" for x in counts]
+    return line_dedup.dedup(docs, counts=tuple(counts)).select(*docs.columns)
 
 
 def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
