@@ -33,6 +33,6 @@ def oracle_sql() -> dict[str, str]:
     return _ORACLE
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    """Coordinate confidence per region after repair, on the smallest tables."""
-    return queries()["pair_confidence_by_region"](spark, "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinate confidence per region after repair, on the tables of ``sf_dir``."""
+    return queries()["pair_confidence_by_region"](spark, sf_dir)
