@@ -13,7 +13,11 @@ KIND_RULES = [
     (r"\b(pol\w*\.?\s*ind|poligono)", "INDUSTRIAL"), (r"\b(ctra|carretera|autovia|km\.?)\b", "ROAD"), (r"\b(urb|urbanizacion)\b", "ESTATE"),
     (r"\b(paraje|cortijo|finca|diseminado|camino|partida)\b", "RURAL"), (r"\b(plaza|pza|pl)\b", "SQUARE"), (r"(\bcalle\b|\bc/|\bavenida\b|\bavda?\b|\bpaseo\b)", "STREET"),
 ]
-NOT_PLACES = r"(lugar m[aá]s pr[oó]ximo|donde se (localice|produzca)|\bvarios\b|sin determinar|por determinar|todo el (municipio|t[eé]rmino)|\bitinerante\b|\d{14,20}\w{0,6}$)"
+NOT_PLACES = (
+    r"(lugar m[aá]s pr[oó]ximo|donde se (localice|produzca)|\bvarios\b|sin determinar|por determinar|todo el (municipio|t[eé]rmino)|\bitinerante\b|\d{14,20}\w{0,6}$"
+    r"|seg[uú]n\s+(la\s+)?emergencia|los\s+disponibles|los\s+asignados|indicar\s+ubicaci[oó]n|pendiente\s+de|\d+,?-\s*cargos?\s+pol[ií]tic|\d+,?-\s*funcionarios?\s+de"
+    r"|^consultorio\s+(m[eé]dico|local|auxiliar)(\s+de\s+\w+)?(\s+y\s+(del?\s+)?consultorio[\s\w]*)?$)"
+)
 NOISE = [r"(?i),?\s*disponible\s+\d+\s*(horas|h)\b\.?", r"(?i),?\s*tel[eé]?f?o?n?o?\.?:?\s*\d[\d\s]{7,}", r"(?i),?\s*\b(bajo|planta baja|local)\b", r"\s*\([^)]*\)"]
 _NO_NUMBER = r"(?i)\bs\s*/\s*n\b"
 
@@ -66,7 +70,7 @@ def geocodable(address: Column) -> Column:
 FACILITIES = ["centro de salud", "consultorio", "hospital", "ceip", "ies", "colegio", "policía local", "guardia civil", "bomberos", "protección civil", "ayuntamiento", "polideportivo", "biblioteca", "residencia"]
 REMARKS = [r",?\s*disponible\s.*$", r",?\s*tel[eéf]*\.?:?\s*\d[\d\s]{7,}.*$", r",?\s*\b(planta baja|bajo|local|1ª planta)\b\.?", r"\s*\([^)]*\)", r",?\s*\bs\s*/\s*n\b\.?"]
 SMALL = ["de", "del", "la", "las", "los", "el", "y"]
-STREETS = r"\b(c/|calle\b|avda?\b|avenida\b|plaza\b|pza\b|paseo\b|ctra\b|carretera\b|camino\b|pol[ií]gono\b)"
+STREETS = r"(?:^|\s)(c/|av[d.]?\.?|calle|avenida|plaza|pza\.?)(?=\s|$)"
 
 
 def unlocatable(address: Column) -> Column:
@@ -77,13 +81,13 @@ def unlocatable(address: Column) -> Column:
     low = F.lower(address)
     n = F.size(F.regexp_extract_all(low, F.lit(STREETS), F.lit(1)))
     pair = (n == 2) & (low.rlike(r"\bpol[ií]gono\b") | low.rlike(r"\bc/\s*plaza\b"))
-    return F.when(low.rlike(r"\b\d{7}[a-z]{2}\d{4}[a-z]\b|\bparcela\s+\d+"), "CADASTRAL").when(~can_be_located(address), "NO_PLACE").when((n > 1) & ~pair, "SEVERAL")
+    return F.when(low.rlike(r"\b\d{7}[a-z]{2}\d{4}[a-z]\b|\bparcela\s+\d+|\bpol\s*\d+\s*[-–]\s*p\s*\d+"), "CADASTRAL").when(~can_be_located(address), "NO_PLACE").when((n > 1) & ~pair, "SEVERAL")
 
 
 def capitalised(text: Column) -> Column:
     """Capitals at the start of words, small words small but for the first."""
     words = F.split(text, " ")
-    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(SMALL), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))))), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(SMALL), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))), " ")
 
 
 def street(address: Column) -> Column:
@@ -101,6 +105,7 @@ def street(address: Column) -> Column:
 
     def full_words(c: Column) -> Column:
         c = F.regexp_replace(c, r"(?i)\bc/\s*plaza\b", "Plaza")
+        c = F.regexp_replace(c, r"(?i)^pol[ií]gono\s+(?:c/|calle\b)\s*", "Polígono, Calle ")
         for short, full in STREET_FORMS:
             c = F.regexp_replace(c, f"(?i){short}", full)
         return c

@@ -36,6 +36,58 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, 100.0).when(inside, 70 + 30 * short / long).when(j >= 0.5, 60.0).otherwise(50 * j)
 
 
+def fuzzy_hit(needle: Column, hay: Column) -> Column:
+    """Whether every word of ``needle`` stands in ``hay`` with one error at most: in the order of the words, each at the start, the end or inside of one."""
+    near = lambda w, o: o.contains(w) | (F.length(w) >= 3) & (F.levenshtein(w, F.substring(o, F.lit(1), F.length(w))) <= 1) | (F.length(w) >= 3) & (F.levenshtein(w, o) <= 1)
+    theirs = F.filter(F.split(hay, " "), lambda o: o != "")
+    return F.forall(F.filter(F.split(needle, " "), lambda w: w != ""), lambda w: F.exists(theirs, lambda o: near(w, o)))
+
+
+def graded_similarity(a: Column, b: Column) -> Column:
+    """0 to 100: nothing for an empty text; equal 100; containment 70 and 30 by length; 85 to 100 from four fifths of the words in common on, 60 to 85 from three
+    fifths on; 60 for a fuzzy hit; else half the share. Words have two letters at least. Rounded.
+    """
+    x, y = normalise(a), normalise(b)
+    long_words = lambda t: F.filter(F.array_distinct(F.split(t, " ")), lambda w: F.length(w) > 1)
+    both, either = F.size(F.array_intersect(long_words(x), long_words(y))), F.size(F.array_union(long_words(x), long_words(y)))
+    j = F.when(either == 0, 1.0).otherwise(both / either)
+    round_ = lambda v: F.floor(v + 0.5)
+    short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    score = (
+        F.when(x == y, F.lit(100)).when(x.contains(y) | y.contains(x), round_(70 + 30 * short / long))
+        .when(j >= 0.8, round_(85 + (j - 0.8) * 75)).when(j >= 0.6, round_(60 + (j - 0.6) * 125))
+        .when(fuzzy_hit(x, y), F.lit(60)).otherwise(round_(j * 50))
+    )
+    return F.when(F.coalesce(F.length(a), F.lit(0)) * F.coalesce(F.length(b), F.lit(0)) == 0, F.lit(0)).otherwise(score).cast("long")
+
+
+def match_score(wanted: Column, name: Column) -> Column:
+    """100 equal, 90 the name starts with the request or the other way round, 80 to 90 containment by length, else the edit similarity in hundredths. Normalised."""
+    x, y = normalise(wanted), normalise(name)
+    short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    return F.when(x == y, 100.0).when(y.startswith(x) | x.startswith(y), 90.0).when(y.contains(x) | x.contains(y), 80 + 10 * short / long).otherwise(F.greatest(F.lit(0.0), 100 * edit_similarity(x, y)))
+
+
+def same_place_name(a: Column, b: Column) -> Column:
+    """Names of one municipality: equal, one inside the other, or an edit similarity over 0.8. Normalised; an empty one equals nothing."""
+    x, y = normalise(a), normalise(b)
+    return (F.length(x) > 0) & (F.length(y) > 0) & ((x == y) | x.contains(y) | y.contains(x) | (edit_similarity(x, y) > 0.8))
+
+
+def file_key(text: Column) -> Column:
+    """Lower case without marks; underscores and hyphens are spaces; other signs go."""
+    t = F.regexp_replace(F.lower(F.trim(text)), "[_-]", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(strip_accents(t), r"[^a-z0-9\s]", ""), r"\s+", " "))
+
+
+def name_variants(text: Column) -> Column:
+    """Array of other ways to name a place: without its article, the first word of several (four letters at least), without prepositions."""
+    t = file_key(text)
+    bare, first = F.trim(F.regexp_replace(t, r"^(el|la|los|las)\s+", "")), F.substring_index(t, " ", 1)
+    short = F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+(de\s+la|del|de)(?=\s)", " "), r"\s+", " "))
+    return F.array_compact(F.array(F.when(bare != t, bare), F.when(t.contains(" ") & (F.length(first) >= 4), first), F.when(short != t, short)))
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     long = F.greatest(F.length(a), F.length(b))
     return F.when(long == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / long)

@@ -127,3 +127,148 @@ def by_operator(towers: DataFrame, requests: DataFrame, on: list[str], key: str,
     named = F.coalesce(plain(F.col("name")).contains(plain(F.col("operator"))), F.lit(False))
     joined = requests.join(towers, on)
     return joined.groupBy(key).agg(F.min_by(feature_key, F.struct(~named, F.col(feature_key))).alias(feature_key))
+
+
+# ---------------------------------------------------------------- scores over name, address and locality
+
+# Weights of name, address and locality by kind of place; the last entry for others.
+WEIGHTS = {
+    "HEALTH": (0.60, 0.25, 0.15), "SANITARIO": (0.60, 0.25, 0.15), "EDUCATION": (0.65, 0.20, 0.15), "EDUCATIVO": (0.65, 0.20, 0.15), "SECURITY": (0.40, 0.20, 0.40), "SEGURIDAD": (0.40, 0.20, 0.40),
+    "TRANSPORT": (0.30, 0.50, 0.20), "TRANSPORTE": (0.30, 0.50, 0.20), "CULTURAL": (0.55, 0.25, 0.20), "RELIGIOSO": (0.55, 0.25, 0.20), "DEPORTIVO": (0.40, 0.35, 0.25), "ENERGIA": (0.55, 0.30, 0.15),
+    "HIDRAULICO": (0.35, 0.25, 0.40), "": (0.45, 0.30, 0.25),
+}
+
+
+def field_scores(kind: Column) -> Column:
+    """Struct (name, address, locality, total) of a candidate (c_name, c_address, c_municipality, c_code) for a request (name, address, locality, code).
+
+    An address that either side lacks scores 0; without a locality the same municipal code scores 100.
+    """
+    from ..functions import address as A
+
+    known = F.create_map(*(x for k, v in WEIGHTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    w = F.coalesce(known[F.upper(F.trim(kind))], known[F.lit("")])
+    has = lambda c: F.coalesce(F.length(F.trim(F.col(c))) > 0, F.lit(False))
+    name = T.graded_similarity(F.col("name"), F.col("c_name"))
+    address = F.when(has("address") & has("c_address"), T.graded_similarity(A.clean(F.col("address")), A.clean(F.col("c_address")))).otherwise(0)
+    locality = F.when(has("locality"), T.graded_similarity(F.col("locality"), F.col("c_municipality"))).when(F.col("code") == F.col("c_code"), 100).otherwise(0)
+    return F.struct(name.alias("name"), address.alias("address"), locality.alias("locality"), F.floor(name * w[0] + address * w[1] + locality * w[2] + 0.5).cast("long").alias("total"))
+
+
+def disambiguated(requests: DataFrame, candidates: DataFrame, on: list[str], key: str, kind: Column) -> DataFrame:
+    """(key, candidate, score, confidence, gap, reliable, review), one a request: the candidate with the highest total, ties to the smaller ``candidate``.
+
+    HIGH from 15 points ahead of the second (100 if alone), MEDIUM from 8, LOW else and under a score of 40; NONE without candidates. One join on ``on``, then
+    one aggregation that keeps the best two of each request.
+    """
+    scored = requests.join(candidates, on).withColumn("s", field_scores(kind)["total"])
+    order = F.struct((-F.col("s")).alias("s"), F.col("candidate").alias("candidate"))
+    top = scored.groupBy(key).agg(F.min(order).alias("a"), F.slice(F.array_sort(F.collect_list(order)), 1, 2).alias("two"))
+    gap = F.when(F.size("two") > 1, F.get("two", 1)["s"] - F.col("a.s")).otherwise(100)
+    top = top.select(key, F.col("a.candidate").alias("candidate"), (-F.col("a.s")).alias("score"), gap.cast("long").alias("gap"))
+    out = requests.select(key).join(top, key, "left")
+    confidence = F.when(F.col("candidate").isNull(), "NONE").when(F.col("score") < 40, "LOW").when(F.col("gap") >= 15, "HIGH").when(F.col("gap") >= 8, "MEDIUM").otherwise("LOW")
+    out = out.withColumn("score", F.coalesce("score", F.lit(0))).withColumn("gap", F.coalesce("gap", F.lit(0))).withColumn("confidence", confidence)
+    medium = F.col("confidence") == "MEDIUM"
+    return out.select(key, "candidate", "score", "confidence", "gap", ((F.col("confidence") == "HIGH") | (medium & (F.col("score") >= 70))).alias("reliable"), ((F.col("confidence") == "LOW") | (medium & (F.col("score") < 60))).alias("review"))
+
+
+def accepted_confidence(confidence: Column) -> Column:
+    """What a disambiguated place is worth in a cascade; null for NONE."""
+    return F.when(confidence == "HIGH", 90).when(confidence == "MEDIUM", 75).when(confidence == "LOW", 60)
+
+
+# ---------------------------------------------------------------- municipalities
+
+
+def named_places(catalogue: DataFrame, code: str, label: str) -> DataFrame:
+    """(code, place, term, first) of a catalogue: the name and its variants; a variant that is another row's name or an earlier row's variant is left out."""
+    own = catalogue.select(F.col(code).alias("code"), F.col(label).alias("place"), T.file_key(F.col(label)).alias("term"), F.lit(0).alias("rank"))
+    more = catalogue.select(F.col(code).alias("code"), F.col(label).alias("place"), F.explode(T.name_variants(F.col(label))).alias("term"), F.lit(1).alias("rank"))
+    return own.unionByName(more).where("term <> ''").groupBy("term").agg(F.min(F.struct("rank", "code", "place")).alias("b")).select("term", "b.code", "b.place")
+
+
+def resolved(requests: DataFrame, catalogue: DataFrame, key: str, name: str, code: str, label: str) -> DataFrame:
+    """(key, code, how) of each request: EXACT by name or variant; CONTAINED where the shorter has over 0.7 of the longer's letters; TYPO by an edit similarity over
+    0.8 at three letters' difference at most, the fewest edits first; null else. Ties go to the smaller code.
+
+    The catalogue is a country's municipalities, some thousands at most; requests without an exact answer are compared with terms that share a first
+    or a last pair of letters or are contained, by one join on these pairs.
+    """
+    terms = named_places(catalogue, code, label)
+    r = requests.select(key, F.coalesce(T.file_key(F.col(name)), F.lit("")).alias("n"))
+    exact = r.join(terms, F.col("n") == F.col("term"), "left")
+    done = exact.where("code is not null").select(key, "code", F.lit("EXACT").alias("how"))
+    rest = exact.where("code is null and n <> ''").select(key, "n")
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    near = rest.withColumn("g", F.explode(grams(F.col("n")))).join(terms.withColumn("g", F.explode(grams(F.col("term")))), "g").select(key, "n", "term", "code").distinct()
+    short, long = F.least(F.length("n"), F.length("term")), F.greatest(F.length("n"), F.length("term"))
+    inside = (F.col("n").contains(F.col("term")) | F.col("term").contains(F.col("n"))) & (short / long > 0.7)
+    edits = F.levenshtein("n", "term")
+    typo = (long - short <= 3) & (1 - edits / long > 0.8)
+    rank = F.when(inside, F.struct(F.lit(0).alias("way"), F.lit(0).alias("edits"), F.col("code").alias("code"))).when(typo, F.struct(F.lit(1).alias("way"), edits.alias("edits"), F.col("code").alias("code")))
+    best = near.groupBy(key).agg(F.min(rank).alias("b"))
+    found = rest.select(key).join(best, key, "left").select(key, F.col("b.code").alias("code"), F.when(F.col("b.way") == 0, "CONTAINED").when(F.col("b.way") == 1, "TYPO").alias("how"))
+    nothing = exact.where("code is null and n = ''").select(key, "code", F.lit(None).cast("string").alias("how"))
+    return done.unionByName(found).unionByName(nothing)
+
+
+def places_by_text(requests: DataFrame, catalogue: DataFrame, key: str, name: str, code: str, label: str, limit: int = 10) -> DataFrame:
+    """(key, code, score, rank): places for a typed text, 100 equal, 80 start, 60 inside, else half the edit similarity if over 0.6."""
+    c = catalogue.select(F.col(code).alias("code"), T.file_key(F.col(label)).alias("term"))
+    r = requests.select(key, T.file_key(F.col(name)).alias("n")).where(F.length("n") >= 2)
+    alike = 1 - F.levenshtein("n", "term") / F.greatest(F.length("n"), F.length("term"))
+    score = F.when(F.col("n") == F.col("term"), 100).when(F.col("term").startswith(F.col("n")), 80).when(F.col("term").contains(F.col("n")), 60).when(alike > 0.6, F.floor(alike * 50 + 0.5)).otherwise(0)
+    # a typed text shares a letter pair with whatever it may mean
+    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
+    pairs = r.withColumn("g", F.explode(grams(F.col("n")))).join(c.withColumn("g", F.explode(grams(F.col("term")))), "g").select(key, "n", "code", "term").distinct()
+    ranked = pairs.withColumn("score", score.cast("long")).where("score > 0").withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "code")))
+    return ranked.where(F.col("rank") <= limit).select(key, "code", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def mentions(documents: DataFrame, catalogue: DataFrame, key: str, text: str, code: str, label: str) -> DataFrame:
+    """(key, code, n, score): the place that a document names most often, as whole words; 40 and 5 a mention up to 80, 10 more (up to 90) at twice the second's.
+
+    Terms of four letters at least. Words meet terms by their first word, so a document is read once and nothing is compared with every term.
+    """
+    terms = named_places(catalogue, code, label).where(F.length("term") >= 4).withColumn("w", F.substring_index("term", " ", 1))
+    words = documents.select(key, F.split(T.file_key(F.col(text)), " ").alias("t")).select(key, "t", F.posexplode("t").alias("i", "w"))
+    n = F.size(F.split("term", " "))
+    hits = words.join(terms, "w").where(F.array_join(F.slice("t", F.col("i") + 1, n), " ") == F.col("term"))
+    counts = hits.groupBy(key, "code").agg(F.count("*").alias("n"))
+    order = W.partitionBy(key).orderBy(F.desc("n"), "code")
+    first = counts.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("n").over(order)).where("r = 1")
+    base = F.least(F.lit(80), 40 + F.col("n") * 5)
+    return first.select(key, "code", "n", F.when(F.col("n") / F.col("second") >= 2, F.least(F.lit(90), base + 10)).otherwise(base).cast("long").alias("score"))
+
+
+# Weights of the kinds of evidence for a document's municipality.
+EVIDENCE = {"HEADER": 1.5, "METADATA": 1.3, "FILE_NAME": 1.2, "CONTENT": 1.0}
+
+
+def voted(evidence: DataFrame, key: str, least: int = 50) -> DataFrame:
+    """(key, code, score, confidence) of evidence (key, kind, code, points): weighted sums over the number of pieces; nothing under ``least``.
+
+    ALTA from 85 or where two pieces agree, MEDIA from 65, else BAJA. Ties go to the smaller code.
+    """
+    weight = F.create_map(*(F.lit(v) for kv in EVIDENCE.items() for v in kv))[F.col("kind")]
+    total = evidence.groupBy(key).agg(F.count("*").alias("pieces"))
+    each = evidence.groupBy(key, "code").agg(F.sum(F.col("points") * F.coalesce(weight, F.lit(1.0))).alias("sum"), F.count("*").alias("agree")).join(total, key)
+    best = each.groupBy(key).agg(F.min(F.struct(-F.col("sum"), "code", "agree", "pieces")).alias("b")).select(key, "b.code", "b.agree", F.least(F.lit(100), F.floor(-F.col("b.col1") / F.col("b.pieces") + 0.5)).cast("long").alias("score"))
+    return best.where(F.col("score") >= least).select(key, "code", "score", F.when((F.col("score") >= 85) | (F.col("agree") >= 2), "ALTA").when(F.col("score") >= 65, "MEDIA").otherwise("BAJA").alias("confidence"))
+
+
+# Answers of an address service from the most to the least exact.
+ANSWER_KINDS = ["portal", "callejero", "municipio", "provincia"]
+
+
+def answer_rank(kind: Column) -> Column:
+    """Order of an answer's kind; one that isn't listed comes first."""
+    return F.array_position(F.array(*map(F.lit, ANSWER_KINDS)), F.coalesce(kind, F.lit("")))
+
+
+def unlike_any(rows: DataFrame, kept: DataFrame, on: list[str], key: str, name: str, limit: float = 85) -> DataFrame:
+    """Rows whose name is at most ``limit`` similar to every kept one with the same ``on``."""
+    other = kept.select(*on, F.col(name).alias("__name"))
+    close = rows.join(other, on).where(T.graded_similarity(F.col(name), F.col("__name")) > limit).select(key).distinct()
+    return rows.join(close, key, "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,13 +35,13 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that driver and executors share (``spark.checkpoint.dir``); only local mode does without one."""
+    """A checkpoint in the folder that driver and executors share (``spark.checkpoint.dir``); local mode gets a folder of its own where none is set."""
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir():
-        return df.checkpoint()
-    if not sc.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return df.localCheckpoint()
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="terrasift-"))
+    return df.checkpoint()
 
 
 def nearest_all(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int) -> DataFrame:
@@ -108,3 +109,41 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
         return planar(x, y, a["x"] + t * dx, a["y"] + t * dy)
 
     return F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 2), to))
+
+
+def nearest_within(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radii: tuple[float, ...] = (100, 500, 1_000, 5_000, 10_000)) -> DataFrame:
+    """(left_key, right_key, distance, radius): the nearest right point and the first of ``radii`` that holds it; null beyond the last.
+
+    The smallest radius with a hit holds the nearest point, so one join at the largest decides; a point's hits are reduced to one in the map tasks.
+    """
+    hits = within(left.select(left_key, "x", "y"), right.select(right_key, "x", "y"), float(radii[-1]))
+    best = hits.groupBy(left_key).agg(F.min(F.struct("distance", right_key)).alias("b")).select(left_key, F.col(f"b.{right_key}").alias(right_key), "b.distance")
+    first = F.array_min(F.filter(F.array(*(F.lit(float(r)) for r in radii)), lambda r: r >= F.col("distance")))
+    return left.select(left_key).join(best, left_key, "left").withColumn("radius", first)
+
+
+def in_square(left: DataFrame, right: DataFrame, left_key: str, right_key: str, half: float) -> DataFrame:
+    """(left_key, right_key, distance, rank) of right points in the square of side 2 * ``half`` around each left one, the nearest first."""
+    hits = within(left.select(left_key, "x", "y"), right.select(right_key, F.col("x"), F.col("y"), F.col("x").alias("rx"), F.col("y").alias("ry")), half * math.sqrt(2))
+    inside = hits.where((F.abs(F.col("rx") - F.col("x")) <= half) & (F.abs(F.col("ry") - F.col("y")) <= half))
+    return inside.withColumn("rank", F.row_number().over(W.partitionBy(left_key).orderBy("distance", right_key)).cast("long")).select(left_key, right_key, "distance", "rank")
+
+
+def placed_in(points: DataFrame, polygons: DataFrame, key: str, code: str, tolerance: float = 100.0, margin: float = 100.0, cell: float = 50_000.0) -> DataFrame:
+    """(key, state, found) of points (key, code, x, y) with a declared ``code``, against polygons (code, rings array<array<struct<x,y>>>, min_x, min_y, max_x, max_y).
+
+    INSIDE of the declared polygon; AT_BORDER up to ``tolerance`` from it; NEIGHBOUR inside of one whose box touches the declared one's (the smallest code); else
+    OUTSIDE; UNKNOWN without a polygon of that code. Rings alternate inside and outside, so holes and parts need no marks.
+    """
+    inside = lambda: F.aggregate(F.transform("rings", lambda r: in_ring(F.col("x"), F.col("y"), r)), F.lit(False), lambda s, v: s != v)
+    own = points.join(polygons, code, "left").withColumn("in", inside()).withColumn("edge", F.array_min(F.transform("rings", lambda r: ring_distance(F.col("x"), F.col("y"), r))))
+    own = own.withColumn("state", F.when(F.col("rings").isNull(), "UNKNOWN").when(F.col("in"), "INSIDE").when(F.col("edge") <= tolerance, "AT_BORDER"))
+    rest = own.where("state is null").select(key, code, "x", "y")
+    pairs = overlapping(polygons.select(code, "min_x", "min_y", "max_x", "max_y"), code, margin, cell)
+    both = pairs.select(F.col("a").alias(code), F.col("b").alias("next")).unionByName(pairs.select(F.col("b").alias(code), F.col("a").alias("next")))
+    near = rest.join(both, code).join(polygons.select(F.col(code).alias("next"), "rings", "min_x", "min_y", "max_x", "max_y"), "next")
+    near = near.where(F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))).where(inside())
+    found = rest.select(key).join(near.groupBy(key).agg(F.min("next").alias("found")), key, "left")
+    found = found.select(key, F.when(F.col("found").isNotNull(), "NEIGHBOUR").otherwise("OUTSIDE").alias("state"), "found")
+    done = own.where("state is not null").select(key, "state", F.when(F.col("state") != "UNKNOWN", F.col(code)).alias("found"))
+    return done.unionByName(found)

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import place_queries, record_queries  # noqa: F401  fill the registry
+    from . import case_queries, place_queries, record_queries, whole_queries  # noqa: F401  fill the registry
 
     return _QUERIES
 

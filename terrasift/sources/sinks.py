@@ -1,7 +1,7 @@
-"""Located records as CSV, GeoJSON, KML and XLSX.
+"""Located records as CSV, GeoJSON and KML, and the bytes of a workbook.
 
-Text sinks are one column of lines that Spark writes in parallel: a file a partition, each complete in itself. XLSX is one
-workbook a partition, for results of a size that people open.
+Text sinks are one column of lines that Spark writes in parallel: a file a partition, each complete in itself. ``exports.write_workbooks`` writes
+workbooks the same way.
 """
 
 from __future__ import annotations
@@ -23,6 +23,13 @@ def write_csv(rows: DataFrame, path: str, x: str = "x", y: str = "y", separator:
     ok.select(F.format_string("%.2f", x).alias("X_UTM30"), F.format_string("%.2f", y).alias("Y_UTM30"), *rest).write.option("header", True).option("sep", separator).option("quoteAll", True).mode("overwrite").csv(path)
 
 
+def write_lines(rows: DataFrame, path: str, separator: str = ";") -> None:
+    """Delimited text as spreadsheets want it: a byte order mark and the header in front of each file, quotes only where they are needed."""
+    quoted = lambda c: F.when(c.rlike(f'[{separator}"\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    lines = rows.select(F.concat_ws(separator, *(quoted(F.col(c).cast("string")) for c in rows.columns)).alias("value"))
+    _framed(lines, "\ufeff" + separator.join(rows.columns) + "\n", "", "").where("value <> ''").write.mode("overwrite").text(path)
+
+
 def features(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """One GeoJSON feature a row, as a column ``value``."""
     properties = F.struct(*(c for c in rows.columns if c not in (x, y)))
