@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import let
+
 # Texts and numbers that stand for a missing coordinate.
 PLACEHOLDERS = [
     "", "-", "--", "---", "n/a", "na", "n.a.", "n/d", "nd", "n.d.", "s/d", "sd", "null", "none", "undefined", "indicar", "pendiente", "desconocido", "xxx", "xxxx", "yyyy", "?",
@@ -51,16 +53,19 @@ def notation(text: Column) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """The value of one coordinate in any single-value notation; null for placeholders and what nothing reads."""
-    kind, t = notation(text), F.trim(text)
+    """The value of one coordinate in any single-value notation; null for placeholders and what nothing reads. The notation is found once."""
+    return let(F.struct(notation(text).alias("kind"), F.trim(text).alias("t")), lambda s: _value(s["kind"], s["t"]))
+
+
+def _value(kind: Column, t: Column) -> Column:
     acute = F.regexp_replace(F.regexp_replace(t, r"\s*(´´|´|'')\s*", "."), r"\s", "")
     return (
-        F.when(kind == "acute", acute.cast("double"))
+        F.when(kind == "plain", t.cast("double"))
+        .when(kind == "acute", acute.cast("double"))
         .when(kind == "european", F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).cast("double"))
         .when(kind == "comma", F.replace(t, F.lit(","), F.lit(".")).cast("double"))
         .when(kind == "thousands", F.replace(t, F.lit("."), F.lit("")).cast("double"))
         .when(kind == "spaced", F.replace(t, F.lit(" "), F.lit("")).cast("double"))
-        .when(kind == "plain", t.cast("double"))
         .when(kind == "dms", parse_dms(t))
         .when(kind == "nmea", parse_nmea(t))
     )
@@ -97,7 +102,10 @@ def dms_parts(text: Column) -> Column:
 
 def parse_dms(text: Column) -> Column:
     """Degrees of an angle in any of ``DMS_FORMS``; south, west and minus are negative; null for parts out of range."""
-    p = dms_parts(text)
+    return let(dms_parts(text), _degrees)
+
+
+def _degrees(p: Column) -> Column:
     value = p["degrees"] + p["minutes"] / 60 + p["seconds"] / 3600
     sign = F.when((p["sign"] == "-") | p["hemisphere"].isin("S", "W", "O"), -1.0).otherwise(1.0)
     return F.when((p["degrees"] <= 180) & (p["minutes"] < 60) & (p["seconds"] < 60), value * sign)
@@ -164,7 +172,11 @@ def is_swapped(x: Column, y: Column) -> Column:
 
 
 def pair(x: Column, y: Column) -> Column:
-    """Struct (x, y, swapped, fixed, confidence) of two parsed values after repair and exchange."""
+    """Struct (x, y, swapped, fixed, confidence) of two parsed values after repair and exchange. Each value is evaluated once."""
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda p: _pair(p["x"], p["y"]))
+
+
+def _pair(x: Column, y: Column) -> Column:
     swapped = F.coalesce(is_swapped(x, y), F.lit(False))
     a, b = F.when(swapped, y).otherwise(x), F.when(swapped, x).otherwise(repaired(y))
     fixed = F.coalesce(~swapped & (axis(y) == "Y_TRUNCATED"), F.lit(False))

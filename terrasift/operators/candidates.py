@@ -272,3 +272,16 @@ def unlike_any(rows: DataFrame, kept: DataFrame, on: list[str], key: str, name:
     other = kept.select(*on, F.col(name).alias("__name"))
     close = rows.join(other, on).where(T.graded_similarity(F.col(name), F.col("__name")) > limit).select(key).distinct()
     return rows.join(close, key, "left_anti")
+
+
+def searched(requests: DataFrame, items: DataFrame, key: str, name: str, item: str, label: str, position: str, limit: int = 10, threshold: float = 0.4) -> DataFrame:
+    """(key, item, score): items whose name has every word of the request with one error at most, the first ``limit`` by ``position``.
+
+    The score is the position over a hundred, and items past ``threshold`` don't count: this search scores places in a list, not likeness.
+    So the list that requests are compared with has a bound, 100 * ``threshold`` + 1 items, however long the table is.
+    """
+    r = requests.select(key, T.normalise(F.col(name)).alias("n")).where(F.length("n") >= 2)
+    i = items.where(F.col(position) <= threshold * 100).select(F.col(item).alias("item"), T.normalise(F.col(label)).alias("h"), F.col(position).alias("p"))
+    hits = r.crossJoin(F.broadcast(i)).where(T.fuzzy_hit(F.col("n"), F.col("h")))  # the positions bound the items: 100 * threshold + 1 of them
+    ranked = hits.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("p"))).where(F.col("r") <= limit)
+    return ranked.select(key, "item", F.least(F.lit(1.0), F.col("p") / 100).alias("score"))

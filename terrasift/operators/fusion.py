@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import let
+
 
 def weighted_centroid(candidates: DataFrame, key: str) -> DataFrame:
     """(key, x, y, n) of candidates (x, y, confidence 0 to 100, authority), weighted by both."""
@@ -26,10 +28,6 @@ def robust_centroid(candidates: DataFrame, key: str, k: float = 1.345, rounds: i
     def away(m: Column) -> Column:
         return F.transform("p", lambda q: F.sqrt((q["x"] - m["x"]) * (q["x"] - m["x"]) + (q["y"] - m["y"]) * (q["y"] - m["y"])))
 
-    def let(value: Column, use) -> Column:
-        """Evaluates ``value`` once for all its uses."""
-        return F.get(F.transform(F.array(value), use), 0)
-
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
@@ -75,11 +73,6 @@ LIMITS = {
 CRITICAL = ["SANITARIO", "EMERGENCIAS", "SEGURIDAD"]
 
 
-def _let(value: Column, use) -> Column:
-    """Evaluates ``value`` once for all its uses."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _lookup(table: dict[str, float], name: Column, default: float | None = None) -> Column:
     found = F.create_map(*(F.lit(v) for kv in table.items() for v in kv))[name]
     return found if default is None else F.coalesce(found, F.lit(default))
@@ -108,16 +101,16 @@ def huber(points: Column, k: float = 1.345, rounds: int = 20, tolerance: float =
 
     def step(m: Column, _: Column) -> Column:
         def fitted(d: Column) -> Column:
-            scale = _let(_median(d), lambda mid: F.greatest(F.lit(floor), 1.4826 * _median(F.transform(d, lambda v: F.abs(v - mid)))))
-            weights = _let(scale, lambda s: F.transform(d, lambda v: F.when(v <= k * s, 1.0).otherwise(k * s / v)))
-            close = (F.array_max(d) < floor) & (_let(_median(d), lambda mid: 1.4826 * _median(F.transform(d, lambda v: F.abs(v - mid)))) < floor)
-            return F.when(close, F.struct(m["x"].alias("x"), m["y"].alias("y"), ones.alias("w"), F.lit(True).alias("done"))).otherwise(_let(weights, moved))
+            scale = let(_median(d), lambda mid: F.greatest(F.lit(floor), 1.4826 * _median(F.transform(d, lambda v: F.abs(v - mid)))))
+            weights = let(scale, lambda s: F.transform(d, lambda v: F.when(v <= k * s, 1.0).otherwise(k * s / v)))
+            close = (F.array_max(d) < floor) & (let(_median(d), lambda mid: 1.4826 * _median(F.transform(d, lambda v: F.abs(v - mid)))) < floor)
+            return F.when(close, F.struct(m["x"].alias("x"), m["y"].alias("y"), ones.alias("w"), F.lit(True).alias("done"))).otherwise(let(weights, moved))
 
         def moved(w: Column) -> Column:
             x, y = (_sum(F.zip_with(points, w, (lambda c: lambda q, v: q[c] * v)(c))) / _sum(w) for c in ("x", "y"))
-            return _let(F.struct(x.alias("x"), y.alias("y")), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), w.alias("w"), (F.hypot(c["x"] - m["x"], c["y"] - m["y"]) < tolerance).alias("done")))
+            return let(F.struct(x.alias("x"), y.alias("y")), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), w.alias("w"), (F.hypot(c["x"] - m["x"], c["y"] - m["y"]) < tolerance).alias("done")))
 
-        return F.when(m["done"], m).otherwise(_let(F.transform(points, lambda q: F.hypot(q["x"] - m["x"], q["y"] - m["y"])), fitted))
+        return F.when(m["done"], m).otherwise(let(F.transform(points, lambda q: F.hypot(q["x"] - m["x"], q["y"] - m["y"])), fitted))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
@@ -207,3 +200,19 @@ def validated(results: DataFrame, key: str, kind: str | None = None) -> DataFram
         .when((F.col("status") == "SINGLE_SOURCE") & F.col("kind").isin(CRITICAL), "CRITICAL_SINGLE").when((F.col("score") < 80) & F.col("kind").isin(CRITICAL[:2]), "CRITICAL_SCORE")
     )
     return r.select(key, F.size("p").cast("long").alias("n"), at("x").alias("x"), at("y").alias("y"), "score", "status", "metres", F.col("best.source").alias("primary"), reason.isNotNull().alias("review"), reason.alias("reason"))
+
+
+# ---------------------------------------------------------------- spread of a query's sources
+
+
+def spread(candidates: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, middle, mad) of ``value``: median and scaled median deviation, from one array a key; sources of a query are few (for groups without a bound, ``percentile`` twice)."""
+    found = candidates.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("v")).withColumn("middle", _median(F.col("v")))
+    return found.select(key, "middle", (1.4826 * _median(F.transform("v", lambda x: F.abs(x - F.col("middle"))))).alias("mad"))
+
+
+def farthest(candidates: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, metres): the largest distance of points of two sources, from one array a key; null where there is only one source."""
+    found = candidates.groupBy(key).agg(F.collect_list(F.struct(F.col(source).alias("s"), "x", "y")).alias("p"))
+    apart = lambda a, b: F.when(a["s"] < b["s"], F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])))
+    return found.select(key, F.array_max(F.transform("p", lambda a: F.array_max(F.transform("p", lambda b: apart(a, b))))).alias("metres"))

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import address, classify, coords, fused_text
+from ..functions import address, classify, coords, fused_text, notations, synonyms
 from ..functions import text as T
 from ..operators import candidates, exports, fusion, layers
+from ..sources import answers as service
 from ..sources import structure
 from .registry import register
 
@@ -467,3 +468,83 @@ cases(
 @register("export_by_kind", answers("n int, kind string, place_no int, heading string, name string", [(2, "A", 0, "=== A (2 elementos) ===", None), (2, "A", 1, None, "x"), (2, "A", 2, None, "z"), (1, "B", 0, "=== B (1 elementos) ===", None), (1, "B", 1, None, "y")]))
 def export_by_kind(spark, sf_dir):
     return exports.by_kind(spark.createDataFrame([(1, "A", "x"), (2, "B", "y"), (3, "A", "z")], "id int, kind string, name string"))
+
+
+# ---------------------------------------------------------------- notations, names, answers of services
+
+cases(
+    "notation_kinds", "id int, raw string", "kind string",
+    [
+        (1, "Indicar", "PLACEHOLDER"), (2, "POINT(504750 4077153)", "WKT_POINT"), (3, '{"type":"Point","coordinates":[1,2]}', "GEOJSON_POINT"), (4, "+37°26'46.5\"", "DMS_SIGNO"), (5, "N37°26'46.5\"", "DMS_PREFIJO"), (6, "37:26:46.5 N", "DMS_DOS_PUNTOS"),
+        (7, "37°26.775'N", "DMS_MINUTOS_DEC"), (8, "37°26'46.5\"N", "DMS_ESTANDAR"), (9, "37° 26' 46.5\" N", "DMS_ESPACIOS_EXTRA"), (10, "37 26 46.5 N", "DMS_ESPACIOS"), (11, "$GPGGA,123519", "NMEA_SENTENCIA"), (12, "3726.775N", "NMEA_ESTANDAR"), (13, "3726N", "NMEA_ENTERO"),
+        (14, "3726.775N, 00345.204W", "NMEA_PAR"), (15, "5047504077153", "CONCATENADO"), (16, "504750Â´92", "MOJIBAKE"), (17, "504 750´´92", "ESPACIO_DOBLE_TILDE"), (18, "4 077 153´´36", "ESPACIO_DOBLE_TILDE"), (19, "506 527 28", "ESPACIO_DECIMAL_IMPLICITO"),
+        (20, "4 076 367", "ESPACIO_SIN_DECIMAL"), (21, "503693´77", "TILDE_SIMPLE"), (22, "4.077.905,68", "EUROPEO_COMPLETO"), (23, "436780,0", "COMA_DECIMAL"), (24, "4.230.105", "PUNTO_MILES"), (25, "521581.88", "LIMPIO"), (26, "abc", "DESCONOCIDO"), (27, None, "PLACEHOLDER"), (28, "-504750", "LIMPIO"),
+    ],
+    lambda d: d.select("id", notations.notation_of(F.col("raw")).alias("kind")),
+)
+cases(
+    "facility_names", "id int, name string", "full_name string",
+    [
+        (1, "C.S. Baza", "Centro de Salud. Baza"), (2, "CP San José", "Colegio Público San José"), (3, "centro salud  norte", "Centro de Salud norte"), (4, "Ayto Baza", "Ayuntamiento Baza"), (5, "policia local", "Policía Local"), (6, "casa cultura", "Casa de la Cultura"),
+        (7, "Campo futbol municipal", "Campo de Fútbol municipal"), (8, "colina", "colina"), (9, "", ""), (10, None, ""), (11, "GC y CT", "Guardia Civil y Centro de Transformación"), (12, "p.l.baza", "Policía Localbaza"),
+    ],
+    lambda d: d.select("id", synonyms.full_names(F.col("name")).alias("full_name")),
+)
+cases(
+    "file_towns", "id int, path string", "town string, province string",
+    [
+        (1, "/x/PTEL_Colomera_2023.odt", "Colomera", "Granada"), (2, "Ficha_PTEL_Berja.ods", "Berja", "Almería"), (3, "Plan-Emergencia-Linares.docx", "Linares", "Jaén"), (4, "Hornos_PTEL.xlsx", "Hornos", "Jaén"), (5, "C:\\docs\\Lepe.csv", "Lepe", "Huelva"), (6, "a1.csv", None, "Granada"), (7, "Tarifa.csv", "Tarifa", "Granada"),
+    ],
+    lambda d: d.select("id", synonyms.town_of_file(F.col("path")).alias("town")).select("id", "town", synonyms.province_of_town(F.col("town")).alias("province")),
+)
+cases(
+    "address_answers", "id int, response string", "municipality string, code string, lon double, lat double, confidence int, automatic int",
+    [
+        (1, '{"muni":"Baza","muniCode":"18023","state":1,"lat":37.5,"lng":-2.7}', "Baza", "18023", -2.7, 37.5, 95, 92), (2, 'callback({"muni":"Loja","muniCode":"18122","state":3,"lat":37.1,"lng":-4.1})', "Loja", "18122", -4.1, 37.1, 75, 78),
+        (3, '{"muni":"Loja","state":9,"geom":"POINT(-4.15 37.16)"}', "Loja", None, -4.15, 37.16, 40, 55), (4, '{"muni":"Loja","state":1}', None, None, None, None, None, None), (5, "no json", None, None, None, None, None, None), (6, None, None, None, None, None, None, None),
+    ],
+    lambda d: d.select("id", service.address_answer(F.col("response")).alias("a")).select(
+        "id", "a.municipality", "a.code", "a.lon", "a.lat", F.when(F.col("a").isNotNull(), service.state_confidence(F.col("a.state"))).cast("long").alias("confidence"), F.when(F.col("a").isNotNull(), service.state_confidence(F.col("a.state"), "automatic")).cast("long").alias("automatic")
+    ),
+)
+_MAP = '{"elements":[{"id":1,"type":"node","lat":37.5,"lon":-2.7,"tags":{"name":"Torre A"}},{"id":2,"type":"way","center":{"lat":37.6,"lon":-2.8},"tags":{"name:es":"Torre B"}},{"id":3,"type":"way","tags":{"name":"x"}},{"id":4,"type":"node","lat":1,"lon":2,"tags":{}},{"id":5,"type":"node","lat":1,"lon":2,"tags":{"alt_name":"C"}}]}'
+
+
+@register("map_elements", answers("element int, type string, name string, lon double, lat double", [(1, "node", "Torre A", -2.7, 37.5), (2, "way", "Torre B", -2.8, 37.6), (5, "node", "C", 2.0, 1.0)]))
+def map_elements(spark, sf_dir):
+    d = spark.createDataFrame([(_MAP,), ("{}",), ("broken",), (None,)], "response string")
+    return d.select(F.explode(service.map_elements(F.col("response"))).alias("e")).select(F.col("e.id").alias("element"), "e.type", "e.name", "e.lon", "e.lat")
+
+
+cases(
+    "service_status", "id int, message string", "status string",
+    [(1, None, "ok"), (2, "Request timeout after 5000ms", "timeout"), (3, "NetworkError when attempting to fetch", "network"), (4, "Unexpected token in JSON", "parse"), (5, "No results found", "no_results"), (6, "Ambiguous address", "ambiguous"), (7, "Invalid coordinate", "invalid_coordinate"), (8, "boom", "unknown")],
+    lambda d: d.select("id", service.status_of(F.col("message")).alias("status")),
+)
+
+
+@register("fuzzy_search", answers("id int, item string, score double", [(1, "a", 0.0), (1, "c", 0.02), (2, "b", 0.01), (4, "c", 0.02)]))
+def fuzzy_search(spark, sf_dir):
+    items = spark.createDataFrame([("a", "Centro de Salud Baza", 0), ("b", "Parque de Bomberos", 1), ("c", "Centro de Salud Guadix", 2), ("z", "Centro de Salud lejano", 41)], "item string, label string, p int")
+    asked = spark.createDataFrame([(1, "centro salud"), (2, "bonberos"), (3, "x"), (4, "Salud Guadx"), (5, "hospital")], "id int, name string")
+    return candidates.searched(asked, items, "id", "name", "item", "label", "p")
+
+
+@register("sample_profiles", answers("doc int, notation string, share int, decimal_mark string, level string, trust int", [(1, "EUROPEO_COMPLETO", 67, "comma", "low", 87), (2, "ESPACIO_SIN_DECIMAL", 100, "none", "medium", 95), (3, "COMA_DECIMAL", 50, "mixed", "medium", 70), (4, "DMS_ESTANDAR", 100, "none", "high", 95)]))
+def sample_profiles(spark, sf_dir):
+    rows = [(1, 1, "4.077.905,68"), (1, 2, "4.077.906,68"), (1, 3, "Indicar"), (2, 1, "4 076 367"), (3, 1, "1234.5"), (3, 2, "1234,5"), (4, 1, "37°26'46\"N")] + [(2, i, "4 076 367") for i in range(2, 21)] + [(2, 30, "broken °")]
+    return notations.sampled(spark.createDataFrame(rows, "doc int, n int, v string"), "doc", "v", "n").withColumnRenamed("decimal", "decimal_mark")
+
+
+@register("coordinate_columns", answers("place_no int, x_column string, y_column string, score double", [(1, "X - Longitud", "Y_UTM", 0.666667)]))
+def coordinate_columns(spark, sf_dir):
+    d = spark.createDataFrame([("a", "504750", "4077153", None), ("b", "504 751", "4.077.153", "x"), ("c", "n", "1", "7")], ["nombre", "X - Longitud", "Y_UTM", "norte"])
+    found = notations.coordinate_columns(d)
+    return spark.createDataFrame([(i, a, b, round(s, 6)) for i, (a, b, s) in enumerate(found, 1)] or [], "place_no int, x_column string, y_column string, score double")
+
+
+cases(
+    "profile_remarks", "id int, broken int, mixed boolean, dms int, nmea int, fused int, with_x int, with_y int, missing int, n int", "remarks string",
+    [(1, 1, True, 2, 3, 4, 1, 1, 9, 10, "broken_encoding,mixed_marks,degrees,satellite,fused,few_coordinates,placeholders"), (2, 0, False, 0, 0, 0, 10, 10, 0, 10, ""), (3, 0, False, 0, 0, 0, 0, 0, 0, 0, "few_coordinates"), (4, 0, False, 0, 0, 0, 5, 5, 3, 10, "")],
+    lambda d: d.select("id", F.array_join(notations.recommendations(*(F.col(c) for c in ("broken", "mixed", "dms", "nmea", "fused", "with_x", "with_y", "missing", "n"))), ",").alias("remarks")),
+)

@@ -71,7 +71,7 @@ _REGION = "join nation on mun = n_nationkey join region on n_regionkey = r_regio
 @register("pair_confidence_by_region", D(f", {_PAIR} select r_name as region, confidence, count(*) as n, cast(sum(case when swapped then 1 else 0 end) as bigint) as swapped, cast(sum(case when fixed then 1 else 0 end) as bigint) as fixed from u {_REGION} group by 1, 2"))
 def pair_confidence_by_region(spark, sf_dir):
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    named = pairs(spark, sf_dir).join(F.broadcast(nations), F.col("mun") == F.col("n_nationkey")).join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows by definition
+    named = pairs(spark, sf_dir).join(nations, F.col("mun") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     return named.groupBy(F.col("r_name").alias("region"), "confidence").agg(F.count("*").alias("n"), F.count_if("swapped").alias("swapped"), F.count_if("fixed").alias("fixed"))
 
 
@@ -310,16 +310,14 @@ def weighted_centroid(spark, sf_dir):
 
 @register("median_mad", S(", m as (select qid, quantile_cont(x, 0.5) as mx from s group by 1) select qid, mx, floor(1.4826 * quantile_cont(abs(x - mx), 0.5) * 1000 + 0.5) / 1000 as mad from s join m using (qid) group by 1, 2"))
 def median_mad(spark, sf_dir):
-    s = sources(spark, sf_dir)
-    m = s.groupBy("qid").agg(F.expr("percentile(x, 0.5)").alias("mx"))
-    return s.join(m, "qid").groupBy("qid", "mx").agg((F.floor(1.4826 * F.expr("percentile(abs(x - mx), 0.5)") * 1000 + 0.5) / 1000).alias("mad"))
+    m = fusion.spread(sources(spark, sf_dir), "qid", "x")
+    return m.select("qid", F.col("middle").alias("mx"), (F.floor(F.col("mad") * 1000 + 0.5) / 1000).alias("mad"))
 
 
 @register("max_discrepancy", S("select a.qid, floor(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) * 10 + 0.5) / 10 as metres from s a join s b on a.qid = b.qid and a.source < b.source group by 1"))
 def max_discrepancy(spark, sf_dir):
-    a, b = sources(spark, sf_dir).alias("a"), sources(spark, sf_dir).alias("b")
-    both = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.source") < F.col("b.source")))
-    return both.groupBy(F.col("a.qid").alias("qid")).agg((F.floor(F.max(geo.planar(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))) * 10 + 0.5) / 10).alias("metres"))
+    far = fusion.farthest(sources(spark, sf_dir), "qid", "source").where("metres is not null")
+    return far.select("qid", (F.floor(F.col("metres") * 10 + 0.5) / 10).alias("metres"))
 
 
 @register("fusion_status", S("select status, count(*) as n from (select qid, case when count(*) = 1 then 'SINGLE_SOURCE' when greatest(max(x) - min(x), max(y) - min(y)) <= 100 then 'CONFIRMED' when greatest(max(x) - min(x), max(y) - min(y)) <= 500 then 'PROBABLE' when greatest(max(x) - min(x), max(y) - min(y)) <= 2000 then 'REVIEW' else 'CONFLICT' end as status from s group by 1) t group by 1"))

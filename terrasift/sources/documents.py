@@ -118,3 +118,19 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
 def latest_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Bulk upsert: the last row of each key."""
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A file by its ending: delimited text and plain text as tables, spreadsheets and text documents as records; an error for other endings and for an empty file."""
+    from . import structure
+
+    kind = structure.reader_of(path)
+    if kind == "delimited":
+        found = csv(spark, path)
+    elif kind == "text":
+        found = delimited(spark, path)
+    else:
+        found = structure.records(cells(spark, path))
+    if not found.columns or not found.limit(1).count():
+        raise ValueError(f"no data in {path!r}")
+    return found
