@@ -7,7 +7,7 @@ target document. The noise is a function of a seed and the text's id, so a rerun
 
 The k-th largest sum is found by refining a histogram of fixed size, never by sorting all rows in one place.
 
-Defined cases: null text is empty; a text without words has the ratio 0; rows with a null id take part with the noise of the empty
+Defined cases: null text is empty; a text without words has the ratio 0; a very long text is summed whole; ids may be of any type, and other columns aren't read; rows with a null id take part with the noise of the empty
 string; equal sums are taken in id order; repeated rows are repeated draws of equal sums; empty tables give empty results.
 """
 
@@ -68,8 +68,8 @@ def _packed(kind: int, n: int):
         packer = Packer(kind)
         for batch in batches:
             for part in slices(batch, "text") if kind == TEXT else [batch]:
-                ids = part.column("doc_id").cast(pa.int64()).to_numpy()
-                packer.add(mix(ids.view(np.uint64)) % np.uint64(n), {c: part.column(c) for c in part.schema.names})
+                ids = part.column("__hash").to_numpy()
+                packer.add(mix(ids.view(np.uint64)) % np.uint64(n), {c: part.column(c) for c in part.schema.names if c != "__hash"})
                 if packer.full():
                     yield from packer.batches()
         yield from packer.batches()
@@ -90,10 +90,12 @@ def _target_counts(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.Rec
 
 def fit(docs: DataFrame, targets: DataFrame) -> np.ndarray:
     """Log ratio of each bucket. ``targets``: one column ``doc_id``, the documents of good quality."""
+    key = F.col("doc_id").cast("string")
+    hashed = [key.alias("doc_id"), F.xxhash64(key).alias("__hash")]  # ids may be of any type
     good = targets.where("doc_id is not null").select("doc_id").distinct()
     n = buckets(docs, 2.5)
     # packed, so that the exchange is alike at any size; a target's text meets its id in a bucket
-    named = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_packed(TEXT, n), PACKED).unionAll(good.select("doc_id").mapInArrow(_packed(FOUND, n), PACKED))
+    named = docs.where("doc_id is not null").select(*hashed, "text").mapInArrow(_packed(TEXT, n), PACKED).unionAll(good.select(*hashed).mapInArrow(_packed(FOUND, n), PACKED))
     sums = []
     for counts in (docs.select("text").mapInArrow(trimmed(_counts), PACKED), by_bucket(named, n, _target_counts, PACKED)):
         got = by_bucket(counts, PARTS, _sums, "slot bigint, n bigint").toPandas()  # BUCKETS rows at most
@@ -146,7 +148,7 @@ def top_k(rows: DataFrame, column: str, k: int, tie: str) -> DataFrame:
     over = rows.where(F.col(column) > hi)
     if n <= FEW:
         return over.unionAll(inside.orderBy(F.desc(column), tie).limit(k - above))
-    # very many rows with one and the same value: by the tie column, refined likewise
+    # over FEW rows with one and the same value, which only repeats of one row have, as the noise depends on the id
     return over.unionAll(inside.orderBy(tie).limit(k - above))
 
 

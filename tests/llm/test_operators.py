@@ -136,6 +136,25 @@ def test_token_counts(spark, odd, nothing, name, tmp_path):
     assert token_counts.count_tokens(nothing, P.path(name), cache).count() == 0
 
 
+def test_token_counts_query_against_the_library(spark, sf_dir, real):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    want = {i: (len(t.encode()), len(model.encode(t)), len(model.encode(t)) > 4096) for i, t in real.items()}
+    rows = queries.op3_token_counts(spark, sf_dir).collect()
+    assert len(rows) == len(want) and {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows} == want
+
+
+def test_token_counts_joins_stored_ones(spark, tmp_path):
+    """A stored count is taken as it is, so it was read and not made again; another tokenizer's isn't."""
+    path, cache = P.path("piece_bpe_32k.model"), f"file://{tmp_path}/cache"
+    docs = spark.createDataFrame([(1, "stored text", "x"), (2, "new text", "y")], "digest long, content string, n_tokens string")
+    stored = spark.createDataFrame([(hashlib.sha256(b"stored text").digest(), token_counts.tokenizer_digest(path), 777), (hashlib.sha256(b"new text").digest(), "another", 888)], token_counts.CACHE)
+    stored.write.parquet(cache)
+    got = {r.digest: r.n_tokens for r in token_counts.count_tokens(docs, path, cache, "digest", "content").collect()}
+    assert got[1] == 777 and got[2] == token_counts._counter(path)(["new text"])[0] and spark.read.parquet(cache).count() == 3
+
+
 # ---------------------------------------------------------------- 5, 7
 
 
@@ -364,6 +383,31 @@ def test_importance(spark, odd, nothing, sf_dir):
     assert set(best) == {r.doc_id for r in queries.op4_importance(spark, sf_dir).collect()}
     assert importance.score(odd, ratio).count() == odd.count() and importance.score(odd, ratio).where("doc_id = 1").first().log_ratio == 0
     assert importance.resample(nothing, nothing.select("doc_id")).count() == 0
+    named = docs.select(F.concat(F.lit("id"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    assert np.array_equal(importance.fit(named, labels.where("quality = 1").select(F.concat(F.lit("id"), F.col("doc_id").cast("string")).alias("doc_id"))), ratio)
+
+
+def ngram_slots(text):
+    """Hash buckets of a text's words and of its pairs of words, one pair at a time."""
+    flat = shingles.lower_words([text]).flat.tolist()
+    pairs = [((a * 0x9E3779B97F4A7C15) & (2**64 - 1)) ^ (b >> 7) for a, b in zip(flat, flat[1:], strict=False)]
+    return [(h >> 20) % importance.BUCKETS for h in flat] + [((p * 0xBF58476D1CE4E5B9 & (2**64 - 1)) >> 20) % importance.BUCKETS for p in pairs]
+
+
+def test_importance_models_against_brute_force(spark, sf_dir, real):
+    good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    docs = spark.createDataFrame(list(real.items()), "doc_id long, text string")
+    got = importance.fit(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    raw, target = Counter(), Counter()
+    for i, t in real.items():
+        raw.update(ngram_slots(t))
+        target.update(ngram_slots(t) if i in good else ())
+    total, n = importance.BUCKETS * importance.SMOOTH, importance.SMOOTH
+    want = [np.log((target[k] + n) / (sum(target.values()) + total)) - np.log((raw[k] + n) / (sum(raw.values()) + total)) for k in range(importance.BUCKETS)]
+    assert np.abs(got - np.array(want)).max() < 1e-9
+    scored = {r.doc_id: r.log_ratio for r in importance.score(docs, got).collect()}
+    for i, t in list(real.items())[:60]:
+        assert abs(scored[i] - sum(want[k] for k in ngram_slots(t))) < 1e-6
 
 
 def test_top_k_refines_its_histogram(spark, monkeypatch):
@@ -391,17 +435,69 @@ def test_toxicity(spark, odd, nothing):
     assert used and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in used)
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """Each stage on what the one before it kept: its decisions from their definitions, all columns as they were."""
     import corpus_pipeline
 
-    docs, columns = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet").columns
+    enc = encoding()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("n_lines", F.lit(7)).withColumn("toxicity", F.lit(0.5)).cache()
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == columns, name
-        docs = out.cache()
-    rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
-    assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == {tuple(r) for r in rows}
+        before, out = pairs_of(docs), stage(spark, docs, sf_dir).cache()
+        assert out.columns == docs.columns and {(r.n_lines, r.toxicity) for r in out.collect()} == {(7, 0.5)}, name
+        if name == "toxicity":
+            want = [(i, t) for (i, t), score in zip(before, model.score([t for _, t in before]), strict=True) if score < 0.7]
+        elif name == "line_dedup":
+            want = [(i, t) for i, _, t in deduped(sorted(before))]
+        elif name == "ngram_jaccard_join":
+            rows = sorted(before)
+            root, _ = classes([shingle_set(t) for _, t in rows])
+            want = [rows[k] for k in sorted(set(root))]
+        else:
+            want = [(i, t) for i, t in before if not any(holds(t, x) for x in items)]
+        assert Counter(pairs_of(out)) == Counter(want), name
+        docs = out
+    last = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()}
+    ids = {i: enc.encode_ordinary(t or "") for i, t in pairs_of(docs)}
+    assert last == {i: (len(ids[i]), sha(np.array(ids[i], dtype="<u4").tobytes()), sha((t or "").encode())) for i, t in pairs_of(docs)}
+
+
+def test_pipeline_on_odd_rows(spark, odd, nothing, sf_dir):
+    import corpus_pipeline
+
+    for rows in (odd, nothing):
+        docs = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf_dir)
+            assert docs.columns == odd.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count() and (rows is odd) == (docs.count() > 0)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "byte_bpe"]
+
+
+THUE_MORSE = ["".join("ab"[bin(i).count("1") % 2 ^ f] for i in range(1024)) for f in (0, 1)]
+
+
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    """Texts that differ in one word of a Thue-Morse sequence: different texts for every operator that hashes words."""
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*base[:20], w, *base[20:]]) for w in THUE_MORSE]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_words(list(enumerate(texts)), Counter((r.doc_id, r.n_words, r.n_removed, sha(bytes(r.kept))) for r in repeats.attach(docs, block_dedup.remove_repeats(docs)).collect()))
+    assert {r.n_copies for r in jaccard_join.join(docs).collect()} == {1}
+    short = spark.createDataFrame([(i, f"{w} x") for i, w in enumerate(THUE_MORSE)], "doc_id long, text string")
+    assert line_dedup.dedup(short).where("n_removed > 0").count() == 0
+    item = spark.createDataFrame([(1, f"{THUE_MORSE[0]} x")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.contained(short, item).collect()] == [0]
+
+
+def test_a_passage_that_very_many_texts_share(spark):
+    """One licence in unlike texts: each loses it and nothing else, by bytes and by words."""
+    licence = " ".join(f"clause{i}" for i in range(60))
+    rows = [(i, f"own{i} start{i} of{i} text{i} {licence} own{i} end{i} of{i} text{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {(r.n_removed) for r in repeats.attach(docs, block_dedup.remove_repeats(docs)).collect()} == {60}
+    check_bytes(rows, Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), sha(bytes(r.kept))) for r in repeats.attach(docs, suffix_dedup.remove_repeats(docs)).collect()))
 
 
 def test_toxicity_learns_from_training_rows_only(spark):
