@@ -68,7 +68,6 @@ def geocodable(address: Column) -> Column:
 
 # Names of facilities that precede an address, remarks that follow one, and words that stay small in names.
 FACILITIES = ["centro de salud", "consultorio", "hospital", "ceip", "ies", "colegio", "policía local", "guardia civil", "bomberos", "protección civil", "ayuntamiento", "polideportivo", "biblioteca", "residencia"]
-REMARKS = [r",?\s*disponible\s.*$", r",?\s*tel[eéf]*\.?:?\s*\d[\d\s]{7,}.*$", r",?\s*\b(planta baja|bajo|local|1ª planta)\b\.?", r"\s*\([^)]*\)", r",?\s*\bs\s*/\s*n\b\.?"]
 SMALL = ["de", "del", "la", "las", "los", "el", "y"]
 STREETS = r"(?:^|\s)(c/|av[d.]?\.?|calle|avenida|plaza|pza\.?)(?=\s|$)"
 
@@ -90,32 +89,70 @@ def capitalised(text: Column) -> Column:
     return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(SMALL), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))), " ")
 
 
+# Words that begin a street's or a place's name, with their short forms; and what follows an address without belonging to it.
+PLACE_WORDS = r"(?:c/|c\.\s|cl\.?\s|calle\b|avda?\b\.?|avd\b\.?|av\.|avenida\b|plaza\b|pza\b\.?|pl\.\s|paseo\b|ctra\b\.?|carretera\b|camino\b|cuesta\b|paraje\b|pol[ií]gono\b|autov[ií]a\b|ronda\b|traves[ií]a\b|urb\b\.?|urbanizaci[oó]n\b|bda\b\.?|barriada\b)"
+FULL_WORDS = {r"c/\s*|c\.\s|cl\.?\s": "Calle ", r"avda?\b\.?\s*|avd\b\.?\s*|av\.\s*": "Avenida ", r"pza\b\.?\s*|pl\.\s": "Plaza ", r"ctra\b\.?\s*": "Carretera ", r"p[ºo]\.?\s": "Paseo ", r"urb\b\.?\s*": "Urbanización ", r"bda\b\.?\s*": "Barriada ", r"poligono\b": "Polígono", r"autovia\b": "Autovía"}
+TRAILERS = [
+    r"[,.\s-]*\bdis?ponib.*$", r"[,.\s-]*\bhorario\b.*$", r"[,.\s-]*\b24\s*(?:h|horas)\b.*$", r"[,.\s-]*\b(?:tel[eé]f\w*|tel|tlf|tfno)\b.*$", r"[,\s-]*\b\d{9}\b.*$", r"[,.\s]*\b\d{5}\b", r"\s*\([^)]*\)",
+    r",?\s*\bfrente\s[^,]*", r",?\s*\b(planta baja|bajo|local|1ª planta)\b\.?",
+]
+
+
+def _from_street(c: Column) -> Column:
+    """Without what stands in front of the street; a single name there that is no facility is the locality and goes to the end."""
+    inside = rf"(?is)^(.*?)[,.:–-]\s*(?={PLACE_WORDS})"
+    head = F.regexp_extract(c, inside, 1)
+    locality = head.rlike(r"^\s*\p{Lu}\p{Ll}+\s*$") & ~head.rlike(rf"(?iu)^\s*(?:{'|'.join(FACILITIES)})\s*$")
+    rest = F.regexp_replace(c, inside, "")
+    moved = F.when(locality, F.concat(rest, F.lit(", "), F.trim(head))).otherwise(rest)
+    other = F.regexp_replace(c, rf"(?i)^(?:{'|'.join(FACILITIES)})\b[^,]*,\s*", "")
+    return F.when(c.rlike(rf"(?i)^\s*{PLACE_WORDS}"), c).when(c.rlike(inside), moved).otherwise(other)
+
+
+def _full_words(c: Column) -> Column:
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)\bc/\s*plaza\b", "Plaza"), r"(?i)^pol[ií]gono\s+(?:c/|calle\b)\s*", "Polígono, Calle ")
+    for short, full in FULL_WORDS.items():
+        c = F.regexp_replace(c, f"(?i)^(?:{short})", full)
+    return F.regexp_replace(c, r"(?i)\bfutbol\b", "Fútbol")
+
+
+def _numbered(c: Column) -> Column:
+    """The number, or that there is none, between commas."""
+    steps = [
+        (r"(?i)[,.\s]*\bs\s*[/7]\s*n\b\.?[,.\s]*", ", s/n, "), (r"(?i)[,\s]*\bnave\s+(?:n\.?\s*[º°]?\s*)?(\d+)", ", nave $1"), (r"(?i)[,.\s-]*\bn(?:\.?\s*[º°]|[º°.]?\s*/?|úm\.?|úmero)\s*(\d+)", ", $1"),
+        (r"\s+-\s+(\d+)", ", $1"), (r"\b(\d{1,3})(?=\p{L}{2})", "$1, "), (r"(?<!(?i)carretera)(?<!nave)(?<=\p{L})[,.]?\s+(\d{1,3})(?=\s*(?:$|[,.])|\s+\p{Lu})", ", $1"), (r"(, \d{1,3})[.\s]+(?=\p{L})", "$1, "),
+        (r",\s*de\s+(?=\p{Lu}[^,]*$)", ", "),
+    ]
+    for pattern, new in steps:
+        c = F.regexp_replace(c, pattern, new)
+    return c
+
+
+def _street_case(text: Column) -> Column:
+    """Capitals at the start of words; prepositions small, articles small behind one; what stands for a number small."""
+    words = F.split(text, " ")
+
+    def one(w: Column, i: Column) -> Column:
+        low, before = F.lower(w), F.lower(F.get(words, i - 1))
+        small = low.isin("de", "del", "y") | low.isin("la", "las", "los", "el") & before.isin("de", "y", "a", "en") | low.rlike("^(s/n|nave),?$")
+        return F.when((i > 0) & small, low).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
+
+    return F.array_join(F.transform(words, one), " ")
+
+
 def street(address: Column) -> Column:
-    """Struct (street, reason, stages): encoding, facility names, remarks, street words, number, punctuation, capitals.
+    """Struct (street, reason, stages): encoding, facility in front, remarks behind, street words, number, punctuation, capitals.
 
     ``street`` is null with a ``reason``; ``stages`` names the stages that changed the text.
     """
-    head = "|".join(FACILITIES)
-    cut = lambda c: F.regexp_replace(c, rf"(?i)^(?:{head})\b[^,]*,\s*", "")
 
     def without_remarks(c: Column) -> Column:
-        for pattern in REMARKS:
+        for pattern in TRAILERS:
             c = F.regexp_replace(c, f"(?i){pattern}", "")
         return c
 
-    def full_words(c: Column) -> Column:
-        c = F.regexp_replace(c, r"(?i)\bc/\s*plaza\b", "Plaza")
-        c = F.regexp_replace(c, r"(?i)^pol[ií]gono\s+(?:c/|calle\b)\s*", "Polígono, Calle ")
-        for short, full in STREET_FORMS:
-            c = F.regexp_replace(c, f"(?i){short}", full)
-        return c
-
-    plan = [
-        ("encoding", repair_encoding), ("facility", cut), ("remarks", without_remarks), ("words", full_words),
-        ("number", lambda c: F.regexp_replace(c, r"(?i),?\s*\b(?:n[º°.]?\s*/?|núm\.?|número)\s*(?=\d)", ", ")),
-        ("punctuation", lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*,(\s*,)*\s*", ", "), r"\s+", " ")), r"^[,.;:\s]+|[,.;:\s]+$", "")),
-        ("capitals", capitalised),
-    ]
+    tidy = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*,(\s*,)*\s*", ", "), r"\s+", " ")), r"^[,.;:\s-]+|[,.;:\s-]+$", "")
+    plan = [("encoding", repair_encoding), ("facility", _from_street), ("remarks", without_remarks), ("words", _full_words), ("number", _numbered), ("punctuation", tidy), ("capitals", _street_case)]
     # each stage is evaluated once and handed on: nested, the texts would multiply with every use
     state = F.array(F.struct(F.trim(address).alias("t"), F.lit("").alias("s")))
     for name, step in plan:

@@ -100,6 +100,46 @@ def repair_encoding(text: Column) -> Column:
     return F.when(text.rlike("[ÃÂ][\u0080-¿]"), F.array_join(F.transform(pieces, whole), "")).otherwise(text)
 
 
+# Signs that UTF-8 leaves when it is read as Windows-1252, the longest first, and letters with a mark that follows them.
+MISREAD = {"â‚¬": "€", "â€™": "’", "â€˜": "‘", "â€œ": "“", "â€\u009d": "”", "â€“": "–", "â€”": "—", "â€¦": "…", "â€¢": "•", "Ã‰": "É", "Ã“": "Ó", "Ãš": "Ú", "Ã‘": "Ñ", "Ãœ": "Ü", "Ã€": "À", "Ã‡": "Ç", "Â ": " "}
+_LETTERS, _MARKS = "aeiouAEIOUnN", {"\u0301": "áéíóúÁÉÍÓÚńŃ", "\u0300": "àèìòùÀÈÌÒÙǹǸ", "\u0308": "äëïöüÄËÏÖÜn̈N̈", "\u0303": "ãẽĩõũÃẼĨÕŨñÑ"}
+
+
+def composed(text: Column) -> Column:
+    """Letters with a combining acute, grave, diaeresis or tilde behind them as one sign each."""
+    for mark, whole in _MARKS.items():
+        for letter, sign in zip(_LETTERS, whole, strict=False):
+            if (mark != "\u0308" or letter not in "nN") and (mark == "\u0303") >= (letter in "nN"):
+                text = F.replace(text, F.lit(letter + mark), F.lit(sign))
+    return text
+
+
+def repaired(text: Column) -> Column:
+    """Struct (text, tiers): what broken encoding did undone, in tiers, and the names of those that changed it; sound text stays.
+
+    double: UTF-8 that was misread twice; signs: what Windows-1252 leaves, the longest first; pairs: UTF-8 that was read as Latin-1; marks: letters and their
+    marks joined. Null stays null.
+    """
+    from .once import let
+
+    def signs(t: Column) -> Column:
+        for bad, good in MISREAD.items():
+            t = F.replace(t, F.lit(bad), F.lit(good))
+        return t
+
+    twice = lambda t: F.when(t.rlike("Ã[\u0082\u0083][Â]?"), repair_encoding(t)).otherwise(t)
+    plan = [("double", twice), ("signs", lambda t: F.when(t.rlike("[âÃÂ]"), signs(t)).otherwise(t)), ("pairs", repair_encoding), ("marks", lambda t: F.when(t.rlike("[\u0300-\u0308]"), composed(t)).otherwise(t))]
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("tiers"))
+
+    def after(name: str, step):
+        changed = lambda s: lambda new: F.struct(new.alias("text"), F.when(new != s["text"], F.concat(s["tiers"], F.array(F.lit(name)))).otherwise(s["tiers"]).alias("tiers"))
+        return lambda s: let(step(s["text"]), changed(s))
+
+    for name, step in plan:
+        state = let(state, after(name, step))
+    return F.when(text.isNotNull(), state)
+
+
 def split_camel(text: Column) -> Column:
     """A space between a lower and an upper letter and between letters and digits."""
     t = F.regexp_replace(text, "([a-záéíóúñ])([A-ZÁÉÍÓÚÑ])", "$1 $2")

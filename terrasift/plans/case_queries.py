@@ -548,3 +548,50 @@ cases(
     [(1, 1, True, 2, 3, 4, 1, 1, 9, 10, "broken_encoding,mixed_marks,degrees,satellite,fused,few_coordinates,placeholders"), (2, 0, False, 0, 0, 0, 10, 10, 0, 10, ""), (3, 0, False, 0, 0, 0, 0, 0, 0, 0, "few_coordinates"), (4, 0, False, 0, 0, 0, 5, 5, 3, 10, "")],
     lambda d: d.select("id", F.array_join(notations.recommendations(*(F.col(c) for c in ("broken", "mixed", "dms", "nmea", "fused", "with_x", "with_y", "missing", "n"))), ",").alias("remarks")),
 )
+
+
+cases(
+    "encoding_tiers", "id int, raw string", "text string, tiers string",
+    [
+        (1, "Almer\u00c3\u00ada", "Almería", "pairs"), (2, "Sierra Nevada", "Sierra Nevada", ""), (3, "Ca\u00c3\u0083\u00c2\u00b1ada", "Cañada", "double,pairs"), (4, "10 â‚¬ â€“ â€œbajoâ€\u009d", "10 € – “bajo”", "signs"), (5, "Ma\u0301laga y n\u0303", "Málaga y ñ", "marks"), (6, None, None, None),
+        (7, "Ã‰cija", "Écija", "signs"), (8, "Mérida y Almer\u00c3\u00ada", "Mérida y Almería", "pairs"),
+    ],
+    lambda d: d.select("id", T.repaired(F.col("raw")).alias("r")).select("id", "r.text", F.array_join("r.tiers", ",").alias("tiers")),
+)
+cases(
+    "street_samples", "id int, raw string", "street string, reason string",
+    [
+        (1, "Centro de Salud Norte, Plaza Luis Mora, n/ 1, de Albox, disponible 24 horas", "Plaza Luis Mora, 1, Albox", None), (2, "Ayuntamiento, despachos, Avda. De la Estación s/n, Albox (Almería)", "Avenida de la Estación, s/n, Albox", None),
+        (3, "C/ erillas, 2Colomera", "Calle Erillas, 2, Colomera", None), (4, "Avd Virgen de la Cabeza, 9. Colomera", "Avenida Virgen de la Cabeza, 9, Colomera", None), (5, "Plaza de la Constitución 1.  Berja 04760", "Plaza de la Constitución, 1, Berja", None),
+        (6, "C/ LOS Geranios - 2", "Calle Los Geranios, 2", None), (7, "CUESTA MATUETE S/N", "Cuesta Matuete, s/n", None), (8, "Villanueva, Calle Mayor, 15", "Calle Mayor, 15, Villanueva", None), (9, "Calle Real, 1, Tlf. 666123456", "Calle Real, 1", None),
+        (10, "Paraje cortijo el chopo", "Paraje Cortijo El Chopo", None), (11, "Calle Real, 1 - horario L-V 8-15", "Calle Real, 1", None), (12, "Pol 14- P 146", None, "CADASTRAL"), (13, "CL. Ramón y Cajal 5.", "Calle Ramón y Cajal, 5", None), (14, "Carretera 334, frente Cuartel, Tíjola", "Carretera 334, Tíjola", None),
+    ],
+    lambda d: d.select("id", address.street(F.col("raw")).alias("s")).select("id", "s.street", "s.reason"),
+)
+
+
+@register("local_search", answers("id int, fid int, scope int", [(1, 1, 0), (2, 3, 1), (3, 1, 2), (3, 2, 2), (3, 3, 2)]))
+def local_search(spark, sf_dir):
+    """Features of the request's municipality by code, else by its name, else all; among them those that hold the request's first word."""
+    f = spark.createDataFrame([(1, "18023", "baza", "Centro Baza"), (2, "18023", "baza", "Parque Centro"), (3, "18122", "loja", "Centro Loja")], "fid int, code string, place string, fname string")
+    r = spark.createDataFrame([(1, "18023", "baza", "Centro Baza"), (2, "99999", "loja", "Centro"), (3, None, "nowhere", "Centro")], "id int, code string, place string, name string")
+    fits = F.col("fname").contains(F.substring_index("name", " ", 2))
+    by_code = r.select("id", "code", "name").join(f, "code").where(fits).select("id", "fid")
+    by_name = r.select("id", "place", "name").join(f, "place").where(fits).select("id", "fid")
+    every = r.select("id", "name").join(f, fits).select("id", "fid")
+    return candidates.scoped(by_code, by_name, every, "id").select("id", "fid", "scope")
+
+
+@register("tower_by_operator", answers("id int, tower int", [(1, 12), (2, 11), (3, 21)]))
+def tower_by_operator(spark, sf_dir):
+    t = spark.createDataFrame([(1, 11, "Orange"), (1, 12, "Movistar"), (2, 21, "Vodafone"), (2, 22, None)], "mun int, tower int, operator string")
+    r = spark.createDataFrame([(1, 1, "Torre de Movistar"), (2, 1, "Torre sin marca"), (3, 2, "Antena")], "id int, mun int, name string")
+    return candidates.by_operator(t, r, ["mun"], "id", "tower")
+
+
+@register("unlike_second_source", answers("rid int, name string", [(2, "Ermita de San Roque"), (3, "Castillo de Baza")]))
+def unlike_second_source(spark, sf_dir):
+    """Rows of a second source that no kept row of the first resembles by over 85."""
+    kept = spark.createDataFrame([(1, "Iglesia Mayor de la Encarnación"), (2, "Castillo de Baza")], "mun int, name string")
+    rows = spark.createDataFrame([(1, 1, "Iglesia Mayor Encarnación de la"), (2, 1, "Ermita de San Roque"), (3, 1, "Castillo de Baza"), (4, 2, "CASTILLO DE BAZA")], "rid int, mun int, name string")
+    return candidates.unlike_any(rows, kept, ["mun"], "rid", "name").select("rid", "name")

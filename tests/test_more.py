@@ -112,3 +112,18 @@ def test_isolation_without_the_packages():
 def test_zip_bytes_are_a_workbook():
     data = sinks.workbook({"a": (["x"], [(1.5,), ("t",)])})
     assert zipfile.ZipFile(io.BytesIO(data)).testzip() is None
+
+
+def test_cache_of_a_stream(spark, tmp_path):
+    """Hits within the entry's life, misses after it, over two batches."""
+    from terrasift.streaming import state
+
+    schema = "k string, ts timestamp, answer string"
+    rows = [[("a", "2024-01-01 00:00:00", "one"), ("a", "2024-01-01 00:00:30", "two"), ("b", "2024-01-01 00:00:10", "three")], [("a", "2024-01-01 00:00:50", "four"), ("a", "2024-01-01 00:01:10", "five"), ("a", "2024-01-01 00:01:20", "six")]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, "k string, ts string, answer string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    q = state.answered(stream, "k", "ts", "answer", 60).writeStream.format("memory").queryName("cached").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.k, str(r.ts)[11:], r.answer, r.hit) for r in spark.table("cached").collect()}
+    assert got == {("a", "00:00:00", "one", False), ("a", "00:00:30", "one", True), ("b", "00:00:10", "three", False), ("a", "00:00:50", "one", True), ("a", "00:01:10", "five", False), ("a", "00:01:20", "five", True)}
