@@ -14,40 +14,10 @@ def weighted_centroid(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.groupBy(key).agg((F.sum(F.col("x") * w) / F.sum(w)).alias("x"), (F.sum(F.col("y") * w) / F.sum(w)).alias("y"), F.count("*").alias("n"))
 
 
-def robust_centroid(candidates: DataFrame, key: str, k: float = 1.345, rounds: int = 20, tolerance: float = 0.1, floor: float = 10.0) -> DataFrame:
-    """(key, x, y, n): Huber's centroid by reweighting from the median, as one fold over each group's array; the mean up to two."""
+def robust_centroid(candidates: DataFrame, key: str) -> DataFrame:
+    """(key, x, y, n): Huber's centroid of each key's points, as one fold over its array."""
     points = candidates.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
-
-    def mean(c: str) -> Column:
-        return F.aggregate("p", F.lit(0.0), lambda s, q: s + q[c]) / F.size("p")
-
-    def median(values: Column) -> Column:
-        s, n = F.array_sort(values), F.size(values)
-        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-
-    def away(m: Column) -> Column:
-        return F.transform("p", lambda q: F.sqrt((q["x"] - m["x"]) * (q["x"] - m["x"]) + (q["y"] - m["y"]) * (q["y"] - m["y"])))
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-
-    def step(m: Column, _: Column) -> Column:
-        def weighted(d: Column) -> Column:
-            return let(F.greatest(F.lit(floor), 1.4826 * median(d)), lambda scale: let(F.transform(d, lambda v: F.least(F.lit(1.0), k * scale / F.greatest(F.lit(1e-9), v))), centre))
-
-        def centre(w: Column) -> Column:
-            x, y = (total(F.zip_with("p", w, (lambda c: lambda q, v: q[c] * v)(c))) / total(w) for c in ("x", "y"))
-            return F.struct(x.alias("x"), y.alias("y"))
-
-        def judged(c: Column) -> Column:
-            moved = F.sqrt((c["x"] - m["x"]) * (c["x"] - m["x"]) + (c["y"] - m["y"]) * (c["y"] - m["y"]))
-            return F.struct(c["x"].alias("x"), c["y"].alias("y"), (moved < tolerance).alias("done"))
-
-        return F.when(m["done"], m).otherwise(let(let(away(m), weighted), judged))
-
-    start = F.struct(median(F.transform("p", lambda q: q["x"])).alias("x"), median(F.transform("p", lambda q: q["y"])).alias("y"), F.lit(False).alias("done"))
-    fitted = F.when(F.size("p") <= 2, F.struct(mean("x").alias("x"), mean("y").alias("y"), F.lit(True).alias("done"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
-    return points.withColumn("m", fitted).select(key, F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.size("p").cast("long").alias("n"))
+    return points.withColumn("m", huber(F.col("p"))).select(key, F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.size("p").cast("long").alias("n"))
 
 
 def concordance(distance: Column) -> Column:

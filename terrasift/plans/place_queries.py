@@ -338,9 +338,21 @@ def vote_weighted(spark, sf_dir):
     return sources(spark, sf_dir).groupBy("qid", (F.col("source") % 2).alias("side")).agg((F.floor(F.sum(F.col("confidence") * F.col("authority")) / F.count("*") * 1000 + 0.5) / 1000).alias("votes"))
 
 
-@register("robust_centroid")
+_HUBER = """with recursive s as (""" + SOURCES + """), g as (select qid, list({'x': x, 'y': y}) as p, avg(x) as mx, avg(y) as my, count(*) as n from s group by 1),
+r as (select qid, 0 as k, mx as cx, my as cy, n <= 2 as done from g union all
+ select qid, k + 1, case when close then cx else nx end, case when close then cy else ny end, close or sqrt((nx - cx) * (nx - cx) + (ny - cy) * (ny - cy)) < 0.1 from (
+ select *, list_sum(list_transform(list_zip(p, w), lambda z: z[1].x * z[2])) / list_sum(w) as nx, list_sum(list_transform(list_zip(p, w), lambda z: z[1].y * z[2])) / list_sum(w) as ny from (
+ select *, list_transform(d, lambda v: case when v <= 1.345 * greatest(mad, 10) then 1.0::double else 1.345 * greatest(mad, 10) / v end) as w, list_max(d) < 10 and mad < 10 as close from (
+ select *, 1.4826 * list_aggregate(list_transform(d, lambda v: abs(v - med)), 'median') as mad from (
+ select *, list_aggregate(d, 'median') as med from (
+ select r.qid, r.k, r.cx, r.cy, g.p, list_transform(g.p, lambda q: sqrt((q.x - r.cx) * (q.x - r.cx) + (q.y - r.cy) * (q.y - r.cy))) as d from r join g using (qid) where not done and k < 20) a) b) c) e) f)
+select qid, floor(arg_max(cx, k) * 10 + 0.5) / 10 as x, floor(arg_max(cy, k) * 10 + 0.5) / 10 as y, min(g.n) as n from r join g using (qid) group by 1"""
+
+
+@register("robust_centroid", _HUBER)
 def robust_centroid(spark, sf_dir):
-    return fusion.robust_centroid(sources(spark, sf_dir), "qid")
+    c = fusion.robust_centroid(sources(spark, sf_dir), "qid")
+    return c.select("qid", (F.floor(F.col("x") * 10 + 0.5) / 10).alias("x"), (F.floor(F.col("y") * 10 + 0.5) / 10).alias("y"), "n")
 
 
 # ------------------------------------------------------------ events and state

@@ -178,7 +178,7 @@ _TRUST = "case source " + " ".join(f"when {i + 1} then {fusion.AUTHORITY[n]}" fo
 
 
 @register("validation_of_all", S(f""", r as (select qid, source, x, y, least(confidence, 100) as c, {_TRUST} as t from s), w as (select a.qid, max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) as far from r a join r b on a.qid = b.qid and a.source <= b.source group by 1),
-g as (select qid, count(*) as n, floor(w.far * 10 + 0.5) / 10 as metres, max(c) / 100 as m, sum(c / 100 * t) / sum(t) as own, sum(x * (c / 100 * t)) / sum(c / 100 * t) as cx, sum(y * (c / 100 * t)) / sum(c / 100 * t) as cy, arg_min(source, (-(t * c), source)) as best, arg_min(x, (-(t * c), source)) as bx, arg_min(y, (-(t * c), source)) as byy from r join w using (qid) group by qid, w.far),
+g as (select qid, count(*) as n, floor(w.far * 10 + 0.5) / 10 as metres, max(c) / 100 as m, sum(c / 100 * t) / sum(t) as own, sum(x * (c / 100 * t)) / sum(c / 100 * t) as cx, sum(y * (c / 100 * t)) / sum(c / 100 * t) as cy, arg_min(source, (-(t * c), source, x, y)) as best, arg_min(x, (-(t * c), source, x, y)) as bx, arg_min(y, (-(t * c), source, x, y)) as byy from r join w using (qid) group by qid, w.far),
 v as (select *, case when n = 1 then 'SINGLE_SOURCE' when metres <= 100 then 'CONFIRMED' when metres <= 200 then 'LIKELY_VALID' when metres <= 300 then 'UNCERTAIN' else 'CONFLICT' end as status,
  case when n = 1 then 0.5 when metres <= 100 then 1.0 when metres <= 200 then 1 - 0.3 * (metres - 100) / 100 when metres <= 300 then 0.7 - 0.4 * (metres - 200) / 100 else greatest(0.1, 0.3 - (metres - 300) / 5000) end as agree from g)
 select qid, n, status, case when status in ('CONFIRMED', 'LIKELY_VALID') then {_cent('cx')} when status in ('UNCERTAIN', 'SINGLE_SOURCE') then bx end as x, case when status in ('CONFIRMED', 'LIKELY_VALID') then {_cent('cy')} when status in ('UNCERTAIN', 'SINGLE_SOURCE') then byy end as y, floor(floor(least(100, (0.40 * m + 0.35 * agree + 0.25 * own) * 100 + case when n >= 2 and metres <= 25 then least(8, (25 - metres) / 3) else 0 end) * 10 + 0.5) / 10 + 0.5) as score from v"""))
