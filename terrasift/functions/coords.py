@@ -5,6 +5,8 @@ Order is part of the meaning: placeholders first, then notations from the most t
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,16 +28,16 @@ def prefix_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.trim(text), _NUMBER, 0), F.lit("")).cast("double")
 
 
-def is_placeholder(text: Column) -> Column:
+def is_placeholder(text: Column, texts: Sequence[str] = PLACEHOLDERS, numbers: Sequence[float] = PLACEHOLDER_NUMBERS) -> Column:
     low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    return low.isin(PLACEHOLDERS) | F.coalesce(prefix_number(text).isin(PLACEHOLDER_NUMBERS), F.lit(False))
+    return low.isin(list(texts)) | F.coalesce(prefix_number(text).isin(list(numbers)), F.lit(False)) if numbers else low.isin(list(texts))
 
 
-def notation(text: Column) -> Column:
-    """Name of the first notation that fits."""
+def notation(text: Column, missing: Callable[[Column], Column] = is_placeholder) -> Column:
+    """Name of the first notation that fits; ``missing`` tells placeholders."""
     t = F.trim(text)
     return (
-        F.when(is_placeholder(text), "placeholder")
+        F.when(missing(text), "placeholder")
         .when(t.rlike(r"(?i)^point\s*\("), "wkt")
         .when(t.rlike(r"^\{.*coordinates"), "geojson")
         .when(t.rlike(r"^\$G[PN](GGA|RMC|GLL),"), "nmea_sentence")
@@ -52,9 +54,9 @@ def notation(text: Column) -> Column:
     )
 
 
-def parse(text: Column) -> Column:
+def parse(text: Column, missing: Callable[[Column], Column] = is_placeholder) -> Column:
     """The value of one coordinate in any single-value notation; null for placeholders and what nothing reads. The notation is found once."""
-    return let(F.struct(notation(text).alias("kind"), F.trim(text).alias("t")), lambda s: _value(s["kind"], s["t"]))
+    return let(F.struct(notation(text, missing).alias("kind"), F.trim(text).alias("t")), lambda s: _value(s["kind"], s["t"]))
 
 
 def _value(kind: Column, t: Column) -> Column:
