@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +13,21 @@ from ..functions import coords
 MAJOR, MINOR = 0.8, 0.2
 
 
-def profile(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
+def profile(rows: DataFrame, key: str, x: str, y: str, placeholder: Callable[[Column], Column] = coords.is_placeholder) -> DataFrame:
     """One row a document: (key, n, with_x, with_y, with_both, missing, readable, decimal_mark, thousands_mark, notations).
 
     ``notations`` maps each notation (a fixed, short list) to its count. Two aggregations on one key: the values first by
-    notation, so that a document of any size meets in one task only as a few counts.
+    notation, so that a document of any size meets in one task only as a few counts. ``placeholder`` tells what stands for a missing value.
     """
-    missing = lambda c: coords.is_placeholder(F.col(c))
+    missing = lambda c: placeholder(F.col(c))
     both = rows.select(key, (~missing(x)).alias("__hx"), (~missing(y)).alias("__hy"), F.array(F.col(x), F.col(y)).alias("__v"))
     values = both.select(key, F.explode("__v").alias("v"), F.lit(None).cast("boolean").alias("hx"), F.lit(None).cast("boolean").alias("hy"), F.lit(False).alias("row"))
     flags = both.select(key, F.lit(None).cast("string").alias("v"), F.col("__hx").alias("hx"), F.col("__hy").alias("hy"), F.lit(True).alias("row"))
     long = values.unionByName(flags)
-    name = F.when(~F.col("row"), coords.notation(F.col("v")))
+    name = F.when(~F.col("row"), coords.notation(F.col("v"), placeholder))
     counted = long.groupBy(key, name.alias("notation")).agg(
         F.count_if("row").alias("n"), F.count_if("hx").alias("with_x"), F.count_if("hy").alias("with_y"), F.count_if(F.col("hx") & F.col("hy")).alias("with_both"),
-        F.count_if(~F.col("row")).alias("values"), F.count_if(~F.col("row") & coords.parse(F.col("v")).isNotNull()).alias("readable"),
+        F.count_if(~F.col("row")).alias("values"), F.count_if(~F.col("row") & coords.parse(F.col("v"), placeholder).isNotNull()).alias("readable"),
         F.count_if(~F.col("row") & F.col("v").rlike(r",\d{1,3}$")).alias("commas"), F.count_if(~F.col("row") & F.col("v").rlike(r"\d\.\d{1,2}$")).alias("dots"),
         F.count_if(~F.col("row") & F.col("v").rlike(r"\d\.\d{3}(\D|$)")).alias("dot_groups"), F.count_if(~F.col("row") & F.col("v").rlike(r"\d \d{3}(\D|$)")).alias("space_groups"),
     )
