@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +23,29 @@ def name_score(wanted: Column, name: Column) -> Column:
     return F.when(a == b, 100.0).when(b.contains(a), 80.0).when(a.contains(b), 60.0).otherwise(F.size(shared) * 40.0 / F.size(F.split(a, r"\s+")))
 
 
+def best_by_group(requests: DataFrame, features: DataFrame, on: list[str], key: str, feature_key: str, asked: str, given: str, score: Callable[[Column, Column], Column], limit: int) -> DataFrame:
+    """The ``limit`` features a request with the highest ``score(asked, given)`` among those equal in ``on``, ties to the smaller feature key; columns ``score``, ``rank``.
+
+    The score depends on a request's ``asked`` and a feature's ``given`` alone. So it is computed once for each two different values that meet, of a value's
+    features only the first ``limit`` can be among the best, and requests take what was found for their value. No request is compared with every feature.
+    """
+    fields = [c for c in features.columns if c not in on]
+    first = W.partitionBy(*on, given).orderBy(feature_key)
+    groups = features.withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= limit).groupBy(*on, given)
+    groups = groups.agg(F.min(feature_key).alias("__first"), F.collect_list(F.struct(*fields)).alias("__all"))  # `limit` at most
+    pairs = requests.select(*on, F.col(asked).alias("__asked")).distinct().join(groups, on).withColumn("score", score(F.col("__asked"), F.col(given)))
+    each = W.partitionBy(*on, "__asked")
+    pairs = pairs.withColumn("__r", F.row_number().over(each.orderBy(F.desc("score"), "__first"))).where(F.col("__r") <= limit)
+    best = pairs.select(*on, "__asked", "score", F.explode("__all").alias("__f")).select(*on, "__asked", "score", "__f.*")
+    best = best.withColumn("__r", F.row_number().over(each.orderBy(F.desc("score"), feature_key))).where(F.col("__r") <= limit).drop("__r")
+    best = best.withColumnsRenamed({c: f"__on{i}" for i, c in enumerate(on)})
+    same = F.col(asked).eqNullSafe(F.col("__asked"))
+    for i, c in enumerate(on):
+        same = same & (F.col(c) == F.col(f"__on{i}"))
+    out = requests.join(best, same).drop("__asked", *(f"__on{i}" for i in range(len(on))))
+    return out.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), feature_key))).where(F.col("rank") <= limit)
+
+
 def best_names(requests: DataFrame, features: DataFrame, on: list[str], key: str, feature_key: str, limit: int = 10) -> DataFrame:
     """The ``limit`` features a request (key, name) with the highest name score among those equal in ``on`` (feature column ``fname``)."""
     scored = requests.join(features, on).withColumn("score", name_score(F.col("name"), F.col("fname")))
