@@ -48,8 +48,7 @@ def best_by_group(requests: DataFrame, features: DataFrame, on: list[str], key:
 
 def best_names(requests: DataFrame, features: DataFrame, on: list[str], key: str, feature_key: str, limit: int = 10) -> DataFrame:
     """The ``limit`` features a request (key, name) with the highest name score among those equal in ``on`` (feature column ``fname``)."""
-    scored = requests.join(features, on).withColumn("score", name_score(F.col("name"), F.col("fname")))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), feature_key))).where(F.col("rank") <= limit)
+    return best_by_group(requests, features, on, key, feature_key, "name", "fname", name_score, limit)
 
 
 def scoped(by_code: DataFrame, by_name: DataFrame, every: DataFrame, key: str) -> DataFrame:
