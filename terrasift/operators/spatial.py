@@ -30,8 +30,7 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int, radius: float) -> DataFrame:
     """The k nearest right points of each left point within ``radius``, with their rank; equal distances by right key."""
-    rank = F.row_number().over(W.partitionBy(left_key).orderBy("distance", right_key))
-    return within(left, right, radius).withColumn("rank", rank).where(F.col("rank") <= k)
+    return nearest_all(left, right, left_key, right_key, k, radius)
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -44,11 +43,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def nearest_all(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int) -> DataFrame:
-    """The k nearest right points of each left point, however far, with their rank; equal distances by right key. Points without a place have no row.
+def nearest_all(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int, most: float = math.inf) -> DataFrame:
+    """The k nearest right points of each left point, however far (or up to ``most``), with their rank; equal distances by right key. Points without a place have no row.
 
     Rounds of :func:`within`: the first radius holds a few right points at their mean density, and left points with fewer than k hits go
-    through a radius twice as long, until one spans both tables. Hits inside a radius are complete, so k of them are the nearest.
+    through a radius twice as long, until one spans both tables or is ``most``. Hits inside a radius are complete, so k of them are the nearest.
     A round's hits and the points left over are checkpointed, or the plan would grow with the power of the rounds.
     """
     box = [f(c).alias(f"{c}_{i}") for i, f in enumerate((F.min, F.max)) for c in ("x", "y")]
@@ -60,7 +59,10 @@ def nearest_all(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     low, high = ([f(getattr(b, f"{c}_{i}") for b in both) for c in ("x", "y")] for i, f in enumerate((min, max)))
     span = math.hypot(high[0] - low[0], high[1] - low[1]) * 1.01 or 1.0
     wide, tall = (max(getattr(both[1], f"{c}_1") - getattr(both[1], f"{c}_0"), span / 1_000) for c in ("x", "y"))
-    radius = min(span, 1.5 * math.sqrt(wide * tall * k / both[1].n)) if both[1].n > k else span
+    span = min(span, most)
+    radius = min(span, math.sqrt(wide * tall * k / both[1].n)) if both[1].n > k else span
+    if 2 * radius >= most:
+        radius = span  # a round costs more than four times the pairs of few
     rank, whole, parts = F.row_number().over(W.partitionBy(left_key).orderBy("distance", right_key)), W.partitionBy(left_key), []
     while True:
         best = within(todo, right, radius).withColumn("rank", rank).where(F.col("rank") <= k)

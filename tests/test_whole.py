@@ -168,3 +168,18 @@ def test_placeholders_are_not_located(spark):
     rows = [("a", "-9999", "4229920"), ("a", "436780", "12345"), ("a", "sin datos", "4229920"), ("a", "436780", "4229920")]
     got = profile.profile(spark.createDataFrame(rows, "doc string, x string, y string"), "doc", "x", "y").first()
     assert (got.n, got.with_x, got.with_y, got.with_both, got.missing, got.readable) == (4, 2, 3, 1, 3, 5)
+
+
+def test_nearest_up_to_a_radius(spark, monkeypatch):
+    """Brute force within the radius, from far fewer hits than lie within it; lonely points have what the radius holds."""
+    r = random.Random(5)
+    f = [(i, r.uniform(0, 100), r.uniform(0, 100)) for i in range(400)] + [(400, 150.0, 150.0)]
+    p = [(i, r.uniform(0, 100), r.uniform(0, 100)) for i in range(300)] + [(300, 150.0, 110.0), (301, 150.0, 200.0), (302, 400.0, 400.0), (303, 1.0, None)]
+    made, within = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda a, b, d: made.append(within(a, b, d)) or made[-1])
+    got = spatial.nearest(spark.createDataFrame(p, "id int, x double, y double"), spark.createDataFrame(f, "fid int, x double, y double"), "id", "fid", 3, 50.0)
+    want = {(i, k, n) for i, x, y in p if y is not None for n, (d, k) in enumerate(sorted((math.hypot(x - a, y - b), k) for k, a, b in f)[:3], 1) if d <= 50}
+    assert {(q.id, q.fid, q["rank"]) for q in got.collect()} == want
+    assert {(i, k) for i, k, _ in want if i > 300} == {(301, 400)}
+    near = sum(math.hypot(x - a, y - b) <= 50 for _, x, y in p if y is not None for _, a, b in f)
+    assert sum(d.count() for d in made) < near / 4
