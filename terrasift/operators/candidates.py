@@ -136,14 +136,55 @@ def best_match(requests: DataFrame, layer: DataFrame, on: list[str], key: str, f
 
     Sources differ in what they give without one: with ``only`` = n, the first feature where there are at most n in all
     (ONLY), else nothing. Ties go to the smaller feature key. Requests without an answer have no row.
+
+    Each two different normalised names of equal ``on`` are compared once, and only those that can reach the floor.
     """
     fields = [c for c in layer.columns if c not in on]
-    scored = requests.join(layer, on).withColumn("score", T.similarity(F.col("name"), F.col("fname")))
-    order = F.struct(-F.col("score"), F.col(feature_key))
-    best = scored.groupBy(key).agg(F.min_by(F.struct(*fields, "score"), order).alias("m"), F.min_by(F.struct(*fields, "score"), F.col(feature_key)).alias("f"), F.count("*").alias("n"))
-    good = F.col("m.score") >= floor
-    out = best.where(good | (F.col("n") <= only)).withColumn("how", F.when(good, "MATCH").otherwise("ONLY")).withColumn("c", F.when(good, F.col("m")).otherwise(F.col("f")))
-    return out.select(key, "c.*", "how")
+    r, f = requests.select(key, *on, "name", T.normalise(F.col("name")).alias("__x")), layer.withColumn("__y", T.normalise(F.col("fname")))
+    x = r.select(*on, "__x").where("__x is not null").distinct()
+    y = f.where("__y is not null").groupBy(*on, "__y").agg(F.min_by(F.struct(*fields), feature_key).alias("__f"))
+    pairs = x.join(y.select(*on, "__y"), on) if floor <= 0 else _alike(x, y.select(*on, "__y"), on, floor)
+    pairs = pairs.withColumn("score", T.similarity(F.col("__x"), F.col("__y"))).where(F.col("score") >= floor).join(y, [*on, "__y"])
+    order = F.struct((-F.col("score")).alias("s"), F.col(f"__f.{feature_key}").alias("k"))
+    best = pairs.groupBy(*on, "__x").agg(F.min(order).alias("__o"), F.min_by(F.struct(*(F.col(f"__f.{c}").alias(c) for c in fields), "score"), order).alias("c"))
+    found = r.join(best, [*on, "__x"]).groupBy(key).agg(F.min_by("c", "__o").alias("c")).select(key, "c.*", F.lit("MATCH").alias("how"))
+    if only < 1:
+        return found
+    first = layer.groupBy(*on).agg(F.count("*").alias("__n"), F.min_by(F.struct(*fields), feature_key).alias("__f"))
+    few = r.join(first, on).groupBy(key).agg(F.sum("__n").alias("__n"), F.min_by(F.struct("__f", "name"), f"__f.{feature_key}").alias("c")).where(F.col("__n") <= only)
+    alone = few.join(found.select(key), key, "left_anti").select(key, "c.__f.*", T.similarity(F.col("c.name"), F.col("c.__f.fname")).alias("score"), F.lit("ONLY").alias("how"))
+    return found.unionByName(alone)
+
+
+def _alike(x: DataFrame, y: DataFrame, on: list[str], floor: float) -> DataFrame:
+    """Pairs (on, __x, __y) of different normalised names among which are all whose similarity is at least ``floor``, over 0.
+
+    A name that holds another meets it as one of its own substrings, of the lengths that names have. For the share of words: two sets of n and m words with a share t
+    have o = t / (1 + t) * (n + m) words in common, so from rare to frequent one of the first n - o + 1 of one is among the first m - o + 1 of the other.
+    """
+
+    def holding(a: DataFrame, p: str, b: DataFrame, q: str) -> DataFrame:
+        lengths = b.agg(F.collect_set(F.length(q)).alias("__lengths"))  # one row
+        cuts = a.crossJoin(F.broadcast(lengths)).withColumn("__l", F.explode("__lengths")).where((F.col("__l") <= F.length(p)) & ((F.col("__l") > 0) | (F.length(p) == 0)))
+        starts = F.sequence(F.lit(1), F.length(p) - F.col("__l") + 1)
+        cuts = cuts.select(*on, p, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(p), i, F.col("__l"))))).alias(q))
+        return cuts.join(b, [*on, q]).select(*on, "__x", "__y")
+
+    pairs = holding(x, "__x", y, "__y").unionByName(holding(y, "__y", x, "__x"))
+    if floor > 60:
+        return pairs.distinct()
+    t = min(floor, 25.0) / 50
+    words = [d.select(*on, c, F.explode(T.words(F.col(c))).alias("__w")) for d, c in ((x, "__x"), (y, "__y"))]
+    often = words[0].select("__w").unionByName(words[1].select("__w")).groupBy("__w").agg(F.count("*").alias("__o"))
+    heads = []
+    for d, c, own in zip(words, ("__x", "__y"), ("__n", "__m"), strict=True):
+        other = {"__n": "__m", "__m": "__n"}[own]
+        sets = d.join(often, "__w").groupBy(*on, c).agg(F.array_sort(F.collect_list(F.struct("__o", "__w"))).alias("__s")).withColumn(own, F.size("__s"))
+        sizes = F.sequence(F.ceil(F.col(own) * t - 1e-9).cast("int"), F.floor(F.col(own) / t + 1e-9).cast("int"))
+        sets = sets.withColumn(other, F.explode(sizes))
+        common = F.ceil((F.col(own) + F.col(other)) * (t / (1 + t)) - 1e-9).cast("int")
+        heads.append(sets.select(*on, c, "__n", "__m", F.explode(F.slice("__s", F.lit(1), F.greatest(F.col(own) - common + 1, F.lit(0)))).alias("__h")).select(*on, c, "__n", "__m", "__h.__w"))
+    return pairs.unionByName(heads[0].join(heads[1], [*on, "__n", "__m", "__w"]).select(*on, "__x", "__y")).distinct()
 
 
 def by_operator(towers: DataFrame, requests: DataFrame, on: list[str], key: str, feature_key: str) -> DataFrame:

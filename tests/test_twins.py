@@ -67,7 +67,7 @@ def most_rows(df):
     return most
 
 
-@pytest.mark.parametrize("name", ["candidate_topk", "name_candidates"])
+@pytest.mark.parametrize("name", ["candidate_topk", "name_candidates", "source_match_whole"])
 def test_no_product_of_a_group(spark, crowded, name):
     """The twin's rows, without 2,000 * 500 / 2 pairs on the way."""
     got, want = against_sql(spark, crowded, name, ["customer", "supplier"])

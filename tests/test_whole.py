@@ -183,3 +183,24 @@ def test_nearest_up_to_a_radius(spark, monkeypatch):
     assert {(i, k) for i, k, _ in want if i > 300} == {(301, 400)}
     near = sum(math.hypot(x - a, y - b) <= 50 for _, x, y in p if y is not None for _, a, b in f)
     assert sum(d.count() for d in made) < near / 4
+
+
+@pytest.mark.parametrize("floor", [-1.0, 3.0, 12.5, 25.0, 50.0, 60.0, 85.0])
+def test_best_match_at_any_floor(spark, floor):
+    """Names that are empty, hold others across words, repeat or share few words; whatever the floor, no match is lost."""
+    r = random.Random(int(floor))
+    name = lambda: r.choice([" ", "-", "."]).join(r.choices(["casa", "de", "la", "sal", "as", "ad", "salud", "e", "norte", "vieja", "c", "rio", "alto"], k=r.choice([0, 1, 1, 2, 3, 4, 5, 7])))
+    p, f = [(i, r.choice("abc"), name()) for i in range(80)], [(i, r.choice("abd"), name()) for i in range(60)]
+    f += [(100, "c", "una"), (101, "e", "no")]
+    p += [(200, "c", "otra"), (201, None, "una")]
+
+    def score(a, b):
+        empty = [not re.findall("[a-z0-9]+", t) for t in (a, b)]
+        return 100.0 if all(empty) else 0.0 if any(empty) else similarity(a, b)
+
+    want = set()
+    for i, m, n in p:
+        own = sorted((-score(n, o), k) for k, mun, o in f if mun == m)
+        want |= {(i, own[0][1], "MATCH", -own[0][0])} if own and -own[0][0] >= floor else {(i, own[0][1], "ONLY", -own[0][0])} if len(own) == 1 else set()
+    got = candidates.best_match(spark.createDataFrame(p, "id int, mun string, name string"), spark.createDataFrame(f, "fid int, mun string, fname string"), ["mun"], "id", "fid", floor, only=1)
+    assert {(q.id, q.fid, q.how, round(q.score, 6)) for q in got.collect()} == {(i, k, h, round(s, 6)) for i, k, h, s in want}
