@@ -559,3 +559,23 @@ def test_toxic_column_of_the_input_stays(spark):
     docs = spark.createDataFrame([(i, " ".join(w if i % 4 or k != i // 4 % 12 else f"{w} idiot" for k, w in enumerate("calm words of a day by the wide river in the town".split())), 0.5, "x") for i in range(400)], "doc_id long, text string, toxicity double, __toxicity string")
     kept = toxicity.keep_ordinary(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
     assert kept.columns == docs.columns and {("idiot" in r.text, r.toxicity) for r in kept.collect()} == {(False, 0.5)}
+
+
+def test_toxicity_trains_on_every_label(spark):
+    """All labelled rows that may train do, however many; counts of words are those of all of them."""
+    n = 30_000
+    docs = spark.range(0, n, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("calm words of a town by the river"), F.when(F.col("id") % 1_000 == 7, F.concat(F.lit(" rude"), (F.col("id") / 5_000).cast("int").cast("string"), F.lit(" idiot")))
+        .otherwise(F.concat(F.lit(" day"), (F.col("id") % 50).cast("string")))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 1_000 == 7).cast("int").alias("toxic"))
+    may = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(r.doc_id for r in toxicity.training(labels.unionAll(labels)).collect()) == may
+    many = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    assert toxicity.training(many).count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40_000)) > 20_000
+    model = toxicity.fit(docs, labels)
+    held = {i for i in may if zlib.crc32(f"curve{i}".encode()) % toxicity.HELD == 0}
+    trained = Counter(f"rude{i // 5_000}" for i in may if i % 1_000 == 7 and i not in held)
+    words = dict(zip(model.words.tolist(), model.texts.tolist(), strict=True))
+    for w, k in trained.items():
+        assert words.get(int(shingles.lower_words([w]).flat[0])) == (k if k >= toxicity.FLOORS[0] else None)
+    wrong = toxicity.score(docs, model).where((F.col("toxicity") >= 0.7) != (F.col("doc_id") % 1_000 == 7)).count()
+    assert wrong == 0
