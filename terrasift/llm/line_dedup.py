@@ -55,13 +55,12 @@ class _Lines:
     def __init__(self, texts: list[str | None]):
         found = Hashed([x.lower().encode() if x else b"" for x in texts], UNSPACED)
         ends = np.flatnonzero(found.data == 10)
-        owner = np.searchsorted(ends, found.starts)  # the line of each token, of all texts
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-        self.flat, self.at = found.flat, np.append(first, len(owner))
-        self.n = np.diff(self.at)
-        number = owner[first]
-        self.text = np.searchsorted(found.at, found.starts[first], "right") - 1
-        self.line = number - np.searchsorted(ends, found.at[:-1])[self.text] if len(first) else number
+        n = np.diff(np.searchsorted(found.starts, ends), prepend=0)  # tokens of each line, of all texts
+        number = np.flatnonzero(n)
+        self.flat, self.n, self.at = found.flat, n[number], offsets(n[number])
+        top = np.searchsorted(ends, found.at[:-1])  # the first line of each text
+        self.text = np.searchsorted(top, number, "right") - 1
+        self.line = number - top[self.text]
         node, self.check = digests(self.flat, self.n)
         self.node = node.view(np.int64)
 
@@ -82,7 +81,9 @@ def _scan(n: int):
                 lines = _Lines(part.column("text").to_pylist())
                 table += np.bincount((lines.flat >> np.uint64(64 - TABLE)).astype(np.int64), minlength=1 << TABLE)
                 own = lines.text
-                order = np.lexsort((lines.line, k2[own], k1[own], ids[own], lines.check, lines.node))
+                rank = np.empty(len(ids), dtype=np.int64)
+                rank[np.lexsort((k2, k1, ids))] = np.arange(len(ids))
+                order = np.lexsort(((rank[own] << 32) | lines.line, lines.check, lines.node))
                 at = order[_new(lines.node[order], lines.check[order])]  # the first place of each
                 own = own[at]
                 packer.add(lines.node[at].view(np.uint64) % np.uint64(n), {"node": lines.node[at], "check": lines.check[at], "doc_id": ids[own], "k1": k1[own], "k2": k2[own], "line": lines.line[at].astype(np.int32)})
@@ -185,12 +186,15 @@ def _groups(flat: np.ndarray, owner: np.ndarray, size: np.ndarray, place: np.nda
 
 def _sketches(flat: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Parity of the tokens by 256 slots; for short lines folded to 64, in the first word."""
-    slot = owner * 256 + ((flat >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-    odd = (np.bincount(slot, minlength=256 * len(size)) & 1).astype(np.uint8).reshape(len(size), 256)
-    words = np.packbits(odd, axis=1).view(np.uint64).reshape(len(size), 4)
-    folded = words[:, 0] ^ words[:, 1] ^ words[:, 2] ^ words[:, 3]
-    out = np.where((size > SHORT)[:, None], words, np.uint64(0))
-    out[size <= SHORT, 0] = folded[size <= SHORT]
+    bit, long = np.uint64(1) << ((flat >> np.uint64(8)) & np.uint64(63)), size > SHORT
+    at, out = offsets(size)[:-1], np.zeros((len(size), 4), dtype=np.uint64)  # every line has a token
+    out[:, 0] = np.bitwise_xor.reduceat(bit, at)
+    if long.any():
+        some = np.flatnonzero(long)
+        where = ranges(at[some], size[some])
+        word, bit, at = (flat[where] >> np.uint64(14)) & np.uint64(3), bit[where], offsets(size[some])[:-1]
+        for k in range(4):
+            out[some, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at)
     return out
 
 
@@ -279,7 +283,7 @@ def _values(n: int):
 
 
 def _later(threshold: float):
-    """Lines that have an earlier match in a tile."""
+    """Places of lines that have an earlier match in a tile, some more than once."""
 
     def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
         rows, i, j = bucket_links(records[0], threshold, None)
@@ -288,7 +292,8 @@ def _later(threshold: float):
         rank = np.empty(rows.num_rows, dtype=np.int64)
         rank[np.lexsort((rows["line"].to_numpy(), rows["k2"].to_numpy(), rows["k1"].to_numpy(), rows["id"].to_numpy()))] = np.arange(len(rank))
         later = np.unique(np.where(rank[i] > rank[j], i, j))
-        yield pa.RecordBatch.from_arrays([rows["full"].combine_chunks().take(pa.array(later))], names=["full"])
+        place = {c: rows[c].to_numpy()[later] for c in ("id", "k1", "k2", "line")}
+        yield pa.RecordBatch.from_arrays([pa.array(place["id"]), full_keys(place["k1"], place["k2"]), pa.array(place["line"])], names=["doc_id", "__key", "line"])
 
     return work
 
@@ -298,7 +303,7 @@ SPACES = " \t\n\v\f\r"
 
 
 def _rewritten(schema: pa.Schema):
-    """Rows with the kept lines as text, and their counts of lines (the last two columns)."""
+    """Rows with the kept lines as text, and their counts of lines (the last two columns). First places have their line, those of them that go -1 less it too."""
     names = schema.names[:-2]
 
     def work(bucket: int, records: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +320,8 @@ def _rewritten(schema: pa.Schema):
                     n_removed.append(0)
                     continue
                 split, found = text.split("\n"), look((a, b, c))
-                stay = set(line[found].tolist()) if len(found) else ()
+                own = line[found] if len(found) else np.zeros(0, np.int64)
+                stay = set(own[own >= 0].tolist()).difference((-1 - own[own < 0]).tolist())
                 rest = [x for i, x in enumerate(split) if i in stay or not x.strip(SPACES)]
                 texts.append("\n".join(rest))
                 n_lines.append(len(split))
@@ -353,8 +359,9 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str, str]
     rows, n = buckets(docs, 2.5), buckets(docs, 1)
     found = wanted.select("doc_id", "__key", "line", "full", "g", "tiles").mapInArrow(packed_found(rows, ["line", "full", "g", "tiles"]), PACKED)
     values = by_bucket(slim.mapInArrow(packed_rows(rows), PACKED).unionAll(found), rows, _values(n), PACKED)
-    later = saved(by_bucket(values, n, _later(threshold), "full binary"), "line-later")
-    kept = firsts.join(later, "full", "left_anti").select("doc_id", "__key", "line").mapInArrow(packed_found(rows, ["line"]), PACKED)
+    later = saved(by_bucket(values, n, _later(threshold), "doc_id bigint, __key binary, line int"), "line-later")
+    places = firsts.select("doc_id", "__key", "line").unionAll(later.select("doc_id", "__key", (-1 - F.col("line")).alias("line")))
+    kept = places.mapInArrow(packed_found(rows, ["line"]), PACKED)
     schema = pa.schema([*((f.name, to_arrow_type(f.dataType)) for f in docs.schema.fields), (total, pa.int64()), (gone, pa.int64())])
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{total}` bigint, `{gone}` bigint"])
     return by_bucket(with_key(docs).mapInArrow(packed_rows(rows), PACKED).unionAll(kept), rows, _rewritten(schema), ddl)

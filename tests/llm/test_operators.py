@@ -579,3 +579,23 @@ def test_toxicity_trains_on_every_label(spark):
         assert words.get(int(shingles.lower_words([w]).flat[0])) == (k if k >= toxicity.FLOORS[0] else None)
     wrong = toxicity.score(docs, model).where((F.col("toxicity") >= 0.7) != (F.col("doc_id") % 1_000 == 7)).count()
     assert wrong == 0
+
+
+def test_line_dedup_joins_no_lines_at_the_end(spark, sf_dir):
+    """First places and those that go meet with their text in one exchange; the table of all lines isn't joined once more."""
+    kept = line_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_sketches_against_brute_force():
+    """Parity of tokens by slot: 64 for short lines, 256 for long ones, whose words together are the short form."""
+    rng = np.random.default_rng(3)
+    size = np.array([1, 5, line_dedup.SHORT, line_dedup.SHORT + 1, 2, 300])
+    flat = rng.integers(0, 1 << 63, size.sum(), dtype=np.uint64)
+    got = line_dedup._sketches(flat, np.repeat(np.arange(len(size)), size), size)
+    for row, tokens in zip(got.tolist(), np.split(flat, np.cumsum(size)[:-1]), strict=True):
+        want = [0, 0, 0, 0]
+        for t in tokens.tolist():
+            slot = t >> 8 & 255
+            want[slot // 64 if len(tokens) > line_dedup.SHORT else 0] ^= 1 << slot % 64
+        assert row == want
