@@ -38,6 +38,17 @@ def test_measured_numbers_are_values(spark, odd_keys, name):
     assert got == want
 
 
+def test_pair_confidence_of_every_easting(spark, sf_dir, tmp_path):
+    """520,000 keys in a row have each easting once and each northing at least once, in every region."""
+    key = F.col("id")
+    rows = spark.range(520_000).select(key.alias("c_custkey"), F.concat(F.lit("Customer#"), "id").alias("c_name"), (F.floor(key / 10) % 25).alias("c_nationkey"))
+    rows.write.parquet(f"file://{tmp_path}/customer.parquet")
+    for t in ("nation", "region"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"file://{tmp_path}/{t}.parquet")
+    got, want = against_sql(spark, tmp_path, "pair_confidence_by_region", ["customer", "nation", "region"])
+    assert len(got) == 20 and got == want
+
+
 # ------------------------------------------------------------ joins whose groups grow
 
 
