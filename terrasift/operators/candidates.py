@@ -23,17 +23,21 @@ def name_score(wanted: Column, name: Column) -> Column:
     return F.when(a == b, 100.0).when(b.contains(a), 80.0).when(a.contains(b), 60.0).otherwise(F.size(shared) * 40.0 / F.size(F.split(a, r"\s+")))
 
 
-def best_by_group(requests: DataFrame, features: DataFrame, on: list[str], key: str, feature_key: str, asked: str, given: str, score: Callable[[Column, Column], Column], limit: int) -> DataFrame:
+def best_by_group(
+    requests: DataFrame, features: DataFrame, on: list[str], key: str, feature_key: str, asked: str, given: str, score: Callable[[Column, Column], Column], limit: int, meet: Callable[..., DataFrame] | None = None
+) -> DataFrame:
     """The ``limit`` features a request with the highest ``score(asked, given)`` among those equal in ``on``, ties to the smaller feature key; columns ``score``, ``rank``.
 
     The score depends on a request's ``asked`` and a feature's ``given`` alone. So it is computed once for each two different values that meet, of a value's
     features only the first ``limit`` can be among the best, and requests take what was found for their value. No request is compared with every feature.
+    ``meet`` (different values asked, features by value, ``on``, ``given``, ``limit``) gives the pairs to score where not all can be among the best.
     """
     fields = [c for c in features.columns if c not in on]
     first = W.partitionBy(*on, given).orderBy(feature_key)
     groups = features.withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= limit).groupBy(*on, given)
     groups = groups.agg(F.min(feature_key).alias("__first"), F.collect_list(F.struct(*fields)).alias("__all"))  # `limit` at most
-    pairs = requests.select(*on, F.col(asked).alias("__asked")).distinct().join(groups, on).withColumn("score", score(F.col("__asked"), F.col(given)))
+    values = requests.select(*on, F.col(asked).alias("__asked")).distinct()
+    pairs = (meet(values, groups, on, given, limit) if meet else values.join(groups, on)).withColumn("score", score(F.col("__asked"), F.col(given)))
     each = W.partitionBy(*on, "__asked")
     pairs = pairs.withColumn("__r", F.row_number().over(each.orderBy(F.desc("score"), "__first"))).where(F.col("__r") <= limit)
     best = pairs.select(*on, "__asked", "score", F.explode("__all").alias("__f")).select(*on, "__asked", "score", "__f.*")
@@ -51,6 +55,40 @@ def best_names(requests: DataFrame, features: DataFrame, on: list[str], key: str
     return best_by_group(requests, features, on, key, feature_key, "name", "fname", name_score, limit)
 
 
+def low(c: Column) -> Column:
+    """Lower case letter by letter: İ gives one letter, and a sigma at a word's end none of its own."""
+    return F.lower(F.translate(c, "İΣ", "iσ"))
+
+
+def holder_score(wanted: Column, name: Column) -> Column:
+    """100 equal, 80 the name holds the request, else 0; in lower case."""
+    a, b = low(wanted), low(name)
+    return F.when(a == b, 100.0).when(b.contains(a), 80.0).otherwise(0.0)
+
+
+def holders(asked: DataFrame, groups: DataFrame, on: list[str], given: str, limit: int) -> DataFrame:
+    """Of all pairs of names in ``asked`` and ``groups`` those that can be among a request's ``limit`` best by ``holder_score``.
+
+    Equal names score the same, those that hold the request too, and all others too: the first ``limit`` of each are enough. A request is looked up among
+    the parts of the names that are as long as some request, so that names are never compared all with all.
+    """
+    b, n = low(F.col(given)), F.col("__n")
+    wanted = asked.withColumn("__part", low(F.col("__asked")))
+    starts = F.sequence(F.lit(1), F.length(b) - n + 1)
+    parts = groups.join(wanted.where("__part is not null").select(*on, F.length("__part").alias("__n")).distinct(), on).where(n <= F.length(b))
+    parts = parts.withColumn("__part", F.explode(F.array_distinct(F.transform(starts, lambda i: b.substr(i, n))))).join(wanted, [*on, "__part"], "left_semi")
+    first = F.row_number().over(W.partitionBy(*on, "__part", n == F.length(b)).orderBy("__first"))
+    parts = parts.withColumn("__i", first).where(F.col("__i") <= limit)
+    rest = groups.withColumn("__i", F.row_number().over(W.partitionBy(*on).orderBy("__first"))).where(F.col("__i") <= limit)
+    fields = [*on, "__asked", given, "__first", "__all"]
+    return wanted.join(parts, [*on, "__part"]).select(fields).union(asked.join(rest, on).select(fields)).dropDuplicates([*on, "__asked", given])
+
+
+def best_holders(requests: DataFrame, features: DataFrame, on: list[str], key: str, feature_key: str, limit: int = 10) -> DataFrame:
+    """The ``limit`` features a request (key, name) with the highest holder score among those equal in ``on`` (feature column ``fname``)."""
+    return best_by_group(requests, features, on, key, feature_key, "name", "fname", holder_score, limit, holders)
+
+
 def scoped(by_code: DataFrame, by_name: DataFrame, every: DataFrame, key: str) -> DataFrame:
     """Candidates from the narrowest scope that has any for a request, with column ``scope``: code, then name, then all."""
     parts = [d.withColumn("scope", F.lit(i)) for i, d in enumerate((by_code, by_name, every))]
